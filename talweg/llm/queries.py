@@ -7,13 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm import decontamination, quality_rules
+from talweg.llm import decontamination, quality_rules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages = warc.write_packages(_table(spark, sf_dir, "pages"))
+    records = warc.read_records(warc.list_records(spark, packages), with_payload=False)
+    number = lambda c: F.nullif(F.regexp_replace(c, "^urn:page:", ""), F.lit("")).cast("long")
+    return records.select(
+        number("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("warc_type").alias("record_type"),
+        number("refers_to").alias("refers_to"),
+    )
+
+
+OP1_SQL = """
+WITH page AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+known AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS hex FROM page),
+coded AS (
+  SELECT page_id, payload_bytes, hex,
+         array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + ((CAST(('0x' || substr(hex, 1 + 5 * (k // 4), 5)) AS BIGINT) >> (15 - 5 * (k % 4))) & 31)::INT, 1)), '') AS digest
+  FROM known)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = max(page_id) OVER (PARTITION BY hex) THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = max(page_id) OVER (PARTITION BY hex) THEN NULL ELSE max(page_id) OVER (PARTITION BY hex) END AS refers_to
+FROM coded
+"""
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), ["doc_id"])
     n_hit = decontamination.hit_words()
@@ -59,10 +87,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": op1_warc,
         "op2_decontamination": op2_decontamination,
         "op7_quality_rules": op7_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL}
+    return {"op1_warc": OP1_SQL, "op2_decontamination": OP2_SQL}
