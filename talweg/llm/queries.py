@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm import decontamination, quality_rules, simhash, warc
+from talweg.llm import decontamination, packing, quality_rules, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,17 @@ FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def packed_digests(docs: DataFrame) -> DataFrame:
+    """The packing of ``docs``: each piece's place, and a digest of its ids in their stead."""
+    pieces = packing.token_pieces(docs, ["doc_id"])
+    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(digests)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_digests(_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -94,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
         "op2_decontamination": op2_decontamination,
+        "op3_packing": op3_packing,
         "op6_simhash": op6_simhash,
         "op7_quality_rules": op7_quality_rules,
     }
