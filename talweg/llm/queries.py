@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm import decontamination, packing, quality_rules, simhash, warc
+from talweg.llm import decontamination, line_dedup, packing, quality_rules, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +92,46 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digests(_table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH doc AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+line AS (
+  SELECT doc_id, i - 1 AS number, regexp_extract_all(lines[i], '[^\x20\x09-\x0D]+') AS w
+  FROM doc, unnest(range(1, len(lines) + 1)) AS t(i)),
+worded AS (
+  SELECT doc_id, number, array_to_string(w, ' ') AS body, len(w) AS n,
+         row_number() OVER (PARTITION BY doc_id ORDER BY number) AS k,
+         sum(len(w)) OVER (PARTITION BY doc_id ORDER BY number) AS upto
+  FROM line WHERE len(w) > 0),
+win AS (
+  SELECT a.doc_id, a.number AS start, arg_min(b.number, b.k) AS stop, a.k AS k1, min(b.k) AS k2
+  FROM worded a JOIN worded b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.k < a.k + 50 AND b.upto - a.upto + a.n >= 50
+  GROUP BY a.doc_id, a.number, a.k),
+body AS (
+  SELECT v.doc_id, v.start, v.stop, string_agg(l.body, chr(10) ORDER BY l.k) AS g
+  FROM win v JOIN worded l ON l.doc_id = v.doc_id AND l.k BETWEEN v.k1 AND v.k2 GROUP BY v.doc_id, v.start, v.stop),
+later AS (
+  SELECT doc_id, start, stop FROM (
+    SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, start) AS nth FROM body) WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, number FROM later, unnest(range(start, stop + 1)) AS t(number)),
+runs AS (
+  SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE opens) AS n_runs FROM (
+    SELECT doc_id, coalesce(number - lag(number) OVER (PARTITION BY doc_id ORDER BY number) > 1, true) AS opens FROM gone)
+  GROUP BY doc_id),
+rest AS (
+  SELECT line.doc_id, string_agg(lines[line.number + 1], chr(10) ORDER BY line.number) AS body
+  FROM line JOIN doc USING (doc_id) ANTI JOIN gone ON line.doc_id = gone.doc_id AND line.number = gone.number
+  GROUP BY line.doc_id)
+SELECT d.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs,
+       CASE WHEN r.doc_id IS NULL THEN d.text ELSE coalesce(rest.body, '') END AS text
+FROM doc d LEFT JOIN runs r ON d.doc_id = r.doc_id LEFT JOIN rest ON d.doc_id = rest.doc_id
+"""
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -106,10 +146,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": op1_warc,
         "op2_decontamination": op2_decontamination,
         "op3_packing": op3_packing,
+        "op4_line_dedup": op4_line_dedup,
         "op6_simhash": op6_simhash,
         "op7_quality_rules": op7_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op2_decontamination": OP2_SQL}
+    return {"op1_warc": OP1_SQL, "op2_decontamination": OP2_SQL, "op4_line_dedup": OP4_SQL}
