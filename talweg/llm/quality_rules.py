@@ -240,3 +240,12 @@ def quality_verdicts(
         base_failed().alias("base_failed"),
         (~base_failed() & rule_column(rules)).alias("kept"),
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 20_000) -> DataFrame:
+    """The rows of ``docs`` that pass the base checks and that no rule rejects, with all columns as they were."""
+    rules = learn_rules(labelled_sample(docs, labels, max_fit_rows))
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # they clash with no statistic
+    given = docs.select(*[F.col(c).alias(x) for c, x in names.items()])
+    judged = with_features(text_statistics(given, list(names.values()), names["text"]))
+    return judged.filter(~base_failed() & rule_column(rules)).select(*[F.col(x).alias(c) for c, x in names.items()])
