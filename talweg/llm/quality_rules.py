@@ -248,4 +248,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 20_000) ->
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # they clash with no statistic
     given = docs.select(*[F.col(c).alias(x) for c, x in names.items()])
     judged = with_features(text_statistics(given, list(names.values()), names["text"]))
-    return judged.filter(~base_failed() & rule_column(rules)).select(*[F.col(x).alias(c) for c, x in names.items()])
+    # The row number keeps the filter above the statistics: pushed below them, it would hold a copy of each for
+    # every place where a rule names it.
+    verdict = judged.select(*names.values(), (~base_failed() & rule_column(rules)).alias("kept"), F.monotonically_increasing_id().alias("row"))
+    return verdict.filter("kept AND row >= 0").select(*[F.col(x).alias(c) for c, x in names.items()])
