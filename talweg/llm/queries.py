@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm import decontamination, language_id, line_dedup, packing, quality_rules, simhash, warc
+from talweg.llm import decontamination, language_id, line_dedup, packing, quality_rules, simhash, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -141,6 +141,35 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP9_SQL = """
+WITH doc AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+string AS (SELECT doc_id, i, substr(x, 2 * i + 1, 200) AS s FROM doc, unnest(range(0, len(x) // 2 - 99)) AS t(i)),
+later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS nth FROM string)
+  WHERE nth > 1),
+numbered AS (
+  SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+    SELECT doc_id, i, CAST(coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 100, true) AS INT) AS opens
+    FROM later)),
+span AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM numbered GROUP BY doc_id, run),
+gap AS (
+  SELECT doc_id, run, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY run), 0) AS a0, a, b FROM span),
+kept AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last,
+         string_agg(substr(x, 2 * a0 + 1, 2 * (a - a0)), '' ORDER BY run) AS head
+  FROM gap JOIN doc USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN x ELSE head || substr(x, 2 * last + 1) END)) AS kept_sha256
+FROM doc LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
@@ -153,9 +182,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": op4_line_dedup,
         "op6_simhash": op6_simhash,
         "op7_quality_rules": op7_quality_rules,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_language_id": op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op2_decontamination": OP2_SQL, "op4_line_dedup": OP4_SQL}
+    return {"op1_warc": OP1_SQL, "op2_decontamination": OP2_SQL, "op4_line_dedup": OP4_SQL, "op9_suffix_dedup": OP9_SQL}
