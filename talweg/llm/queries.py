@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm import decontamination, html_text, language_id, line_dedup, packing, quality_rules, simhash, suffix_dedup, warc
+from talweg.llm import decontamination, html_text, language_id, license_scan, line_dedup, packing, quality_rules, simhash, suffix_dedup, warc
+from talweg.llm.license_templates import TEMPLATES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -132,6 +133,10 @@ FROM doc d LEFT JOIN runs r ON d.doc_id = r.doc_id LEFT JOIN rest ON d.doc_id =
 """
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_table(spark, sf_dir, "documents"), TEMPLATES, ["doc_id"])
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -184,6 +189,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontamination": op2_decontamination,
         "op3_packing": op3_packing,
         "op4_line_dedup": op4_line_dedup,
+        "op5_license_scan": op5_license_scan,
         "op6_simhash": op6_simhash,
         "op7_quality_rules": op7_quality_rules,
         "op8_html_text": op8_html_text,
