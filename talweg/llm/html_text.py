@@ -253,45 +253,52 @@ def neighbours(keys: DataFrame) -> DataFrame:
     return chosen.filter("n_a IS NOT NULL OR n_b IS NOT NULL").select("uid", F.when(first, F.col("a.uid")).otherwise(F.col("b.uid")).alias("partner"))
 
 
-BLOCK = "array<struct<text:string,main:boolean>>"
+def _keyed(pages: DataFrame) -> DataFrame:
+    """(page_id, url, html, uid): uid tells rows apart but for such as repeat another as a whole."""
+    page = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    given = pages.select("page_id", F.col("url").cast("string").alias("url"), page.alias("html"))
+    return given.withColumn("uid", F.struct("page_id", F.xxhash64("url").alias("u"), F.xxhash64("html").alias("h")))
 
 
-def page_blocks(pages: DataFrame) -> DataFrame:
-    """(uid, page_id, url, blocks, hashes) of every row, written to the shared folder."""
-    kind = pages.schema["page_id"].dataType.simpleString()
-    given = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
+def block_hashes(blocks: list[tuple[str, bool]]) -> list[int]:
+    """The article's own blocks are aligned among themselves."""
+    return [xxhash.xxh3_64_intdigest(text, seed=main) - (1 << 63) for text, main in blocks]
+
+
+def page_lines(pages: DataFrame) -> DataFrame:
+    """(uid, host, path, hashes) of every different page with an address: narrow rows, without the texts."""
+    keyed = _keyed(pages)
+    address = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]+)([^?#]*)"
+    given = keyed.select("uid", F.lower(F.regexp_extract("url", address, 1)).alias("host"), F.regexp_extract("url", address, 2).alias("path"), "html").filter("host <> ''")
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                blocks = [blocks_of(page) for page in part.column(2).to_pylist()]
-                texts = pa.array([[{"text": t, "main": m} for t, m in own] for own in blocks], pa.list_(pa.struct([("text", pa.string()), ("main", pa.bool_())])))
-                hashes = pa.array([[xxhash.xxh3_64_intdigest(t, seed=m) - (1 << 63) for t, m in own] for own in blocks], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts, hashes], ["page_id", "url", "blocks", "hashes"])
+            pages_ = batch.column(3)
+            hashes = pa.array([block_hashes(blocks_of(pages_[i].as_py())) for i in range(len(pages_))], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], hashes], ["uid", "host", "path", "hashes"])
 
-    rows = given.mapInArrow(read, f"page_id {kind}, url string, blocks {BLOCK}, hashes array<long>")
-    return stored(rows.withColumn("uid", F.monotonically_increasing_id()))
+    schema = given.drop("html").withColumn("hashes", F.array().cast("array<long>")).schema
+    return given.mapInArrow(read, schema).dropDuplicates(["uid"])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url and text of every row of ``pages`` (page_id, url, html)."""
-    known = page_blocks(pages)
-    kind = pages.schema["page_id"].dataType.simpleString()
-    address = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]+)([^?#]*)"
-    keys = known.select("uid", F.lower(F.regexp_extract("url", address, 1)).alias("host"), F.regexp_extract("url", address, 2).alias("path")).filter("host <> ''")
-    partners = neighbours(keys).toDF("p_uid", "p_partner")
+    """page_id, url and text of every row of ``pages`` (page_id, url, html).
+
+    The pages are read twice, for the hashes that partners need and for the texts, rather than kept in between.
+    """
+    known = stored(page_lines(pages))
+    partners = neighbours(known.select("uid", "host", "path")).toDF("p_uid", "p_partner")
     lists = known.select(F.col("uid").alias("l_uid"), F.col("hashes").alias("partner"))
     of = partners.join(lists, F.col("p_partner") == F.col("l_uid")).select("p_uid", "partner")
-    joined = known.join(of, F.col("uid") == F.col("p_uid"), "left").select("page_id", "url", "blocks", "hashes", "partner")
+    joined = _keyed(pages).join(of, F.col("uid") == F.col("p_uid"), "left").select("page_id", "url", "html", "partner")
 
     def difference(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
             for i in range(batch.num_rows):
-                blocks, hashes, partner = (batch.column(k)[i].as_py() for k in (2, 3, 4))
-                own = [(b["text"], b["main"]) for b in blocks]
-                texts.append("\n".join(without_shared(own, hashes, partner or [])))
+                blocks, partner = blocks_of(batch.column(2)[i].as_py()), batch.column(3)[i].as_py()
+                texts.append("\n".join(without_shared(blocks, block_hashes(blocks), partner or [])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
+    kind = pages.schema["page_id"].dataType.simpleString()
     return joined.mapInArrow(difference, f"page_id {kind}, url string, text string")
