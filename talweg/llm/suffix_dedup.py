@@ -8,8 +8,8 @@ smallest hash among its short grams; equal strings have equal anchors. Neighbour
 segment, and a segment whose anchor occurs once is dropped at once. Equal segments are then merged to the first of
 them, the others being repeats as a whole. What is left, different segments with one anchor, is dealt by anchor into
 texts of bounded size. Over each text a suffix order of bounded depth gives the Burrows-Wheeler transform, and a
-breadth-first backward extension, starting from the empty string, finds where neighbouring suffixes have a common
-prefix of 0, 1, 2, ... bytes, until the length reaches ``LENGTH``. Suffixes not parted by then begin with the same
+breadth-first backward extension, starting from the strings of ``SEED`` bytes, finds where neighbouring suffixes
+have a common prefix of ``SEED``, one more, ... bytes, until the length reaches ``LENGTH``. Suffixes not parted by then begin with the same
 string; all but the first of them are repeats. An anchor with more than ``HOT`` different segments, such as that of
 a line which a third of all documents have, is not gathered: its strings are grouped one by one by a 128-bit hash.
 
@@ -33,9 +33,10 @@ from talweg.session import cut, stored
 
 LENGTH = 100
 GRAM = 16
+SEED = 7
 HOT = 2_000
-TEXT_BYTES = 2 << 20
-CHUNK_BYTES = 512 << 10
+TEXT_BYTES = 128 << 10
+CHUNK_BYTES = 64 << 10
 LAST = (1 << 63) - 1
 # A segment's place is one number: 24 bits of its text's hash, its start, and its number of strings less one.
 START_SHIFT, TEXT_SHIFT = 7, 38
@@ -141,67 +142,72 @@ def segments(docs: DataFrame, length: int) -> DataFrame:
 # --- one text --------------------------------------------------------------------------------------------------
 
 
-def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
-    """The suffixes of ``codes`` (0 to 511) ordered by their first ``depth`` codes at least, by prefix doubling."""
+def suffix_order(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of ``codes`` (0 to 511) ordered by their first ``depth`` codes at least, by prefix doubling.
+
+    Also, for each slot, whether its suffix and the one before differ in their first ``SEED`` codes.
+    """
     n = len(codes)
-    known = 7
+    known = SEED
     padded = np.zeros(n + known, np.int64)
     padded[:n] = codes
     key = np.zeros(n, np.int64)
     for k in range(known):
         key = key << 9 | padded[k : n + k]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key).astype(np.int32)
     sorted_key = key[order]
     rank = np.empty(n + 1, np.int64)  # the slot where a suffix's group begins; beyond the end, before all
     rank[n] = -1
     opens = np.ones(n, bool)
-    opens[1:] = sorted_key[1:] != sorted_key[:-1]
+    np.not_equal(sorted_key[1:], sorted_key[:-1], out=opens[1:])
     rank[order] = np.maximum.accumulate(np.where(opens, np.arange(n), 0))
-    while known < depth:
-        tied = ~opens
-        tied[:-1] |= ~opens[1:]
-        slots = np.flatnonzero(tied)
-        if not len(slots):
-            break
+    seeds = opens
+    tied = ~opens
+    tied[:-1] |= ~opens[1:]
+    slots = np.flatnonzero(tied)
+    while known < depth and len(slots):
         members = order[slots]
         pair = rank[members] * (n + 1) + rank[np.minimum(members + known, n)] + 1
-        inner = np.argsort(pair, kind="stable")
+        inner = np.argsort(pair)
         members, pair = members[inner], pair[inner]
         order[slots] = members
         first = np.ones(len(slots), bool)
-        first[1:] = pair[1:] != pair[:-1]
-        opens[slots] = first
+        np.not_equal(pair[1:], pair[:-1], out=first[1:])
         rank[members] = np.maximum.accumulate(np.where(first, slots, 0))
+        tied = ~first  # only suffixes that are not alone yet are ordered further
+        tied[:-1] |= ~first[1:]
+        slots = slots[tied]
         known *= 2
-    return order
+    return order, seeds
 
 
-def parted_below(codes: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+def parted_below(codes: np.ndarray, order: np.ndarray, seeds: np.ndarray, length: int) -> np.ndarray:
     """For each slot of ``order`` whether its suffix and the one before have a common prefix under ``length``.
 
-    Interval expansion: an interval holds the suffixes that begin with one string. The transform's codes inside it
-    lead to the intervals of all strings one code longer at the front; where such an interval begins at a slot not
-    yet parted, the common prefix there is exactly the string's length, and the interval is expanded in turn.
-    Strings with a separator (code 0) are not expanded.
+    Interval expansion: an interval holds the suffixes that begin with one string, at first the strings of ``SEED``
+    codes. The transform's codes inside it lead to the intervals of all strings one code longer at the front; where
+    such an interval begins at a slot not yet parted, the common prefix there is exactly the string's length, and
+    the interval is expanded in turn. Strings are not expanded over a separator (code 0).
     """
     n = len(codes)
-    transform = codes[order - 1]
-    by_code = np.argsort(transform, kind="stable")
-    leads = np.empty(n, np.int64)  # the slot of the suffix one code longer
-    leads[by_code] = np.arange(n)
-    before, after = np.full(n, -1, np.int64), np.full(n, n, np.int64)  # neighbours with the same code
+    transform = codes[order - 1].astype(np.uint16)
+    by_code = np.argsort(transform, kind="stable").astype(np.int32)
+    leads = np.empty(n, np.int32)  # the slot of the suffix one code longer
+    leads[by_code] = np.arange(n, dtype=np.int32)
+    before, after = np.full(n, -1, np.int32), np.full(n, n, np.int32)  # neighbours with the same code
     same = transform[by_code[1:]] == transform[by_code[:-1]]
     before[by_code[1:][same]] = by_code[:-1][same]
     after[by_code[:-1][same]] = by_code[1:][same]
-    parted = np.zeros(n, bool)
-    parted[0] = True
-    low, high = np.array([0]), np.array([n])
-    for _ in range(length):
+    parted = seeds.copy()
+    low = np.flatnonzero(seeds).astype(np.int32)
+    high = np.append(low[1:], n).astype(np.int32)
+    for _ in range(SEED, length):
         widths = high - low
         total = int(widths.sum())
         if not total:
             break
-        slots = np.arange(total) + np.repeat(low - np.concatenate([[0], np.cumsum(widths)[:-1]]), widths)
+        ahead = np.cumsum(widths) - widths
+        slots = np.arange(total, dtype=np.int32) + np.repeat((low - ahead).astype(np.int32), widths)
         text = transform[slots] > 0
         starts = np.sort(leads[slots[text & (before[slots] < np.repeat(low, widths))]])
         stops = np.sort(leads[slots[text & (after[slots] >= np.repeat(high, widths))]]) + 1
@@ -221,8 +227,8 @@ def repeated_in(parts: list[bytes], owners: np.ndarray, starts: np.ndarray, leng
     part = np.repeat(np.arange(len(parts)), sizes + 1)
     offset = np.arange(len(flat)) - np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1)
     codes = np.where(offset == sizes[part], 0, flat.astype(np.int64) + 1)
-    order = suffix_order(codes, length)
-    groups = np.cumsum(parted_below(codes, order, length))
+    order, seeds = suffix_order(codes, length)
+    groups = np.cumsum(parted_below(codes, order, seeds, length))
     whole = (offset + length <= sizes[part])[order]
     order, groups = order[whole], groups[whole]
     if not len(order):

@@ -43,13 +43,13 @@ def planted(seed):
 
 def test_interval_expansion_parts_what_differs():
     rng = np.random.default_rng(0)
-    for length in (1, 3, 8, 20):
+    for length in (7, 8, 20, 100):
         codes = rng.integers(1, 4, 400)
         codes[rng.integers(0, 400, 8)] = 0
-        codes[200:260] = codes[100:160]
+        codes[200:320] = codes[60:180]
         codes[-1] = 0
-        order = S.suffix_order(codes, length)
-        parted = S.parted_below(codes, order, length)
+        order, seeds = S.suffix_order(codes, length)
+        parted = S.parted_below(codes, order, seeds, length)
         for slot in range(1, len(order)):
             a, b = codes[order[slot - 1] :][:length].tolist(), codes[order[slot] :][:length].tolist()
             assert a <= b
