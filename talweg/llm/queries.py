@@ -157,7 +157,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = """
 WITH doc AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-string AS (SELECT doc_id, i, substr(x, 2 * i + 1, 200) AS s FROM doc, unnest(range(0, len(x) // 2 - 99)) AS t(i)),
+string AS (
+  SELECT doc_id, unnest(range(0, len(x) // 2 - 99)) AS i,
+         unnest(list_transform(range(0, len(x) // 2 - 99), lambda k: md5_number(substr(x, 2 * k + 1, 200)))) AS s
+  FROM doc),
 later AS (
   SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS nth FROM string)
   WHERE nth > 1),
