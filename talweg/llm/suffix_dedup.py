@@ -11,7 +11,9 @@ texts of bounded size. Over each text a suffix order of bounded depth gives the
 breadth-first backward extension, starting from the strings of ``SEED`` bytes, finds where neighbouring suffixes
 have a common prefix of ``SEED``, one more, ... bytes, until the length reaches ``LENGTH``. Suffixes not parted by then begin with the same
 string; all but the first of them are repeats. An anchor with more than ``HOT`` different segments, such as that of
-a line which a third of all documents have, is not gathered: its strings are grouped one by one by a 128-bit hash.
+a line which a third of all documents have, is not gathered: its segments are cut into pieces of at most ``FINE``
+strings, the pieces get what all their strings have in common as a longer anchor, and go the same way once more. If
+even such an anchor has more than ``HOT`` different pieces, its strings are grouped one by one by a 128-bit hash.
 
 Defined cases: a null text is empty; texts under ``LENGTH`` bytes are left whole; documents without an id come after
 all others; rows that repeat a doc_id with the same text count as one document and are all cut alike. Other columns
@@ -35,6 +37,7 @@ LENGTH = 100
 GRAM = 16
 SEED = 7
 HOT = 2_000
+FINE = 8
 TEXT_BYTES = 128 << 10
 CHUNK_BYTES = 64 << 10
 LAST = (1 << 63) - 1
@@ -347,6 +350,63 @@ def _bodies(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return sources.select("doc", "body", "s").mapInArrow(slices, "anchor long, many boolean, doc long, place long, body binary")
 
 
+def _finer(bodies: DataFrame, length: int) -> DataFrame:
+    """(anchor, content, doc, place, body) of the pieces of segments (anchor, doc, place, body).
+
+    A string's piece goes by the distance from its start to the anchoring gram, in steps of ``FINE``, so equal
+    strings are in pieces of the same kind; all strings of a kind hold the same ``length - FINE + 1`` bytes.
+    """
+
+    def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for anchor, doc, place, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                grams = gram_hashes(np.frombuffer(body, np.uint8), GRAM).view(np.int64)
+                gram = int((grams[: len(body) - GRAM + 1] == anchor).argmax())
+                mark, start = place >> TEXT_SHIFT, (place >> START_SHIFT) & START_MASK
+                run, at = (place & RUN_MASK) + 1, 0
+                while at < run:
+                    kind = (gram - at) // FINE
+                    end = min(run, gram - kind * FINE + 1)
+                    common = gram - kind * FINE
+                    key = xxhash.xxh3_64_intdigest(body[common : common + length - FINE + 1], seed=kind)
+                    piece = body[at : end + length - 1]
+                    rows.append((key - (1 << 63), xxhash.xxh3_64_intdigest(piece) - (1 << 63), doc, mark << TEXT_SHIFT | (start + at) << START_SHIFT | (end - at - 1), piece))
+                    at = end
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = [*[pa.int64()] * 4, pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["anchor", "content", "doc", "place", "body"])
+
+    return bodies.select("anchor", "doc", "place", "body").mapInArrow(split, "anchor long, content long, doc long, place long, body binary")
+
+
+def _spans_of(rows: DataFrame, length: int) -> DataFrame:
+    """What whole segments (doc, place) cover."""
+    start = F.shiftright("place", START_SHIFT).bitwiseAND(F.lit(START_MASK).cast("long"))
+    run = F.col("place").bitwiseAND(F.lit(RUN_MASK).cast("long")) + 1
+    return rows.select("doc", F.shiftright("place", TEXT_SHIFT).alias("mark"), start.alias("start"), (start + run + length - 1).alias("stop"))
+
+
+def _merged(met: DataFrame, carried: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The first of equal segments with ``carried`` columns, and (doc, place) of the others, which repeat it."""
+    first = F.min(F.struct("doc", "place", *carried))
+    firsts = stored(met.groupBy("anchor", "content").agg(first.alias("first"), F.count(F.lit(1)).alias("n")))
+    several = firsts.filter("n > 1").select(F.col("anchor").alias("f_anchor"), F.col("content").alias("f_content"), F.col("first.doc").alias("f_doc"), F.col("first.place").alias("f_place"))
+    same = (F.col("anchor") == F.col("f_anchor")) & (F.col("content") == F.col("f_content"))
+    copies = met.join(several, same).filter(F.struct("doc", "place") > F.struct("f_doc", "f_place"))
+    return firsts.select("anchor", "first.*"), copies.select("doc", "place")
+
+
+def _contested(firsts: DataFrame, hot: int) -> DataFrame:
+    """The segments whose anchor has others, with ``many``, whether it has more than ``hot``."""
+    several = cut(firsts.groupBy("anchor").count().filter("count > 1").select(F.col("anchor").alias("s_anchor"), (F.col("count") > hot).alias("many")))
+    return firsts.join(several, F.col("anchor") == F.col("s_anchor")).drop("s_anchor")
+
+
+def _by_anchor(rows: DataFrame) -> DataFrame:
+    return rows.repartition("anchor").sortWithinPartitions("anchor")
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(doc, mark, start, stop): bytes [start, stop) of the documents to remove; spans may overlap."""
     spark = docs.sparkSession
@@ -354,18 +414,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     _tidy(spark)
     met = stored(segments(docs, length).join(shared, "anchor", "left_semi"))
     _tidy(spark)
-    firsts = stored(met.groupBy("anchor", "content").agg(F.min(F.struct("doc", "place")).alias("first"), F.count(F.lit(1)).alias("n")))
-    copied = firsts.filter("n > 1").select(F.col("anchor").alias("f_anchor"), F.col("content").alias("f_content"), "first")
-    copies = met.join(copied, (F.col("anchor") == F.col("f_anchor")) & (F.col("content") == F.col("f_content"))).filter(F.struct("doc", "place") > F.col("first"))
-    start = F.shiftright("place", START_SHIFT).bitwiseAND(F.lit(START_MASK).cast("long"))
-    run = F.col("place").bitwiseAND(F.lit(RUN_MASK).cast("long")) + 1
-    spans = copies.select("doc", F.shiftright("place", TEXT_SHIFT).alias("mark"), start.alias("start"), (start + run + length - 1).alias("stop"))
-    several = cut(firsts.groupBy("anchor").count().filter("count > 1").select(F.col("anchor").alias("s_anchor"), (F.col("count") > hot).alias("many")))
-    wanted = firsts.join(several, F.col("anchor") == F.col("s_anchor")).select("anchor", "many", "first.doc", "first.place")
-    bodies = stored(_bodies(docs, wanted, length))
+    firsts, copies = _merged(met, [])
+    bodies = stored(_bodies(docs, _contested(firsts, hot), length))
     _tidy(spark)
-    together = bodies.filter("NOT many").repartition("anchor").sortWithinPartitions("anchor")
-    return spans.unionByName(_expanded(together, length)).unionByName(_one_by_one(bodies.filter("many"), length))
+    pieces, piece_copies = _merged(stored(_finer(bodies.filter("many"), length)), ["body"])
+    fine = stored(_contested(pieces, hot))
+    return (
+        _spans_of(copies.unionByName(piece_copies), length)
+        .unionByName(_expanded(_by_anchor(bodies.filter("NOT many")), length))
+        .unionByName(_expanded(_by_anchor(fine.filter("NOT many")), length))
+        .unionByName(_one_by_one(fine.filter("many"), length))
+    )
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
