@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,6 +30,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Intermediate tables of one job in the shared folder, removed together once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.count = spark, 0
+        self.folder = f"{shared_dir(spark)}/talweg-{uuid.uuid4().hex}"
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        """Like ``stored``, until ``clear``."""
+        self.count += 1
+        path = f"{self.folder}/{self.count}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Removes the tables, and lets Spark remove the shuffle files of plans that are gone.
+
+        To be called when what was made from the tables is itself written: a lost executor must not need them.
+        """
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(conf).delete(path, True)
+        self.tidy()
+
+    def tidy(self) -> None:
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Evaluates ``df`` once into a Parquet table in the shared folder and reads it back.
 
