@@ -22,16 +22,15 @@ are not read.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talweg.session import cut, stored
+from talweg.session import Scratch, cut, stored
 
 LENGTH = 100
 GRAM = 16
@@ -320,12 +319,6 @@ def _one_by_one(given: DataFrame, length: int) -> DataFrame:
 # --- the whole table -------------------------------------------------------------------------------------------
 
 
-def _tidy(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of finished steps, which it does when their plans are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _bodies(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """(anchor, many, doc, place, body) for ``wanted`` (anchor, many, doc, place): the segments' bytes.
 
@@ -387,10 +380,10 @@ def _spans_of(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("doc", F.shiftright("place", TEXT_SHIFT).alias("mark"), start.alias("start"), (start + run + length - 1).alias("stop"))
 
 
-def _merged(met: DataFrame, carried: list[str]) -> tuple[DataFrame, DataFrame]:
+def _merged(met: DataFrame, carried: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The first of equal segments with ``carried`` columns, and (doc, place) of the others, which repeat it."""
     first = F.min(F.struct("doc", "place", *carried))
-    firsts = stored(met.groupBy("anchor", "content").agg(first.alias("first"), F.count(F.lit(1)).alias("n")))
+    firsts = scratch.stored(met.groupBy("anchor", "content").agg(first.alias("first"), F.count(F.lit(1)).alias("n")))
     several = firsts.filter("n > 1").select(F.col("anchor").alias("f_anchor"), F.col("content").alias("f_content"), F.col("first.doc").alias("f_doc"), F.col("first.place").alias("f_place"))
     same = (F.col("anchor") == F.col("f_anchor")) & (F.col("content") == F.col("f_content"))
     copies = met.join(several, same).filter(F.struct("doc", "place") > F.struct("f_doc", "f_place"))
@@ -409,22 +402,24 @@ def _by_anchor(rows: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(doc, mark, start, stop): bytes [start, stop) of the documents to remove; spans may overlap."""
-    spark = docs.sparkSession
+    scratch = Scratch(docs.sparkSession)
     shared = cut(anchors(docs, length).groupBy("anchor").count().filter("count > 1").select("anchor"))
-    _tidy(spark)
-    met = stored(segments(docs, length).join(shared, "anchor", "left_semi"))
-    _tidy(spark)
-    firsts, copies = _merged(met, [])
-    bodies = stored(_bodies(docs, _contested(firsts, hot), length))
-    _tidy(spark)
-    pieces, piece_copies = _merged(stored(_finer(bodies.filter("many"), length)), ["body"])
-    fine = stored(_contested(pieces, hot))
-    return (
+    scratch.tidy()
+    met = scratch.stored(segments(docs, length).join(shared, "anchor", "left_semi"))
+    scratch.tidy()
+    firsts, copies = _merged(met, [], scratch)
+    bodies = scratch.stored(_bodies(docs, _contested(firsts, hot), length))
+    scratch.tidy()
+    pieces, piece_copies = _merged(scratch.stored(_finer(bodies.filter("many"), length)), ["body"], scratch)
+    fine = scratch.stored(_contested(pieces, hot))
+    spans = stored(
         _spans_of(copies.unionByName(piece_copies), length)
         .unionByName(_expanded(_by_anchor(bodies.filter("NOT many")), length))
         .unionByName(_expanded(_by_anchor(fine.filter("NOT many")), length))
         .unionByName(_one_by_one(fine.filter("many"), length))
     )
+    scratch.clear()
+    return spans
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
