@@ -1 +1 @@
-"""Functions of the engine."""
+"""Column expressions: slope mechanics, triggers, scores, names and distances."""

@@ -1 +1 @@
-"""Operators of the engine."""
+"""Operators on DataFrames: stencils, hydrology, stability, ranking, validation, fitting, reach, lines, units."""

@@ -1 +1 @@
-"""Plans of the engine."""
+"""Views on the driver tables and the registered queries over them, with their SQL oracles."""

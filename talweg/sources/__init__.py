@@ -1 +1 @@
-"""Sources of the engine."""
+"""Readers and writers: inventories, settlements, roads, units, rasters as tables, GeoJSON, manifests."""
