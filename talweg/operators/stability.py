@@ -60,11 +60,11 @@ def failure_probability(cells: DataFrame, table: np.ndarray, depth_k: float = 0.
     given = {c: F.col(c) if c in cells.columns else F.lit(default) for c, default in (("slope", None), ("sca", None), ("recharge", 1.0), ("k_h", 0.0))}
     work = cells.select("*", *[v.cast("double").alias(f"_{c}") for c, v in given.items()])
     shared = cells.sparkSession.sparkContext.broadcast(np.ascontiguousarray(table, float))  # a few thousand triples
-    keep = cells.columns
+    keep, names = cells.columns, list(given)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = {c: batch.column(batch.schema.get_field_index(f"_{c}")).to_numpy(zero_copy_only=False).astype(float) for c in given}
+            columns = {c: batch.column(batch.schema.get_field_index(f"_{c}")).to_numpy(zero_copy_only=False).astype(float) for c in names}
             count = _failed(*columns.values(), shared.value, depth_k)
             valid = ~(np.isnan(columns["slope"]) | np.isnan(columns["sca"]))
             share = pa.array(count / len(shared.value), mask=~valid)

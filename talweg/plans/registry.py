@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talweg.plans import terrain
+from talweg.plans import mechanics, terrain
 
-MODULES = (terrain,)
+MODULES = (terrain, mechanics)
 ALL = {name: pair for module in MODULES for name, pair in module.QUERIES.items()}
 
 
