@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talweg.plans import mechanics, terrain
+from talweg.plans import assets, mechanics, terrain
 
-MODULES = (terrain, mechanics)
+MODULES = (terrain, mechanics, assets)
 ALL = {name: pair for module in MODULES for name, pair in module.QUERIES.items()}
 
 

@@ -46,11 +46,11 @@ JOIN cells b ON b.row = a.row + dr AND b.col = a.col + dc GROUP BY a.row, a.col"
 
 
 def q_steepest_rise(spark, sf_dir):
-    return stencil.steepest_rise(cells(spark, sf_dir), DX, DY).select("row", "col", r6("rise", "rise"))
+    return stencil.steepest_rise(cells(spark, sf_dir), DX, DY).select("row", "col", F.round("rise", 9).alias("rise"))
 
 
 RUNS = {k: (DX if not dr else DY if not dc else (DX * DX + DY * DY) ** 0.5) for k, (dr, dc) in stencil.NEIGHBOURS.items()}
-STEEPEST_SQL = f"WITH {CELLS}, around AS ({_joined('z', False)}) SELECT row, col, round(greatest(" + ", ".join(f"(z_{k} - z) / {RUNS[k]!r}" for k in NAMES) + "), 6) AS rise FROM around"
+STEEPEST_SQL = f"WITH {CELLS}, around AS ({_joined('z', False)}) SELECT row, col, round(greatest(" + ", ".join(f"(z_{k} - z) / {RUNS[k]!r}" for k in NAMES) + "), 9) AS rise FROM around"
 
 
 def directed(spark, sf_dir):
@@ -58,7 +58,7 @@ def directed(spark, sf_dir):
 
 
 def q_dinf_direction(spark, sf_dir):
-    return directed(spark, sf_dir).select("row", "col", r6("angle", "angle"), r6("slope", "slope"))
+    return directed(spark, sf_dir).select("row", "col", r6("angle", "angle"), F.round("slope", 9).alias("slope"))
 
 
 def _facets() -> str:
@@ -80,7 +80,7 @@ faced AS (SELECT row, col, z, list_transform([{_facets()}], lambda f: f) AS f FR
 best AS (SELECT row, col, z, f, list_max(list_transform(f, lambda x: x.s)) AS top FROM faced),
 directed AS (SELECT row, col, z, CASE WHEN top > 0 THEN fmod(f[list_position(list_transform(f, lambda x: x.s), top)].a, {2 * 3.141592653589793!r}) END AS angle,
   greatest(top, 0e0) AS slope FROM best)"""
-DIRECTION_SQL = f"WITH {CELLS}, {DIRECTED} SELECT row, col, round(angle, 6) AS angle, round(slope, 6) AS slope FROM directed"
+DIRECTION_SQL = f"WITH {CELLS}, {DIRECTED} SELECT row, col, round(angle, 6) AS angle, round(slope, 9) AS slope FROM directed"
 
 EDGES = f"""steps AS (SELECT * FROM (VALUES {', '.join(f'({i}, {dr}, {dc})' for i, (dr, dc) in enumerate(hydrology.STEPS))}) AS s(k, dr, dc)),
 parts AS (SELECT row, col, z, angle / {hydrology.QUARTER!r} AS part FROM directed WHERE angle IS NOT NULL),
