@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that scores are dealt into for a prefix sum over any number of distinct values.
-RANGES = 256
+from talweg.session import cut
 
-
-def running_counts(counts: DataFrame, keys: list[str], value: str, columns: list[str], ranges: int = RANGES) -> DataFrame:
+def running_counts(counts: DataFrame, keys: list[str], value: str, columns: list[str], ranges: int | None = None) -> DataFrame:
     """``counts``, one row per key and value, with ``before_<column>``: the sum over the key's smaller values.
 
-    Values are dealt by range over all tasks; sums within a range are windows, and the ranges' own totals, a row
+    Values are dealt by range over all tasks and written so, since another deal may draw other bounds; sums within a range are windows, and the ranges' own totals, a row
     for each key and range, give what comes before. No task sees all values.
     """
-    dealt = counts.repartitionByRange(ranges, *keys, value).withColumn("range", F.spark_partition_id())
+    ranges = ranges or int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(counts.repartitionByRange(ranges, *keys, value).withColumn("range", F.spark_partition_id()))
     own = Window.partitionBy(*keys, "range").orderBy(value)
     inside = dealt.withColumns({f"in_{c}": F.sum(c).over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col(c) for c in columns})
     totals = inside.groupBy(*keys, "range").agg(*[F.sum(c).alias(f"total_{c}") for c in columns])
@@ -43,8 +42,8 @@ def auc(rows: DataFrame, keys: list[str], score: str = "score", y: str = "y") ->
 def capture(rows: DataFrame, score: str = "score", y: str = "y", fractions: tuple[float, ...] = (0.05, 0.10, 0.20)) -> DataFrame:
     """(fraction, captured): the share of positives at or over the (1 - fraction) quantile of the negatives."""
     s = F.col(score)
-    cut = rows.agg(F.percentile(F.when(~F.col(y), s), F.array(*[F.lit(1 - f) for f in fractions])).alias("cuts"))
-    pairs = cut.select(F.posexplode("cuts").alias("k", "cut")).select(F.element_at(F.array(*map(F.lit, fractions)), F.col("k") + 1).alias("fraction"), "cut")
+    found = rows.agg(F.percentile(F.when(~F.col(y), s), F.array(*[F.lit(1 - f) for f in fractions])).alias("cuts"))
+    pairs = found.select(F.posexplode("cuts").alias("k", "cut")).select(F.element_at(F.array(*map(F.lit, fractions)), F.col("k") + 1).alias("fraction"), "cut")
     return rows.filter(F.col(y)).join(F.broadcast(pairs)).groupBy("fraction").agg(F.avg(F.when(s >= F.col("cut"), 1.0).otherwise(0.0)).alias("captured"))
 
 

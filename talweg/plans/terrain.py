@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talweg.functions import scores
-from talweg.operators import hydrology, sampling, stability, stencil
 from talweg.functions.gridding import Grid
+from talweg.operators import hydrology, sampling, stability, stencil
 from talweg.plans.views import CELLS, DX, DY, SCENARIO_P, SCENARIO_ROWS, WIDTH, cells, scenario_probability
+from talweg.session import cut
 from talweg.sources import writers
 
 NAMES = list(stencil.NEIGHBOURS)
@@ -54,11 +55,13 @@ STEEPEST_SQL = f"WITH {CELLS}, around AS ({_joined('z', False)}) SELECT row, col
 
 
 def directed(spark, sf_dir):
-    return hydrology.flow_direction(cells(spark, sf_dir).withColumnRenamed("z", "filled"), DX, DY)
+    """Written once, since the edges join it with itself."""
+    return cut(hydrology.flow_direction(cells(spark, sf_dir).withColumnRenamed("z", "filled"), DX, DY))
 
 
 def q_dinf_direction(spark, sf_dir):
-    return directed(spark, sf_dir).select("row", "col", r6("angle", "angle"), F.round("slope", 9).alias("slope"))
+    rows = hydrology.flow_direction(cells(spark, sf_dir).withColumnRenamed("z", "filled"), DX, DY)
+    return rows.select("row", "col", r6("angle", "angle"), F.round("slope", 9).alias("slope"))
 
 
 def _facets() -> str:
