@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from talweg.operators.graph import connected_components
 from talweg.session import cut
 
 UPPER = bytes(range(0x41, 0x5B))
@@ -93,35 +94,6 @@ def near_edges(fps: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node that each node of an edge can reach.
-
-    Large-star and small-star steps in turn. Each is an aggregation for the smallest neighbour and an equi-join,
-    so a node of very many neighbours is combined map-side and split by skew handling, never gathered.
-    """
-    now = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v"))
-
-    def signature(e: DataFrame):
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    seen = signature(now)
-    for _ in range(max_rounds):
-        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = cut(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.unionAll(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        if (found := signature(now)) == seen:
-            break
-        seen = found
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = now.groupBy("u").agg(F.min("v").alias("root"))
-    return roots.select(F.col("u").alias("node"), "root").unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
-
-
 def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that a document can reach by links; one row per row."""
     marked = cut(fingerprints(docs, ["doc_id"], size))
@@ -142,4 +114,4 @@ def keep_first(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
     """
     found = near_duplicates(docs.select("doc_id", "text"), radius, size)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")

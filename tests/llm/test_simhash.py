@@ -72,7 +72,7 @@ def test_components(spark, edges):
 
 def test_defined_cases(spark):
     rows = [(3, "x y z w"), (1, "x Y z w"), (None, "x y z w"), (7, None), (9, ""), (9, ""), (4, "other words here entirely different")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("clash")).withColumn("fp", F.lit(0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("clash")).withColumn("fp", F.lit(0)).withColumn("gone_id", F.lit(1))
     got = sorted([(r.doc_id, r.component_id) for r in S.near_duplicates(docs).collect()], key=str)
     assert got == sorted([(3, 1), (1, 1), (None, None), (7, 7), (9, 7), (9, 7), (4, 4)], key=str)
     kept = S.keep_first(docs)
