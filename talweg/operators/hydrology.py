@@ -115,14 +115,14 @@ def fill_depressions(cells: DataFrame, size: int = TILE, max_rounds: int = 10_00
         merged = found if known is None else known.unionByName(found).groupBy("grid_id", "row", "col").agg(F.min("level").alias("level"))
         changed = found if known is None else found.join(known.withColumnRenamed("level", "before"), ["grid_id", "row", "col"], "left").filter("before IS NULL OR level < before").drop("before")
         known = cut(merged)
-        sent = cut(_sent(changed, size))
-        halo = _sent(known, size)
-        if sent.isEmpty():
+        woken = cut(_sent(changed, size).select(*KEY).distinct())
+        if woken.isEmpty():
             break
-        work = tiles.join(sent.select(*KEY).distinct(), KEY, "left_semi")
+        halo = _sent(known, size).join(woken, KEY, "left_semi")
+        work = tiles.join(woken, KEY, "left_semi")
     else:
         raise RuntimeError(f"filling did not settle in {max_rounds} rounds")
-    final = tiles.groupBy(*KEY).cogroup(halo.groupBy(*KEY)).applyInPandas(lambda a, b: settle_tile(a, b, True), schema)
+    final = tiles.groupBy(*KEY).cogroup(_sent(known, size).groupBy(*KEY)).applyInPandas(lambda a, b: settle_tile(a, b, True), schema)
     return final.select("grid_id", "row", "col", "z", F.when(F.col("level") < float("inf"), F.col("level")).otherwise(F.col("z")).alias("filled"))
 
 
@@ -210,7 +210,7 @@ def accumulate(directed: DataFrame, value: str = "filled", size: int = TILE, max
     rows = keyed_cells.select(*KEY, "row", "col", F.lit(None).cast("int").alias("to_row"), F.lit(None).cast("int").alias("to_col"), F.lit(1.0).alias("share"))
     tiles = stored(rows.unionByName(packed))
 
-    def carry(own: pd.DataFrame, inflow: pd.DataFrame) -> pd.DataFrame:
+    def carry(own: pd.DataFrame, inflow: pd.DataFrame, last: bool) -> pd.DataFrame:
         if own.empty:
             return pd.DataFrame(columns=["grid_id", "row", "col", "p"])
         top, left = int(own["tile_row"].iloc[0]) * size, int(own["tile_col"].iloc[0]) * size
@@ -222,22 +222,33 @@ def accumulate(directed: DataFrame, value: str = "filled", size: int = TILE, max
         if len(inflow):
             np.add.at(start, number(inflow["row"], inflow["col"]), inflow["flow"].to_numpy(float))
         p = _carried(size * size, number(flow["row"], flow["col"]), number(flow["to_row"], flow["to_col"]), flow["share"].to_numpy(float), start)
-        return here[["grid_id", "row", "col"]].assign(p=p[number(here["row"], here["col"])])
+        out = here[["grid_id", "row", "col"]].assign(p=p[number(here["row"], here["col"])])
+        if last:
+            return out
+        r, c = out["row"] - top, out["col"] - left
+        return out[(r == 0) | (c == 0) | (r == size - 1) | (c == size - 1)]
 
     schema = f"grid_id {kind}, row int, col int, p double"
-    inflow = bridges.select("grid_id", F.col("to_row").alias("row"), F.col("to_col").alias("col"), F.lit(0.0).alias("flow")).limit(0)
-    before = None
+    at = {"tile_row": tile("row"), "tile_col": tile("col")}
+    inflow = bridges.select("grid_id", F.col("to_row").alias("row"), F.col("to_col").alias("col"), F.lit(0.0).alias("flow")).limit(0).withColumns(at)
+    work, near, known = tiles, inflow, None
     for _ in range(max_rounds):
-        place = inflow.withColumns({"tile_row": tile("row"), "tile_col": tile("col")})
-        passed = cut(tiles.groupBy(*KEY).cogroup(place.groupBy(*KEY)).applyInPandas(carry, schema))
-        over = bridges.join(passed, ["grid_id", "row", "col"]).groupBy("grid_id", "to_row", "to_col").agg(F.sum(F.col("share") * F.col("p")).alias("flow"))
-        inflow = cut(over.select("grid_id", F.col("to_row").alias("row"), F.col("to_col").alias("col"), "flow"))
-        total = inflow.agg(F.count(F.lit(1)), F.sum("flow")).first()
-        if before is not None and before[0] == total[0] and abs((before[1] or 0) - (total[1] or 0)) <= 1e-9 * max(1.0, abs(total[1] or 0)):
+        found = work.groupBy(*KEY).cogroup(near.groupBy(*KEY)).applyInPandas(lambda a, b: carry(a, b, False), schema)
+        if known is not None:
+            known = known.withColumns(at).join(woken, KEY, "left_anti").select("grid_id", "row", "col", "p").unionByName(found)
+        known = cut(found if known is None else known)
+        over = bridges.join(known, ["grid_id", "row", "col"]).groupBy("grid_id", "to_row", "to_col").agg(F.sum(F.col("share") * F.col("p")).alias("flow"))
+        arrived = cut(over.select("grid_id", F.col("to_row").alias("row"), F.col("to_col").alias("col"), "flow").withColumns(at))
+        before = inflow.select("grid_id", "row", "col", F.col("flow").alias("before"))
+        moved = F.abs(F.col("flow") - F.coalesce("before", F.lit(0.0))) > 1e-12 * F.col("flow")
+        woken = cut(arrived.join(before, ["grid_id", "row", "col"], "left").filter(moved).select(*KEY).distinct())
+        inflow = arrived
+        if woken.isEmpty():
             break
-        before = total
+        work, near = tiles.join(woken, KEY, "left_semi"), inflow.join(woken, KEY, "left_semi")
     else:
         raise RuntimeError(f"accumulation did not settle in {max_rounds} rounds")
+    passed = stored(tiles.groupBy(*KEY).cogroup(inflow.groupBy(*KEY)).applyInPandas(lambda a, b: carry(a, b, True), schema))
     up = edges.filter("NOT down").join(passed, ["grid_id", "row", "col"]).groupBy("grid_id", "to_row", "to_col").agg(F.sum(F.col("share") * F.col("p")).alias("more"))
     up = up.withColumnsRenamed({"to_row": "row", "to_col": "col"})
     return passed.join(up, ["grid_id", "row", "col"], "left").select("grid_id", "row", "col", (F.col("p") + F.coalesce("more", F.lit(0.0))).alias("cells"))
