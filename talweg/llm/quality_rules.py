@@ -126,32 +126,33 @@ def _gain(p: float, n: float, p0: float, n0: float) -> float:
     return p * (log2(p / (p + n)) - log2(p0 / (p0 + n0))) if p and p0 else 0.0
 
 
-def _best_condition(rows: DataFrame, cuts: dict[str, list[float]], p0: int, n0: int) -> tuple[Condition | None, int, int]:
-    """The condition of most information gain; one aggregation over all features and thresholds."""
-    bins = F.array(
-        *[
-            F.struct(
-                F.lit(f).alias("f"),
-                sum((F.col(f) >= c).cast("int") for c in at).alias("b"),
-            )
-            for f, at in cuts.items()
-        ]
-    )
+#: A condition on a feature's bin: the feature, the bin's number, and whether the bin or a higher one is wanted.
+Step = tuple[str, int, bool]
+
+
+def _within(steps: list[Step]) -> Column:
+    return reduce(lambda a, b: a & b, ((F.col(f) >= k) == F.lit(up) for f, k, up in steps), F.lit(True))
+
+
+def _best_step(rows: DataFrame, bins: dict[str, int]) -> tuple[Step | None, int, int, int, int]:
+    """The step of most information gain, the bad and good rows under it, and those before; one aggregation."""
+    each = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("b")) for f in bins])
     counts = (
-        rows.select("bad", F.explode(bins).alias("e"))
+        rows.select("bad", F.explode(each).alias("e"))
         .groupBy("e.f", "e.b")
-        .agg(F.sum(F.col("bad")).alias("p"), F.sum(1 - F.col("bad")).alias("n"))
+        .agg(F.sum("bad").alias("p"), F.sum(1 - F.col("bad")).alias("n"))
         .collect()  # at most a row for each feature and threshold
     )
+    own = {f: {r["b"]: (r["p"], r["n"]) for r in counts if r["f"] == f} for f in bins}
+    p0, n0 = (sum(v[j] for v in own[next(iter(bins))].values()) for j in (0, 1))
     best, most = (None, 0, 0), 0.0
-    for feature, at in sorted(cuts.items()):
-        own = {r["b"]: (r["p"], r["n"]) for r in counts if r["f"] == feature}
-        for k, threshold in enumerate(at, start=1):
-            above = [sum(v[j] for b, v in own.items() if b >= k) for j in (0, 1)]
-            for at_least, (p, n) in ((True, above), (False, (p0 - above[0], n0 - above[1]))):
+    for feature, top in sorted(bins.items()):
+        for k in range(1, top + 1):
+            above = [sum(v[j] for b, v in own[feature].items() if b >= k) for j in (0, 1)]
+            for up, (p, n) in ((True, above), (False, (p0 - above[0], n0 - above[1]))):
                 if (gain := _gain(p, n, p0, n0)) > most + 1e-9:
-                    best, most = (Condition(feature, at_least, threshold), int(p), int(n)), gain
-    return best
+                    best, most = ((feature, k, up), int(p), int(n)), gain
+    return *best, int(p0), int(n0)
 
 
 def learn_rules(
@@ -167,7 +168,8 @@ def learn_rules(
     Each round grows one conjunction on the rows for growing, condition by condition, cuts it back to the
     beginning that does best on the rows for pruning, and removes what it covers. It ends when a rule does not
     reach ``min_precision`` on the pruning rows or covers fewer than ``min_cover`` bad rows of both kinds.
-    Every count is one Spark aggregation; only the counts come to the driver.
+    The features are first put in bins between their thresholds, quantiles of the bad and of the good rows. Every
+    count is one Spark aggregation; only the counts come to the driver.
     """
     quantiles = [k / (thresholds + 1) for k in range(1, thresholds + 1)]
     found = labelled.agg(
@@ -175,49 +177,52 @@ def learn_rules(
     ).first()
     cuts = {f: sorted({round(x, 6) for bad in (0, 1) for x in found[f"{f}_{bad}"] or []}) for f in FEATURES}
     cuts = {f: at for f, at in cuts.items() if at}
+    if not cuts:
+        return []
+    binned = [F.expr(f"size(filter(array({', '.join(f'{x!r}D' for x in at)}), c -> {f} >= c))").alias(f) for f, at in cuts.items()]
+    rest = cut(labelled.select("bad", "prune", *binned))
+    bins = {f: len(at) for f, at in cuts.items()}
     rules: list[Rule] = []
-    rest = labelled
-
-    def counted(rows: DataFrame, *conditions: Column) -> list[tuple[int, int]]:
-        one = rows.agg(*[F.sum(F.when(c, v)).alias(f"c{k}_{j}") for k, c in enumerate(conditions) for j, v in enumerate((F.col("bad"), 1 - F.col("bad")))]).first()
-        return [(one[f"c{k}_0"] or 0, one[f"c{k}_1"] or 0) for k in range(len(conditions))]
-
-    while cuts and len(rules) < max_rules:
-        grow, prune = rest.filter(~F.col("prune")), rest.filter("prune")
-        (p, n), = counted(grow, F.lit(True))
-        rule: Rule = ()
-        while p and n and len(rule) < max_conditions:
-            rows = grow.filter(holds(rule)) if rule else grow
-            condition, p1, n1 = _best_condition(rows, cuts, p, n)
-            if condition is None:
+    while len(rules) < max_rules:
+        steps: list[Step] = []
+        p = n = None
+        while len(steps) < max_conditions and n != 0:
+            step, p1, n1, p0, n0 = _best_step(rest.filter(~F.col("prune")).filter(_within(steps)), bins)
+            if step is None or not p0 or not n0:
                 break
-            rule, p, n = (*rule, condition), p1, n1
-        if not rule or p < min_cover:
+            steps, p, n = [*steps, step], p1, n1
+        if not steps or p < min_cover:
             break
-        starts = [rule[:k] for k in range(1, len(rule) + 1)]
-        scores = counted(prune, *[holds(r) for r in starts])
+        starts = [steps[:k] for k in range(1, len(steps) + 1)]
+        sums = [F.sum(F.when(_within(s), v)).alias(f"c{k}_{j}") for k, s in enumerate(starts) for j, v in enumerate((F.col("bad"), 1 - F.col("bad")))]
+        one = rest.filter("prune").agg(*sums).first()
+        scores = [(one[f"c{k}_0"] or 0, one[f"c{k}_1"] or 0) for k in range(len(starts))]
         best = max(range(len(starts)), key=lambda k: ((scores[k][0] - scores[k][1]) / max(1, sum(scores[k])), scores[k][0], -k))
         p, n = scores[best]
         if p < min_cover or p < min_precision * (p + n):
             break
-        rules.append(starts[best])
-        rest = rest.filter(~holds(starts[best]))
+        rules.append(tuple(Condition(f, up, cuts[f][k - 1]) for f, k, up in starts[best]))
+        rest = rest.filter(~_within(starts[best]))
     return rules
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """Features and labels of at most ``max_rows`` labelled documents, those of the smallest hashes of doc_id."""
+    """Features and labels of at most ``max_rows`` labelled documents, those of the smallest hashes of doc_id.
+
+    Documents that fail the base checks are rejected without the list, so it does not learn from them.
+    """
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select("doc_id", "quality")
     order = F.xxhash64(F.col("doc_id").cast("string"))
     sample = usable.orderBy(order, "doc_id", "quality").limit(max_rows)  # the bound is what makes the broadcast safe
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     return cut(
-        with_features(text_statistics(rows, ["doc_id", "quality"])).select(
+        with_features(text_statistics(rows, ["doc_id", "quality"])).select("*", base_failed().alias("failed")).select(
+            "failed",
             (1 - F.col("quality")).alias("bad"),
             (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("prune")), F.lit(3)) == 0).alias("prune"),
             *FEATURES,
         )
-    )
+    ).filter("NOT failed")
 
 
 def base_failed() -> Column:
