@@ -13,6 +13,7 @@ EARTH_M = 6_371_000.0
 METRES_PER_DEGREE_LON, METRES_PER_DEGREE_LAT = 111_320.0, 110_540.0
 FOOTPRINT_M = {"city": 1000.0, "town": 500.0, "village": 250.0, "hamlet": 100.0}
 DEFAULT_FOOTPRINT_M = 250.0
+DEFAULT_POPULATION = {"city": 100000, "town": 10000, "village": 1000, "hamlet": 100}  # for ranking only
 STEEP_CUT_DEG, CHANNEL_SCA = 35.0, 5000.0
 
 
@@ -70,8 +71,8 @@ def remap(value: Column, mapping: dict, default) -> Column:
     return F.coalesce(table[value], F.lit(default))
 
 
-#: Colour ramp stops: share, red, green, blue.
-RAMP = [(0.0, 43, 131, 186), (0.2, 128, 191, 172), (0.4, 199, 233, 173), (0.6, 254, 223, 154), (0.8, 245, 144, 83), (1.0, 215, 25, 28)]
+# The colour ramp of a probability (share, red, green, blue).
+RAMP = [(0.0, 247, 251, 255), (0.2, 198, 219, 239), (0.4, 107, 174, 214), (0.6, 253, 174, 97), (0.8, 240, 89, 40), (1.0, 153, 0, 13)]
 
 
 def ramp(share: Column, channel: int) -> Column:

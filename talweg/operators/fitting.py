@@ -13,14 +13,14 @@ from talweg.operators import ranking
 from talweg.operators.stability import Soil, draws
 
 # Fixed values of the search grid.
-COHESION_CAPS = (0.1, 0.2, 0.3, 0.5)
-FRICTION_BANDS = ((20.0, 35.0), (25.0, 40.0), (30.0, 45.0))
-RT_CAPS = (0.001, 0.005, 0.01, 0.05)
+COHESION_CAPS = (0.05, 0.15, 0.25, 0.40)
+FRICTION_BANDS = ((25.0, 35.0), (30.0, 40.0), (35.0, 45.0))
+RT_CAPS = (0.0005, 0.002, 0.01, 0.05)
 
 
 def candidate_soils(depths: tuple[float, ...] = (0.0,)) -> list[Soil]:
-    """Every combination; the lower recharge ratio is a fiftieth of the upper."""
-    return [Soil((0.0, c), f, (r / 50, r), k) for c, f, r, k in product(COHESION_CAPS, FRICTION_BANDS, RT_CAPS, depths)]
+    """Every combination, depths outermost; the lower recharge ratio is a fiftieth of the upper."""
+    return [Soil((0.0, c), f, (r / 50, r), k) for k, c, f, r in product(depths, COHESION_CAPS, FRICTION_BANDS, RT_CAPS)]
 
 
 def candidate_draws(spark: SparkSession, soils: list[Soil], n: int, seed: int = 0) -> DataFrame:

@@ -20,7 +20,7 @@ class Soil:
 
     cohesion: tuple[float, float] = (0.0, 0.25)
     friction_deg: tuple[float, float] = (30.0, 45.0)
-    rt: tuple[float, float] = (0.0001, 0.005)
+    rt: tuple[float, float] = (0.0001, 0.01)
     depth_k: float = 0.0
 
 

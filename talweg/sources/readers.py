@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from talweg.functions.scores import FOOTPRINT_M
 
-# Column names that are looked for, in this order, in any case.
-LATITUDES = ["latitude", "lat", "y"]
-LONGITUDES = ["longitude", "lon", "long", "lng", "x"]
+# Column names that are looked for, in this order, in any case; codes of places; road classes.
+LATITUDES = ["latitude", "lat", "y", "ycoord", "y_coord"]
+LONGITUDES = ["longitude", "lon", "long", "lng", "x", "xcoord", "x_coord"]
 COUNTRIES = ["country_name", "country", "admin0", "cntry_name"]
-UNIT_NAMES = ["name", "name_1", "name_en", "admin1"]
-UNIT_COUNTRIES = ["admin", "country", "name_0", "sovereignt"]
+UNIT_NAMES = ["name", "shapename", "name_1", "adm1_en", "adm1_name"]
+UNIT_COUNTRIES = ["admin", "shapegroup", "name_0", "adm0_en", "country"]
+ROAD_CLASSES = ["motorway", "trunk", "primary", "secondary", "tertiary"]
 GEONAMES = ["geonameid", "name", "asciiname", "alternatenames", "latitude", "longitude", "feature_class", "feature_code", "country", "cc2", "admin1", "admin2", "admin3", "admin4", "population", "elevation", "dem", "timezone", "modified"]
-GEONAMES_PLACES = {"PPLC": "city", "PPLA": "city", "PPLA2": "town", "PPLA3": "town", "PPLA4": "village", "PPL": "village", "PPLF": "hamlet"}
+GEONAMES_PLACES = {"PPLC": "city", "PPLA": "city", "PPLA2": "town", "PPLA3": "town", "PPLA4": "town", "PPL": "village", "PPLX": "village", "PPLL": "hamlet"}
 
 Box = tuple[float, float, float, float]
 
@@ -103,10 +104,10 @@ def overpass_settlements(spark: SparkSession, path: str, places: list[str] | Non
     return _in_box(rows.select(named.alias("name"), "lon", "lat", tags("place").alias("place"), people(tags("population")).alias("population")), None)
 
 
-def overpass_roads(spark: SparkSession, path: str, classes: list[str]) -> DataFrame:
+def overpass_roads(spark: SparkSession, path: str, classes: list[str] | None = None) -> DataFrame:
     """(name, highway, coords) of the ways of the wanted classes with two vertices at least."""
     tags = lambda k: F.element_at("tags", k)
-    rows = _elements(spark, path, "way").filter(tags("highway").isin(classes) & (F.size("geometry") >= 2))
+    rows = _elements(spark, path, "way").filter(tags("highway").isin(classes or ROAD_CLASSES) & (F.size("geometry") >= 2))
     return rows.select(F.coalesce(tags("name:en"), tags("name"), F.lit("(unnamed)")).alias("name"), tags("highway").alias("highway"), F.transform("geometry", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))).alias("coords"))
 
 
@@ -115,7 +116,7 @@ def geonames(spark: SparkSession, path: str, box: Box | None = None) -> DataFram
     schema = ", ".join(f"{c} string" for c in GEONAMES)
     rows = spark.read.schema(schema).option("sep", "\t").option("quote", "").csv(path).filter("feature_class = 'P'")
     places = F.create_map(*[F.lit(x) for pair in GEONAMES_PLACES.items() for x in pair])
-    out = rows.select("name", F.col("longitude").try_cast("double").alias("lon"), F.col("latitude").try_cast("double").alias("lat"), F.coalesce(places[F.col("feature_code")], F.lit("hamlet")).alias("place"), F.nullif(F.col("population").try_cast("long"), F.lit(0)).alias("population"))
+    out = rows.select("name", F.col("longitude").try_cast("double").alias("lon"), F.col("latitude").try_cast("double").alias("lat"), F.coalesce(places[F.col("feature_code")], F.lit("village")).alias("place"), F.nullif(F.col("population").try_cast("long"), F.lit(0)).alias("population"))
     return _in_box(out, box)
 
 
