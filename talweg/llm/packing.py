@@ -189,15 +189,19 @@ def _epoch(state: DataFrame, capacity: int, epoch: int) -> DataFrame:
     return state.mapInArrow(run, STATE)
 
 
-def _evolved(ranked: DataFrame, capacity: int) -> DataFrame:
-    """(shard, rank, bin) of the best packing of every shard of ``ranked`` (shard, rank, length)."""
+def _evolved(ranked: DataFrame, capacity: int, shards: int) -> DataFrame:
+    """(shard, rank, bin) of the best packing of every shard of ``ranked`` (shard, rank, length).
+
+    An island is small and takes long, so they are dealt into a number of tasks that is not left to their bytes.
+    """
+    tasks = max(1, min(shards * ISLANDS, 10 * ranked.sparkSession.sparkContext.defaultParallelism))
     shards = ranked.groupBy("shard").agg(F.sort_array(F.collect_list(F.col("length").cast("int")), asc=False).alias("sizes"))
     islands = shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "sizes", F.array().cast("array<array<int>>").alias("population"))
-    state = cut(_epoch(islands.repartition("shard", "island"), capacity, 0))
+    state = cut(_epoch(islands.repartition(tasks, "shard", "island"), capacity, 0))
     for epoch in range(1, EPOCHS):
         guests = state.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.slice("population", 1, 1).alias("guest"))
         met = state.join(guests, ["shard", "island"])
-        state = cut(_epoch(met.select("shard", "island", "sizes", F.concat("population", "guest").alias("population")), capacity, epoch))
+        state = cut(_epoch(met.select("shard", "island", "sizes", F.concat("population", "guest").alias("population")).repartition(tasks, "shard", "island"), capacity, epoch))
     best = state.groupBy("shard").agg(F.min_by(F.get("population", F.lit(0)), F.struct("bins", "score", "island")).alias("places"))
     return best.select("shard", F.posexplode("places").alias("rank", "bin"))
 
@@ -218,7 +222,7 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE, shard_pieces: int = SHARD_
         dealt = rest.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(shards)))
         by_size = Window.partitionBy("shard").orderBy(F.desc("length"), "uid")
         ranked = cut(dealt.withColumn("rank", F.row_number().over(by_size) - 1))
-        placed = ranked.join(_evolved(ranked, capacity), ["shard", "rank"])
+        placed = ranked.join(_evolved(ranked, capacity, shards), ["shard", "rank"])
         own = Window.partitionBy("shard", "bin")
         before = own.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
         placed = cut(placed.withColumns({"offset": F.coalesce(F.sum("length").over(before), F.lit(0)), "filled": F.sum("length").over(own)}))
