@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talweg.session import stored
+from talweg.session import cut, stored
 
 MIN_WORDS = 50
 LAST = (1 << 63) - 1
@@ -91,7 +91,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     met = windows.groupBy("fp").agg(F.min(position).alias("a"), F.max(position).alias("b")).filter("a < b").select("fp")
     near = windows.join(met, "fp", "left_semi").select("doc", "text_hash", "h1", "h2", "start", "stop")
     origin = F.struct("doc", "text_hash", "start")
-    first = near.groupBy("h1", "h2").agg(F.min(origin).alias("first"), F.max(origin).alias("last")).filter("first < last").drop("last")
+    first = cut(near.groupBy("h1", "h2").agg(F.min(origin).alias("first"), F.max(origin).alias("last")).filter("first < last").drop("last"))
     later = near.join(first, ["h1", "h2"]).filter(origin > F.col("first")).select("doc", "text_hash", "start", "stop").distinct()
     order = Window.partitionBy("doc", "text_hash").orderBy("start", "stop")
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
