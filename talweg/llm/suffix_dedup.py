@@ -52,9 +52,13 @@ ODD1, ODD2, ODD3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B
 
 def gram_hashes(flat: np.ndarray, gram: int) -> np.ndarray:
     """The hash of the ``gram`` bytes (8, 16, 32, ...) from every position; what lies beyond the end is zero."""
-    padded = np.zeros(len(flat) + 8, np.uint8)
+    padded = np.zeros(len(flat) + 16, np.uint8)
     padded[: len(flat)] = flat
-    h = np.lib.stride_tricks.as_strided(padded, (len(flat), 8), (1, 1)).copy().view(np.uint64).ravel() * ODD1
+    h = np.empty(len(flat), np.uint64)
+    for k in range(8):
+        part = h[k::8]
+        part[:] = padded[k : k + 8 * len(part)].view(np.uint64)
+    h *= ODD1
     h ^= h >> np.uint64(29)
     step = 8
     while step < gram:
@@ -386,7 +390,7 @@ def _merged(met: DataFrame, carried: list[str], scratch: Scratch) -> tuple[DataF
     firsts = scratch.stored(met.groupBy("anchor", "content").agg(first.alias("first"), F.count(F.lit(1)).alias("n")))
     several = firsts.filter("n > 1").select(F.col("anchor").alias("f_anchor"), F.col("content").alias("f_content"), F.col("first.doc").alias("f_doc"), F.col("first.place").alias("f_place"))
     same = (F.col("anchor") == F.col("f_anchor")) & (F.col("content") == F.col("f_content"))
-    copies = met.join(several, same).filter(F.struct("doc", "place") > F.struct("f_doc", "f_place"))
+    copies = met.join(several.hint("shuffle_hash"), same).filter(F.struct("doc", "place") > F.struct("f_doc", "f_place"))
     return firsts.select("anchor", "first.*"), copies.select("doc", "place")
 
 
@@ -405,7 +409,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     first_steps, scratch = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
     shared = cut(anchors(docs, length).groupBy("anchor").count().filter("count > 1").select("anchor"))
     scratch.tidy()
-    met = first_steps.stored(segments(docs, length).join(shared, "anchor", "left_semi"))
+    met = first_steps.stored(segments(docs, length).join(shared.hint("shuffle_hash"), "anchor", "left_semi"))
     scratch.tidy()
     firsts, copies = _merged(met, [], scratch)
     copies = scratch.stored(copies)
