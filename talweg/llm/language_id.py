@@ -7,12 +7,14 @@ under which the text is most probable is predicted, and the score is its posteri
 The probabilities are learned by expectation maximisation: the expected uses of each piece, over all segmentations
 of each distinct word of the training texts, are computed in tasks and summed by Spark. ``docs_per_language`` bounds
 the training sample: of each language's documents, a share by a hash of doc_id is taken that comes to that number.
+All sums are scaled place by place, so no word is too long and no probability too small. A piece that a language's
+texts do not use has the same small probability in every language, whatever their sizes.
 
 Words are runs of letters, lower-cased. Defined cases: a null text, or one without a letter, is ``und`` with score
 0; so is every text when there is nothing to learn from. Documents without an id or a language are not learned
-from. A letter that is no piece counts as an unknown one, with a probability of its own. Words of more than
-``LONG`` letters are scored like any other, but not learned from. Repeated rows are predicted each on its own, and
-columns other than those named are not read.
+from. A letter that is no piece counts as an unknown one, equally improbable in all languages; of equally probable
+languages the first by name is predicted. For learning, a word of more than ``LONG`` letters counts as several. Repeated rows are predicted each on its own, and columns other than those
+named are not read. Of more than ``LANGUAGES_AT_ONCE`` languages, blocks of so many are scored one after the other.
 """
 
 from __future__ import annotations
@@ -28,15 +30,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talweg.llm import tokens
-from talweg.session import cut
+from talweg.session import cut, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 MARK = "▁"  # begins a word in the vocabulary
+#: Words of up to so many letters share tables, longer ones are worked off alone in less memory: the same sums.
 LONG = 40
+#: Places between two scalings in a table: no product of so many small probabilities underflows.
+RESCALED = 8
 DOCS_PER_LANGUAGE = 2_000
-MAX_LANGUAGES = 200
+LANGUAGES_AT_ONCE = 200
 ROUNDS = 3
-SMOOTHING = 0.05
+#: The probability, in every language, of a piece that its texts do not use, and of a letter that is no piece.
+UNSEEN = 1e-8
 #: Numbers that one forward table may have, whatever the number of languages.
 TABLE_CELLS = 4_000_000
 FILTER_BITS = 20
@@ -104,34 +110,38 @@ class Vocabulary:
                 found[j].append((word[at[a:b]], pieces[a:b]))
         return lengths, found
 
-    def forward(self, words: list[str], chance: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
-        """alpha[word, place, language]; ``chance`` is [piece, language]. For words up to ``LONG`` letters."""
-        lengths, found = self.matches(words)
-        alpha = np.zeros((len(words), len(found), chance.shape[1]))
-        alpha[:, 0] = 1
-        for j in range(1, len(found)):
-            for k, (word, pieces) in enumerate(found[j], start=1):
-                if len(word):
-                    alpha[word, j] += alpha[word, j - k] * chance[pieces]
-        return alpha, lengths, found
-
     def log_chances(self, words: list[str], chance: np.ndarray) -> np.ndarray:
-        """[word, language]: the log of each word's probability, over all its segmentations."""
+        """[word, language]: the log of each word's probability, over all its segmentations; ``chance`` is [piece, language]."""
         out = np.empty((len(words), chance.shape[1]))
         short = [i for i, w in enumerate(words) if len(w) <= LONG]
         short.sort(key=lambda i: len(words[i]))
         step = max(64, TABLE_CELLS // ((LONG + 2) * chance.shape[1]))
         for a in range(0, len(short), step):
             part = short[a : a + step]
-            alpha, lengths, _ = self.forward([words[i] for i in part], chance)
-            out[part] = np.log(alpha[np.arange(len(part)), lengths])
+            out[part] = self._log_chances_of_short([words[i] for i in part], chance)
         for i, w in enumerate(words):
             if len(w) > LONG:
                 out[i] = self._log_chance_of_long(MARK + w, chance)
         return out
 
+    def _log_chances_of_short(self, words: list[str], chance: np.ndarray) -> np.ndarray:
+        """The forward sums of all ``words`` at once; the places that later ones need are scaled now and then."""
+        lengths, found = self.matches(words)
+        alpha = np.zeros((len(words), len(found), chance.shape[1]))
+        alpha[:, 0] = 1
+        scale = np.zeros((len(words), chance.shape[1]))
+        for j in range(1, len(found)):
+            for k, (word, pieces) in enumerate(found[j], start=1):
+                if len(word):
+                    alpha[word, j] += alpha[word, j - k] * chance[pieces]
+            if j % RESCALED == 0:
+                peak = np.where(alpha[:, j] > 0, alpha[:, j], 1.0)  # words that have ended stay as they are
+                alpha[:, max(0, j - self.longest) : j + 1] /= peak[:, None]
+                scale += np.log(peak)
+        return np.log(alpha[np.arange(len(words)), lengths]) + scale
+
     def _log_chance_of_long(self, word: str, chance: np.ndarray) -> np.ndarray:
-        """The same sum, scaled place by place so that nothing underflows."""
+        """The same sum for one word, scaled at every place, in the memory of its longest piece."""
         last = [np.ones(chance.shape[1])]
         total = np.zeros(chance.shape[1])
         for j in range(1, len(word) + 1):
@@ -140,30 +150,32 @@ class Vocabulary:
                 piece = self.number.get(word[j - k : j], 0 if k == 1 else None)
                 if piece is not None:
                     now += last[-k] * chance[piece]
-            scale = now.copy()
-            total += np.log(scale)
-            last = [x / scale for x in [*last[-self.longest :], now]]
+            total += np.log(now)
+            last = [x / now for x in [*last[-self.longest :], now]]
         return total
 
     def expected_uses(self, words: list[str], counts: np.ndarray, chance: np.ndarray) -> np.ndarray:
-        """[piece]: expected uses in ``words``, each ``counts`` times, under ``chance`` [piece]."""
-        uses = np.zeros(len(self.pieces))
+        """[piece]: expected uses in ``words`` of up to ``LONG`` letters, each ``counts`` times, under ``chance`` [piece]."""
+        uses, log_chance = np.zeros(len(self.pieces)), np.log(chance)
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
         step = TABLE_CELLS // (LONG + 2)
         for a in range(0, len(order), step):
             part = order[a : a + step]
-            alpha, lengths, found = self.forward([words[i] for i in part], chance[:, None])
-            alpha = alpha[:, :, 0]
-            beta = np.zeros_like(alpha)
+            lengths, found = self.matches([words[i] for i in part])
             rows = np.arange(len(part))
-            beta[rows, lengths] = 1
-            weight = counts[part] / alpha[rows, lengths]
+            alpha, beta = (np.full((len(part), len(found)), -np.inf) for _ in range(2))  # logs
+            alpha[:, 0], beta[rows, lengths] = 0.0, 0.0
+            for j in range(1, len(found)):
+                for k, (word, pieces) in enumerate(found[j], start=1):
+                    if len(word):
+                        alpha[word, j] = np.logaddexp(alpha[word, j], alpha[word, j - k] + log_chance[pieces])
+            total, weight = alpha[rows, lengths], counts[part]
             for j in range(len(found) - 1, 0, -1):
                 for k, (word, pieces) in enumerate(found[j], start=1):
                     if len(word):
-                        rest = chance[pieces] * beta[word, j]
-                        beta[word, j - k] += rest
-                        uses += np.bincount(pieces, alpha[word, j - k] * rest * weight[word], len(uses))
+                        rest = log_chance[pieces] + beta[word, j]
+                        beta[word, j - k] = np.logaddexp(beta[word, j - k], rest)
+                        uses += np.bincount(pieces, np.exp(alpha[word, j - k] + rest - total[word]) * weight[word], len(uses))
         return uses
 
 
@@ -177,7 +189,11 @@ def vocabulary(file: str) -> Vocabulary:
 
 
 def smoothed(uses: np.ndarray) -> np.ndarray:
-    return (uses + SMOOTHING) / (uses.sum(axis=0) + SMOOTHING * len(uses))
+    """[piece, language] probabilities; what a language does not use is equally improbable in all of them."""
+    uses = uses.copy()
+    uses[0] = 0  # the letter that is no piece
+    share = uses / np.maximum(uses.sum(axis=0), 1e-300)
+    return (share + UNSEEN) / (1 + UNSEEN * len(uses))
 
 
 def held_out() -> object:
@@ -185,34 +201,36 @@ def held_out() -> object:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
-def learn(docs: DataFrame, file: str, docs_per_language: int = DOCS_PER_LANGUAGE, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
-    """The languages, sorted, and [piece, language] probabilities."""
-    usable = docs.select("doc_id", "text", "lang").filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").filter(~held_out())
-    numbers = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(numbers) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages = sorted(r["lang"] for r in numbers)
-    if not languages:
-        return [], np.zeros((0, 0))
-    share = {r["lang"]: min(1.0, docs_per_language / r["count"]) for r in numbers}
-    shares = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
-    at = F.create_map(*[F.lit(x) for pair in zip(languages, range(len(languages)), strict=True) for x in pair])
+def _usable(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", "lang").filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").filter(~held_out())
+
+
+def languages_of(docs: DataFrame) -> list[tuple[str, int]]:
+    """The languages to learn, by name, with their numbers of documents: a row for each language."""
+    return [(r["lang"], r["count"]) for r in _usable(docs).groupBy("lang").count().orderBy("lang").collect()]
+
+
+def learn(docs: DataFrame, languages: list[tuple[str, int]], file: str, docs_per_language: int = DOCS_PER_LANGUAGE, rounds: int = ROUNDS) -> np.ndarray:
+    """[piece, language] probabilities of ``languages`` (name, number of documents)."""
+    names = [name for name, _ in languages]
+    shares = F.create_map(*[F.lit(x) for name, n in languages for x in (name, min(1.0, docs_per_language / n))])
+    at = F.create_map(*[F.lit(x) for pair in zip(names, range(len(names)), strict=True) for x in pair])
     part = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) / float(1 << 20)
-    sample = usable.filter(part < shares[F.col("lang")]).select(at[F.col("lang")].alias("lang"), "text")
+    sample = _usable(docs).filter(part < shares[F.col("lang")]).select(at[F.col("lang")].alias("lang"), "text")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[int, Counter] = {}
             for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found.setdefault(lang, Counter()).update(w for w in words_of(text) if len(w) <= LONG)
+                # a word of more than LONG letters counts as several
+                found.setdefault(lang, Counter()).update(w[k : k + LONG] for w in words_of(text) for k in range(0, len(w), LONG))
             rows = [(lang, w, n) for lang, own in found.items() for w, n in own.items()]
             langs, words, n = zip(*rows, strict=True) if rows else ([], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.int32()), pa.array(words, pa.string()), pa.array(n, pa.int64())], ["lang", "word", "n"])
 
-    counted = sample.mapInArrow(count, "lang int, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counted = cut(counted)
+    counted = cut(sample.mapInArrow(count, "lang int, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     size, context = len(vocabulary(file).pieces), docs.sparkSession.sparkContext
-    chance = np.full((size, len(languages)), 1.0 / size)
+    chance = np.full((size, len(names)), 1.0 / size)
     for _ in range(rounds):
         now = context.broadcast(chance)
 
@@ -232,44 +250,59 @@ def learn(docs: DataFrame, file: str, docs_per_language: int = DOCS_PER_LANGUAGE
         uses[found["piece"].to_numpy(), found["lang"].to_numpy()] = found["uses"].to_numpy()
         chance = smoothed(uses)
         now.unpersist()
-    return languages, chance
+    return chance
+
 
+def _scored(rows: DataFrame, languages: list[str], chance: np.ndarray, file: str) -> DataFrame:
+    """``rows`` (.., body, best, top, mass) with ``languages`` taken into account.
 
-def predict(docs: DataFrame, keep: list[str], languages: list[str], chance: np.ndarray, file: str) -> DataFrame:
-    """``keep``, lang_pred and score of every row, from its text alone."""
-    model = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(chance))
-    names = [f"k{i}" for i in range(len(keep))]
-    given = docs.select(*[F.col(c).alias(x) for c, x in zip(keep, names, strict=True)], F.coalesce(F.col("text"), F.lit("")).alias("body"))
-    schema = given.drop("body").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    ``best`` is the most probable language so far, ``top`` the log of the text's probability under it, and ``mass``
+    the sum of the probabilities under all languages so far, as a multiple of that one. They are null at first.
+    """
+    model = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(chance))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(file)
         for batch in batches:
             number: dict[str, int] = {}
             texts = []
-            bodies = batch.column(len(names))
+            bodies = batch.column(batch.schema.names.index("body"))
             for i in range(len(bodies)):
-                own = words_of(bodies[i].as_py()) if languages else []
-                texts.append(np.array([number.setdefault(w, len(number)) for w in own], np.int64))
+                texts.append(np.array([number.setdefault(w, len(number)) for w in words_of(bodies[i].as_py())], np.int64))
             logs = known.log_chances(list(number), model.value) if number else None
-            best, scores = [], []
-            for own in texts:
-                if not len(own):
-                    best.append("und")
-                    scores.append(0.0)
-                    continue
-                total = logs[own].sum(axis=0)
-                k = int(total.argmax())
-                best.append(languages[k])
-                scores.append(float(1 / np.exp(np.maximum(total - total[k], -700)).sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(best, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
-
-    return given.mapInArrow(score, schema).toDF(*keep, "lang_pred", "score")
-
-
-def identify(docs: DataFrame, vocabulary_file: str | None = None, docs_per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every row of ``docs`` (doc_id, text, lang)."""
+            found = zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in ("best", "top", "mass")), strict=True)
+            out = []
+            for own, (best, top, mass) in zip(texts, found, strict=True):
+                if len(own):
+                    total = logs[own].sum(axis=0)
+                    k = int(total.argmax())
+                    sum_ = float(np.exp(np.maximum(total - total[k], -700)).sum())
+                    if best is None:
+                        best, top, mass = languages[k], float(total[k]), sum_
+                    elif total[k] > top:
+                        best, top, mass = languages[k], float(total[k]), sum_ + mass * float(np.exp(max(top - total[k], -700)))
+                    else:
+                        mass += sum_ * float(np.exp(max(total[k] - top, -700)))
+                out.append((best, top, mass))
+            kinds = (pa.string(), pa.float64(), pa.float64())
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *columns], batch.schema.names)
+
+    return rows.mapInArrow(score, rows.schema)
+
+
+def identify(docs: DataFrame, vocabulary_file: str | None = None, docs_per_language: int = DOCS_PER_LANGUAGE, at_once: int = LANGUAGES_AT_ONCE) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every row of ``docs`` (doc_id, text, lang), from its text alone."""
     file = vocabulary_file or tokens.vocabulary("piece_bpe_32k.model")
-    languages, chance = learn(docs, file, docs_per_language)
-    found = predict(docs, ["doc_id"], languages, chance, file)
-    return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    languages = languages_of(docs)
+    nothing = F.lit(None)
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("body"), nothing.cast("string").alias("best"), nothing.cast("double").alias("top"), nothing.cast("double").alias("mass"))
+    for a in range(0, len(languages), at_once):
+        block = languages[a : a + at_once]
+        rows = _scored(rows if a == 0 else stored(rows), [name for name, _ in block], learn(docs, block, file, docs_per_language), file)
+    return rows.select(
+        "doc_id",
+        F.coalesce(held_out(), F.lit(False)).alias("held_out"),
+        F.coalesce("best", F.lit("und")).alias("lang_pred"),
+        F.coalesce(1 / F.col("mass"), F.lit(0.0)).alias("score"),
+    )

@@ -49,10 +49,34 @@ def test_sums_over_all_segmentations():
     assert np.allclose(SMALL.expected_uses(words, counts, chance[:, 0]), uses)
 
 
-def test_long_words_do_not_underflow():
-    chance = np.full((len(SMALL.pieces), 2), 1e-3)
-    logs = SMALL.log_chances(["ab" * 5_000, "a" * 41, "a" * 40], chance)
-    assert np.isfinite(logs).all() and logs[0, 0] < logs[1, 0] < logs[2, 0] < 0
+@pytest.mark.parametrize("least", [1e-3, 5e-9, 1e-14])
+def test_no_word_underflows(least):
+    chance = np.full((len(SMALL.pieces), 2), least)
+    chance[SMALL.number["a"], 1] = 0.5
+    words = ["ab" * 5_000, "a" * 41, "a" * 40, "é" * 40, "é" * 39 + "a", "é", "é" * 3_000]
+    logs = SMALL.log_chances(words, chance)
+    assert np.isfinite(logs).all() and (logs < 0).all()
+    for word, own in zip(words, logs, strict=True):
+        assert np.allclose(SMALL._log_chance_of_long("▁" + word, chance), own)
+    assert logs[3, 0] == logs[3, 1] and math.isclose(logs[3, 0], 41 * math.log(least), rel_tol=1e-9)
+    assert logs[4, 1] > logs[4, 0]
+    uses = SMALL.expected_uses(["é" * 40, "a" * 40], np.ones(2), chance[:, 0])
+    assert np.isfinite(uses).all() and math.isclose(uses[0], 40, rel_tol=1e-9)
+
+
+def test_letters_of_no_language(spark):
+    rng = random.Random(4)
+    long, short = ([" ".join("".join(rng.choices(letters, k=5)) for _ in range(n)) for _ in range(40)] for letters, n in (("abcde", 400), ("vwxyz", 10)))
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([(t, "aa") for t in long] + [(t, "zz") for t in short])]
+    odd = ["\U0001208a" * 40, "\U0001208a" * 40 + " wxyz vwxyz", "abc 漢字漢字 \U0001208a", "漢" * 100]
+    docs = spark.createDataFrame(rows + [(1000 + i, t, None) for i, t in enumerate(odd)], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in I.identify(docs).collect()}
+    assert all(got[i][0] == lang for i, _, lang in rows)
+    assert got[1001][0] == "zz" and got[1002][0] == "aa"
+    assert max(got[1000][1], got[1003][1]) < 0.9  # only how words begin tells the languages apart
+    blocks = {r.doc_id: (r.lang_pred, r.score) for r in I.identify(docs, at_once=1).collect()}
+    assert {d: v[0] for d, v in blocks.items()} == {d: v[0] for d, v in got.items()}
+    assert all(math.isclose(blocks[d][1], got[d][1], rel_tol=1e-9) for d in got)
 
 
 def test_piece_lookup_matches_the_vocabulary():

@@ -43,6 +43,12 @@ def test_fast_ids_are_the_exact_ids(text):
     assert tokens.fast_encoder(JSON, RANKS)(text) == tokens.exact_encoder(JSON)(text)
 
 
+def test_added_tokens_are_tokens():
+    text = "hello <|endoftext|> world"
+    assert tokens.fast_encoder(JSON, RANKS)(text) == tokens.exact_encoder(JSON)(text) == [31373, 220, 50256, 995]
+    assert tokens.fast_encoder(JSON, RANKS)("<|endoftext>") == tokens.exact_encoder(JSON)("<|endoftext>")
+
+
 def test_query_on_driver_table(spark):
     where = "/root/testdata/sf0.001"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{where}/documents.parquet").collect()}
