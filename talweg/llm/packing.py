@@ -3,10 +3,12 @@
 ``token_pieces`` encodes every whole document; only documents longer than a sequence are cut. ``pack`` puts the
 pieces into as few sequences as it can. Pieces are dealt into shards of bounded size. In each shard several islands
 evolve a few packings: a crossover injects whole well-filled sequences of one parent into the other, sequences that
-then hold a piece twice are opened, and the displaced pieces are put back best-fit, longest first. Between epochs
-each island's elite moves to the next island through a shuffle. The best packing of each shard is taken; the pieces
-of its loosely filled sequences meet those of other shards at the next level, until one shard is left, so that
-shards cost next to nothing in total. Nothing but counts comes to the driver.
+then hold a piece twice are opened, displaced pieces are exchanged for smaller ones where that fills a sequence
+better, and the rest is put back best-fit, longest first. Between epochs each island's elite moves to the next island
+through a shuffle. The best packing of each shard is taken; the pieces of its loosely filled sequences meet those of
+other shards at the next level, until one shard is left or a level no longer halves the pieces, so that shards cost
+next to nothing in total. Nothing but counts comes to the driver. A shard whose packing has no more sequences than
+its tokens need at least is not evolved, since nothing can be gained.
 
 Defined cases: a null or empty text is the end token alone; repeated rows and rows without an id are packed like
 any other; an empty table gives an empty result; extra columns of the pieces are passed on as they are.
@@ -15,6 +17,7 @@ any other; an empty table gives an empty result; extra columns of the pieces are
 from __future__ import annotations
 
 import random
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,10 +32,13 @@ from talweg.session import cut
 SEQUENCE = 2048
 END = 0
 SHARD_PIECES = 4096
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 12, 4
+ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 3, 8, 4
+#: The one shard of the last level decides how many sequences there are, and evolves so many times longer.
+LAST_LEVEL = 5
+#: Sequences that a crossover tries to fill better by exchanging pieces.
+EXCHANGES = 40
 #: A sequence with this many free tokens or more is opened again at the next level.
 LOOSE = 32
-MAX_LEVELS = 10
 BIN_BITS = 20
 
 
@@ -112,12 +118,60 @@ def fitness(sizes: list[int], bins: Bins, capacity: int) -> tuple[int, float]:
     return len(bins), -sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins)
 
 
+def exchange(sizes: list[int], displaced: list[int], bins: Bins, capacity: int, rng: random.Random) -> list[int]:
+    """Fills some of ``bins`` better by taking one or two of ``displaced`` for one or two smaller; the pieces left, longest first."""
+    pool = sorted(displaced, key=lambda i: sizes[i])
+    keys = [sizes[i] for i in pool]
+
+    def swap(content: list[int], out: list[int], chosen: list[int]) -> None:
+        """Puts the pool's places ``chosen`` where ``content`` has the places ``out``."""
+        given = [content[p] for p in out]
+        for p, k in zip(out, chosen, strict=True):
+            content[p] = pool[k]
+        for k in sorted(chosen, reverse=True):
+            del pool[k], keys[k]
+        for i in given:
+            k = bisect_left(keys, sizes[i])
+            pool.insert(k, i)
+            keys.insert(k, sizes[i])
+
+    def pair_within(low: int, high: int) -> list[int]:
+        """The pool's places of two pieces of the greatest sum above ``low`` and up to ``high``."""
+        a, b, best, found = 0, len(keys) - 1, low, []
+        while a < b:
+            total = keys[a] + keys[b]
+            if total > high:
+                b -= 1
+                continue
+            if total > best:
+                best, found = total, [a, b]
+            a += 1
+        return found
+
+    for k in rng.sample(range(len(bins)), min(EXCHANGES, len(bins))):
+        content = bins[k]
+        room = capacity - sum(sizes[i] for i in content)
+        for p in range(len(content)):
+            size = sizes[content[p]]
+            at = bisect_right(keys, size + room) - 1
+            if room and at >= 0 and keys[at] > size:
+                room -= keys[at] - size
+                swap(content, [p], [at])
+        pairs = ([p, q] for p in range(len(content)) for q in range(p))
+        for pair in pairs if room else ():
+            size = sum(sizes[content[p]] for p in pair)
+            if chosen := pair_within(size, size + room):
+                swap(content, pair, chosen)
+                break
+    return pool[::-1]
+
+
 def crossover(sizes: list[int], a: Bins, b: Bins, capacity: int, rng: random.Random) -> Bins:
     """Whole well-filled bins of ``b`` put into ``a``; a few of the emptiest bins are opened as well."""
     fill = [sum(sizes[i] for i in content) for content in b]
     by_fill = sorted(range(len(b)), key=lambda k: -fill[k])
     good = by_fill[: max(1, len(b) // 2)]
-    injected = [b[k] for k in rng.sample(good, max(1, int(len(good) * rng.uniform(0.2, 0.6))))]
+    injected = [b[k] for k in rng.sample(good, max(1, int(len(good) * rng.uniform(0.02, 0.4))))]
     taken = {i for content in injected for i in content}
     kept, displaced = [], []
     for content in a:
@@ -129,8 +183,9 @@ def crossover(sizes: list[int], a: Bins, b: Bins, capacity: int, rng: random.Ran
     opened = min(len(kept), rng.randint(1, 4))
     for content in kept[:opened]:
         displaced += content
-    displaced.sort(key=lambda i: -sizes[i])
-    return best_fit(sizes, displaced, kept[opened:] + [list(c) for c in injected], capacity)
+    kept = kept[opened:]
+    displaced = exchange(sizes, displaced, kept, capacity, rng)
+    return best_fit(sizes, displaced, kept + [list(c) for c in injected], capacity)
 
 
 def evolve(sizes: list[int], population: list[Bins], capacity: int, generations: int, size: int, rng: random.Random) -> list[Bins]:
@@ -173,7 +228,7 @@ def to_bins(places: list[int]) -> Bins:
 STATE = "shard long, island int, sizes array<int>, population array<array<int>>, bins int, score double"
 
 
-def _epoch(state: DataFrame, capacity: int, epoch: int) -> DataFrame:
+def _epoch(state: DataFrame, capacity: int, epoch: int, generations: int) -> DataFrame:
     """One epoch of every island (shard, island, sizes, population)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +236,7 @@ def _epoch(state: DataFrame, capacity: int, epoch: int) -> DataFrame:
             for row in batch.to_pylist():
                 sizes = row["sizes"]
                 rng = random.Random(f"{row['shard']} {row['island']} {epoch}")
-                population = evolve(sizes, [to_bins(p) for p in row["population"]], capacity, GENERATIONS, POPULATION, rng)
+                population = evolve(sizes, [to_bins(p) for p in row["population"]], capacity, generations, POPULATION, rng)
                 bins, score = fitness(sizes, population[0], capacity)
                 out = row | {"population": [to_places(p, len(sizes)) for p in population], "bins": bins, "score": score}
                 yield pa.RecordBatch.from_pylist([out], pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("sizes", pa.list_(pa.int32())), ("population", pa.list_(pa.list_(pa.int32()))), ("bins", pa.int32()), ("score", pa.float64())]))
@@ -194,14 +249,15 @@ def _evolved(ranked: DataFrame, capacity: int, shards: int) -> DataFrame:
 
     An island is small and takes long, so they are dealt into a number of tasks that is not left to their bytes.
     """
+    generations = GENERATIONS * (LAST_LEVEL if shards == 1 else 1)
     tasks = max(1, min(shards * ISLANDS, 10 * ranked.sparkSession.sparkContext.defaultParallelism))
     shards = ranked.groupBy("shard").agg(F.sort_array(F.collect_list(F.col("length").cast("int")), asc=False).alias("sizes"))
     islands = shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "sizes", F.array().cast("array<array<int>>").alias("population"))
-    state = cut(_epoch(islands.repartition(tasks, "shard", "island"), capacity, 0))
+    state = cut(_epoch(islands.repartition(tasks, "shard", "island"), capacity, 0, generations))
     for epoch in range(1, EPOCHS):
         guests = state.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.slice("population", 1, 1).alias("guest"))
         met = state.join(guests, ["shard", "island"])
-        state = cut(_epoch(met.select("shard", "island", "sizes", F.concat("population", "guest").alias("population")).repartition(tasks, "shard", "island"), capacity, epoch))
+        state = cut(_epoch(met.select("shard", "island", "sizes", F.concat("population", "guest").alias("population")).repartition(tasks, "shard", "island"), capacity, epoch, generations))
     best = state.groupBy("shard").agg(F.min_by(F.get("population", F.lit(0)), F.struct("bins", "score", "island")).alias("places"))
     return best.select("shard", F.posexplode("places").alias("rank", "bin"))
 
@@ -213,12 +269,11 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE, shard_pieces: int = SHARD_
     given = cut(given.withColumn("length", F.col(names["length"])))  # the numbers are written, so they do not change
     put = [given.filter(F.col("length") == capacity).select("*", F.col("uid").alias("sequence"), F.lit(0).cast("long").alias("offset"))]
     rest = given.filter(F.col("length") < capacity)
-    base = 0
-    for level in range(MAX_LEVELS):
-        count = rest.count()
-        if not count:
-            break
+    base = level = 0
+    before = None
+    while count := rest.count():
         shards = -(-count // shard_pieces)
+        last = shards == 1 or (before is not None and 2 * count > before)
         dealt = rest.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(shards)))
         by_size = Window.partitionBy("shard").orderBy(F.desc("length"), "uid")
         ranked = cut(dealt.withColumn("rank", F.row_number().over(by_size) - 1))
@@ -226,12 +281,12 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE, shard_pieces: int = SHARD_
         own = Window.partitionBy("shard", "bin")
         before = own.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
         placed = cut(placed.withColumns({"offset": F.coalesce(F.sum("length").over(before), F.lit(0)), "filled": F.sum("length").over(own)}))
-        loose = F.lit(False) if shards == 1 or level == MAX_LEVELS - 1 else F.col("filled") <= capacity - LOOSE
+        loose = F.lit(False) if last else F.col("filled") <= capacity - LOOSE
         sequence = -(1 + F.col("bin") + ((F.col("shard") + base) * (1 << BIN_BITS)))
         put.append(placed.filter(~loose).select(*given.columns, sequence.alias("sequence"), "offset"))
         rest = placed.filter(loose).select(*given.columns)
-        base += shards
-        if shards == 1:
+        base, level, before = base + shards, level + 1, count
+        if last:
             break
     done = put[0]
     for part in put[1:]:

@@ -85,12 +85,45 @@ def test_pack_passes_columns_and_comes_near_the_bound(spark, shard):
     assert check_packing(rows, 1000) <= least * 1.02 + 1
 
 
-def test_islands_improve_on_best_fit():
-    rng = random.Random(5)
-    sizes = sorted((rng.randint(200, 700) for _ in range(300)), reverse=True)
+def triplets(rng, n):
+    """Sizes that fill ``n`` sequences of 1000 by threes exactly; best-fit alone needs a sixth more."""
+    sizes = []
+    for _ in range(n):
+        a = rng.randint(380, 490)
+        b = rng.randint(250, (1000 - a) // 2)
+        sizes += [a, b, 1000 - a - b]
+    return sorted(sizes, reverse=True)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_evolution_beats_best_fit(seed):
+    sizes = triplets(random.Random(seed), 100)
     first = P.best_fit(sizes, list(range(300)), [], 1000)
-    best = P.evolve(sizes, [], 1000, 60, 6, rng)[0]
+    best = P.evolve(sizes, [], 1000, 60, 6, random.Random(5))[0]
     assert sorted(i for b in best for i in b) == list(range(300))
     assert all(sum(sizes[i] for i in b) <= 1000 for b in best)
-    assert P.fitness(sizes, best, 1000) <= P.fitness(sizes, first, 1000)
+    assert len(best) <= 108 < 115 <= len(first)
     assert P.to_bins(P.to_places(best, 300)) == [sorted(b) for b in best]
+
+
+def test_islands_beat_best_fit(spark):
+    rng = random.Random(9)
+    sizes = triplets(rng, 200)
+    rng.shuffle(sizes)
+    rows = P.pack(spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "doc long, length int"), 1000, 300).collect()
+    best_fit = len(P.best_fit(sorted(sizes, reverse=True), list(range(600)), [], 1000))
+    assert check_packing(rows, 1000) <= 0.96 * best_fit
+    assert P.ISLANDS > 2
+
+
+def test_exchange_keeps_every_piece():
+    rng = random.Random(1)
+    for _ in range(100):
+        sizes = [rng.randint(1, 600) for _ in range(40)]
+        bins = P.best_fit(sizes, rng.sample(range(40), 25), [], 1000)
+        put = {i for b in bins for i in b}
+        fills = [sum(sizes[i] for i in b) for b in bins]
+        left = P.exchange(sizes, [i for i in range(40) if i not in put], bins, 1000, rng)
+        assert sorted([*left, *(i for b in bins for i in b)]) == list(range(40))
+        assert all(f <= sum(sizes[i] for i in b) <= 1000 for f, b in zip(fills, bins, strict=True))
+        assert [sizes[i] for i in left] == sorted((sizes[i] for i in left), reverse=True)
