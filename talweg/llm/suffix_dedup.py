@@ -5,19 +5,21 @@ or in the same document before) is removed. Strings never cross documents and ar
 
 No transform can hold a whole corpus, so equal strings are first brought together. Every string has an anchor, the
 smallest hash among its short grams; equal strings have equal anchors. Neighbouring strings with one anchor form a
-segment, and a segment whose anchor occurs once is dropped at once. Equal segments are then merged to the first of
-them, the others being repeats as a whole. What is left, different segments with one anchor, is dealt by anchor into
-texts of bounded size. Over each text a suffix order of bounded depth gives the Burrows-Wheeler transform, and a
-breadth-first backward extension, starting from the strings of ``SEED`` bytes, finds where neighbouring suffixes
-have a common prefix of ``SEED``, one more, ... bytes, until the length reaches ``LENGTH``. Suffixes not parted by then begin with the same
-string; all but the first of them are repeats. An anchor with more than ``HOT`` different segments, such as that of
-a line which a third of all documents have, is not gathered: its segments are cut into pieces of at most ``FINE``
-strings, the pieces get what all their strings have in common as a longer anchor, and go the same way once more. If
-even such an anchor has more than ``HOT`` different pieces, its strings are grouped one by one by a 128-bit hash.
+segment, and a segment whose anchor occurs once is dropped at once. Segments with equal anchors (64 bits) and equal
+contents (64 bits more) are then merged to the first of them, the others being repeats as a whole. What is left,
+different segments with one anchor, is dealt by anchor into texts of bounded size. Over each text a suffix order of
+bounded depth gives the Burrows-Wheeler transform, and a breadth-first backward extension, starting from the strings
+of ``SEED`` bytes, finds where neighbouring suffixes have a common prefix of ``SEED``, one more, ... bytes, until the
+length reaches ``LENGTH``. Suffixes not parted by then begin with the same string; all but the first of them are
+repeats. An anchor with more than ``HOT`` different segments, such as that of a line which a third of all documents
+have, is not gathered but split by longer anchors: its segments are cut into pieces of at most ``FINE`` strings, and
+what all strings of a piece have in common is the longer anchor. The pieces go the same way once more; where even
+such an anchor has more than ``HOT`` different pieces, the anchors are the whole strings.
 
 Defined cases: a null text is empty; texts under ``LENGTH`` bytes are left whole; documents without an id come after
-all others; rows that repeat a doc_id with the same text count as one document and are all cut alike. Other columns
-are not read.
+all others, in the order of a hash, and are known by 86 bits of their texts' hash (ids are taken to be under
+``NO_ID``); rows that repeat a doc_id with the same text count as one document and are all cut alike, different texts
+under one doc_id are told apart by 24 bits. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talweg.session import Scratch, cut, stored
@@ -39,7 +41,8 @@ HOT = 2_000
 FINE = 8
 TEXT_BYTES = 128 << 10
 CHUNK_BYTES = 64 << 10
-LAST = (1 << 63) - 1
+#: From here on up are the numbers of documents without an id.
+NO_ID = 1 << 62
 # A segment's place is one number: 24 bits of its text's hash, its start, and its number of strings less one.
 START_SHIFT, TEXT_SHIFT = 7, 38
 START_MASK, RUN_MASK = (1 << 31) - 1, (1 << START_SHIFT) - 1
@@ -114,10 +117,20 @@ def _chunks(bodies: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield first, held
 
 
+def doc_number(body: str | Column = "body") -> Column:
+    """A document's place in the order: its id, or behind all ids 62 bits of its text's hash."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long").bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.lit(1), body), 2)))
+
+
+def text_mark(body: str | Column = "body") -> Column:
+    """24 bits of the text's hash, which tell apart texts of one number."""
+    return F.shiftrightunsigned(F.xxhash64(body), 40)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc (the id, or the largest number), mark (24 bits of the text's hash) and body."""
+    """doc (its number), mark and body."""
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select(F.coalesce(F.col("doc_id"), F.lit(LAST)).cast("long").alias("doc"), F.shiftrightunsigned(F.xxhash64(body), 40).alias("mark"), body.alias("body"))
+    return docs.select(doc_number(body).alias("doc"), text_mark(body).alias("mark"), body.alias("body"))
 
 
 def anchors(docs: DataFrame, length: int) -> DataFrame:
@@ -294,8 +307,11 @@ def _expanded(given: DataFrame, length: int) -> DataFrame:
     return given.select("anchor", "doc", "place", "body").mapInArrow(run, SPANS)
 
 
-def _one_by_one(given: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many segments: every string is a row, and nothing is gathered."""
+def _whole_strings(given: DataFrame, length: int) -> DataFrame:
+    """(anchor, content, doc, place) of every string of segments (doc, place, body): the longest anchors there are.
+
+    Every string is a row, and nothing is gathered.
+    """
 
     def strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,13 +327,9 @@ def _one_by_one(given: DataFrame, length: int) -> DataFrame:
                 pair = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
                 mark, start = _unpacked(place[owner])
                 spot = mark << TEXT_SHIFT | (start + np.array(offset, np.int64)) << START_SHIFT
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pair[:, 0].copy(), pair[:, 1].copy(), doc[owner], spot)], ["h1", "h2", "doc", "spot"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pair[:, 0].copy(), pair[:, 1].copy(), doc[owner], spot)], ["anchor", "content", "doc", "place"])
 
-    rows = given.select("doc", "place", "body").mapInArrow(strings, "h1 long, h2 long, doc long, spot long")
-    first = cut(rows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "spot")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
-    later = rows.join(first, ["h1", "h2"]).filter(F.struct("doc", "spot") > F.col("first"))
-    start = F.shiftright("spot", START_SHIFT).bitwiseAND(F.lit(START_MASK).cast("long"))
-    return later.select("doc", F.shiftright("spot", TEXT_SHIFT).alias("mark"), start.alias("start"), (start + length).alias("stop"))
+    return given.select("doc", "place", "body").mapInArrow(strings, "anchor long, content long, doc long, place long")
 
 
 # --- the whole table -------------------------------------------------------------------------------------------
@@ -418,11 +430,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     scratch.tidy()
     pieces, piece_copies = _merged(scratch.stored(_finer(bodies.filter("many"), length)), ["body"], scratch)
     fine = scratch.stored(_contested(pieces, hot))
+    _, string_copies = _merged(_whole_strings(fine.filter("many"), length), [], scratch)
     spans = stored(
-        _spans_of(copies.unionByName(piece_copies), length)
+        _spans_of(copies.unionByName(piece_copies).unionByName(string_copies), length)
         .unionByName(_expanded(_by_anchor(bodies.filter("NOT many")), length))
         .unionByName(_expanded(_by_anchor(fine.filter("NOT many")), length))
-        .unionByName(_one_by_one(fine.filter("many"), length))
     )
     scratch.clear()
     return spans
@@ -434,8 +446,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     lists = spans.groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     lists = lists.select(F.col("doc").alias("s_doc"), F.col("mark").alias("s_mark"), "spans")
     given = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
-    key = F.coalesce(F.col("doc_id"), F.lit(LAST)).cast("long")
-    rows = given.join(lists, (key == F.col("s_doc")) & (F.shiftrightunsigned(F.xxhash64("body"), 40) == F.col("s_mark")), "left").select("doc_id", "body", "spans")
+    rows = given.join(lists, (doc_number() == F.col("s_doc")) & (text_mark() == F.col("s_mark")), "left").select("doc_id", "body", "spans")
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -91,6 +91,19 @@ def test_ids_missing_or_repeated(spark):
     assert S.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_texts_without_ids_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(S, "text_mark", lambda body="body": F.lit(7).cast("long"))  # every mark clashes
+    rng = random.Random(3)
+    alone = ["".join(rng.choices("abcdefgh ", k=150)) for _ in range(6)]
+    shared = "".join(rng.choices("abcdefgh ", k=140))
+    texts = [*alone, "one " + shared, "two " + shared]
+    rows = [(None, t) for t in texts] + [(9, "id:" + shared[:120])]
+    found = {bytes(r.kept).decode(): r.n_removed for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[t] == 0 for t in alone)
+    assert found["id:" + shared[:120]] == 0
+    assert sorted(found.values()) == [0] * 7 + [120, 140]
+
+
 def test_query_on_driver_table(spark):
     where = "/root/testdata/sf0.001"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{where}/documents.parquet").collect()}
