@@ -1,17 +1,21 @@
-"""Main text of web pages: page differencing against the page of the nearest URL, on structural blocks.
+"""Main text of web pages: page differencing against the pages of the nearest URLs.
 
-A page's markup is read into blocks, one for each paragraph, heading, list item and so on. What its elements name as
-something else than the article (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
-comments) is left out. Within each host the pages are ordered by URL path, and each is paired with the neighbour
-whose path agrees with its own longest. The two pages' blocks are aligned by a longest common subsequence and the
-shared ones deleted, since they belong to the site. Blocks inside an element that the page names as the article are
-shared by pages that carry the same text, so those stay; and where differencing would leave nothing, the partner is
-a copy and nothing is deleted.
+A page's markup is read into lines, one for each paragraph, heading, list item and so on, wherever they are. Within
+each host the pages are ordered by URL path, and each is compared with up to two pages before it and two after it:
+the two pages' lines are aligned by a longest common subsequence, whatever the markup around them. A line that at
+least two of those pages share (or the only one there is) belongs to the site and is deleted. A page that differs in
+less than a tenth of its characters is a copy of this one, says nothing about the site, and is passed over.
 
-The order of the pages is found on narrow rows, by range partitions of equal size, whose first and last rows are
-matched through a table of one row per partition; a host of any size is spread over many tasks.
+Differencing finds what pages of a site have in common. It cannot see menus, adverts and footers that differ from
+page to page, nor may it delete an article's own words because a neighbour quotes them. So what the page itself names
+comes second: lines inside the element of the article stay, and lines in elements that are named as something else
+(menu, header, footer, sidebar, notice, advert, form, reader comments) or hidden are left out. Inside an article that
+takes a tag, or an unmistakable word in a class or role; an article's own header and headings stay.
 
-Defined cases: a null or empty html has an empty text; a page without a URL, or alone on its host, has no partner;
+The order of the pages is found on narrow rows, by range partitions of equal size, whose first and last rows are put
+in order on their own, four for each partition; a host of any size is spread over many tasks. Pages are read once.
+
+Defined cases: a null or empty html has an empty text; a page without a URL, or alone on its host, is not compared;
 repeated rows are extracted each on its own; a tag or comment that the end of a page cuts off is dropped. Other
 columns are not read.
 """
@@ -25,6 +29,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,9 +37,10 @@ from talweg.session import cut, stored
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 NAME = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 
-RAW = frozenset("script style noscript template textarea title iframe svg math object".split())
+RAW = frozenset("script style noscript template textarea title iframe svg".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
@@ -42,23 +48,27 @@ BLOCKS = frozenset(
 )
 LEFT_OUT = frozenset("head nav footer aside form menu dialog button select label fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+NOWHERE = ("", False, False, False)
+OPEN, ARTICLE, NAMED = range(3)  # where a line is: unnamed, in the article, in what is named as something else
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt", ("dl",)), "dd": ("dd", ("dl",)), "tr": ("tr", ("table",)), "option": ("option", ("select",))}
-#: Words in a class, id or role that say an element is not the article.
+#: Words in a class, id or role that say an element is not the article, where no element of the article is around it.
 OTHER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice"
     " notices alert newsletter subscribe subscription signup sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs"
     " masthead footer comment comments commentlist reply replies respond disqus share sharing social related recommended widget widgets"
-    " popup modal overlay toolbar pagination pager login search complementary contentinfo skip tags".split()
+    " popup modal overlay toolbar pagination pager login search complementary contentinfo skip tags header head topbar top".split()
+)
+#: The same for a class or role inside the article: only words that name what an article never is.
+INNER_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsored promo cookie cookies consent gdpr notice newsletter sidebar menu nav navbar"
+    " navigation breadcrumb breadcrumbs footer comments commentlist replies disqus".split()
 )
-#: The same, but only outside the article, where such an element may hold its title.
-OUTER_WORDS = frozenset("header head topbar top banner".split())
 #: Words that name the element of the article, where no article or main element does.
 MAIN_WORDS = frozenset("article post entry story content main articlebody".split())
 
 
-def _words(attributes: dict[str, str]) -> set[str]:
-    named = " ".join(attributes.get(k, "") for k in ("class", "id", "role", "itemprop"))
-    return {w.lower() for w in NAME.findall(named)}
+def _words(attributes: dict[str, str], keys: tuple[str, ...]) -> set[str]:
+    return {w.lower() for w in NAME.findall(" ".join(attributes.get(k, "") for k in keys))}
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -67,10 +77,10 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(text)}
 
 
-def blocks_of(page: str) -> list[tuple[str, bool]]:
-    """(text, inside the article's element) of the blocks that the structure does not leave out, in page order."""
-    out: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, left out, inside the article
+def lines_of(page: str) -> list[tuple[str, int]]:
+    """(text, ``OPEN``, ``ARTICLE`` or ``NAMED``) of all lines in page order."""
+    out: list[tuple[str, int]] = []
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, named as something else, inside the article, dropped from its line
     parts: list[str] = []
     linked = plain = 0
     in_link = 0
@@ -81,20 +91,22 @@ def blocks_of(page: str) -> list[tuple[str, bool]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, stack[-1][2] if stack else False, linked > 0 and plain == 0))
+                _, named, main, _ = stack[-1] if stack else NOWHERE
+                menu = linked > 0 and plain == 0 and not main  # outside the article, nothing but links
+                out.append((text, NAMED if named or menu else ARTICLE if main else OPEN))
             parts.clear()
         linked = plain = 0
 
     def close(k: int) -> None:
         nonlocal in_link
-        in_link -= sum(t == "a" for t, _, _ in stack[k:])
+        in_link -= sum(t == "a" for t, *_ in stack[k:])
         del stack[k:]
 
     at, size = 0, len(page)
     while at < size:
         m = TOKEN.search(page, at)
         stop = m.start() if m else size
-        if stop > at and not (stack and stack[-1][1]):
+        if stop > at and not (stack and stack[-1][3]):
             text = page[at:stop]
             parts.append(text)
             if n := len(text.strip()):
@@ -147,28 +159,28 @@ def blocks_of(page: str) -> list[tuple[str, bool]]:
         if tag in VOID or (m[3] or m[6] or "").rstrip().endswith("/") and tag not in BLOCKS:
             continue
         attributes = _attributes(m[3] or m[6] or "")
-        words = _words(attributes) if attributes else set()
-        _, out_, main = stack[-1] if stack else ("", False, False)
+        _, named, main, muted = stack[-1] if stack else NOWHERE
+        was_named = named
+        words = _words(attributes, ("class", "role") if main else ("class", "id", "role", "itemprop")) if attributes else set()
+        hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or HIDING.search(attributes.get("style", ""))
+        inner = main and (tag in LEFT_OUT or bool(words & INNER_WORDS) and tag not in HEADINGS)
         if tag in ("html", "body"):
-            words = set()
+            pass
         elif tag in ("article", "main"):
-            if not words & OTHER_WORDS:
-                out_ = out_ and (seen_main or any(t in LEFT_OUT for t, _, _ in stack))
-                main = seen_main = main or not out_
-            else:
-                out_ = True
+            if words & OTHER_WORDS:
+                named = True
+            elif not main:
+                named = named and (seen_main or any(t in LEFT_OUT for t, *_ in stack))
+                main = seen_main = not named
+        elif main:
+            named = named or bool(hidden) or inner
         else:
-            hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""))
-            outer = not main and (tag == "header" or bool(words & OUTER_WORDS))
-            out_ = out_ or tag in LEFT_OUT or bool(hidden) or bool(words & OTHER_WORDS) or outer
-            main = main or (not out_ and bool(words & MAIN_WORDS) and tag in ("div", "section", "td"))
-        if main and not out_ and any(t == "header" for t, _, _ in stack) and tag not in HEADINGS and tag in BLOCKS:
-            out_ = True  # of an article's header only the headings
+            named = named or bool(hidden) or tag in LEFT_OUT or tag == "header" or bool(words & OTHER_WORDS)
+            main = not named and bool(words & MAIN_WORDS) and tag in ("div", "section", "td")
         in_link += tag == "a"
-        stack.append((tag, out_, main))
+        stack.append((tag, named, main, muted or named and not was_named and tag not in BLOCKS))
     flush()
-    # outside the article, a block of nothing but links is a menu
-    return [(text, main) for text, main, links in out if main or not links]
+    return out
 
 
 # --- alignment -------------------------------------------------------------------------------------------------
@@ -217,88 +229,119 @@ def common_lines(a: list[int], b: list[int]) -> set[int]:
     return found
 
 
-def without_shared(blocks: list[tuple[str, bool]], hashes: list[int], partner: list[int]) -> list[str]:
-    """The blocks' texts without those that the partner page shares, but for the article's own."""
-    gone = {i for i in common_lines(hashes, partner) if not blocks[i][1]} if partner else set()
-    if len(gone) == len(blocks):
-        gone = set()
-    return [text for i, (text, _) in enumerate(blocks) if i not in gone]
+def site_lines(hashes: list[int], sizes: list[int], others: list[list[int]]) -> list[int]:
+    """The places of the lines (hash, characters) that belong to the site, going by the nearest pages' hashes."""
+    seen = np.zeros(len(hashes), np.int64)
+    told = 0
+    for other in others:
+        shared = common_lines(hashes, other)
+        if 10 * sum(sizes[i] for i in shared) <= 9 * sum(sizes):
+            told += 1
+            seen[list(shared)] += 1
+    return np.flatnonzero(seen >= min(2, told)).tolist() if told else []
 
 
 # --- Spark -----------------------------------------------------------------------------------------------------
 
+NEAR = 2  # pages on either side
+
 
 def neighbours(keys: DataFrame) -> DataFrame:
-    """(uid, partner): for each page (uid, host, path) the nearest page by path on its host."""
-    spark = keys.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = ["host", "path", "uid"]
-    dealt = cut(keys.repartitionByRange(parts, *key).withColumn("part", F.spark_partition_id()))
-    inside = Window.partitionBy("part").orderBy(*key)
-    place = F.struct(*key)
-    rows = dealt.select("*", F.lag(place).over(inside).alias("a"), F.lead(place).over(inside).alias("b"))
-    ends = dealt.groupBy("part").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    across = Window.orderBy("part")  # a row for each partition
-    edges = ends.select("part", F.lag("last").over(across).alias("over_a"), F.lead("first").over(across).alias("over_b"))
-    both = rows.join(F.broadcast(edges), "part").select(*key, F.coalesce("a", "over_a").alias("a"), F.coalesce("b", "over_b").alias("b"))
-
-    def agreed(side: str):
-        path = F.col(f"{side}.path")
-        same = f"size(filter(sequence(1, least(length(path), length({side}.path))), k -> substr(path, 1, k) = substr({side}.path, 1, k)))"
-        length = F.when((F.length("path") > 0) & (F.length(path) > 0), F.expr(same)).otherwise(0)
-        return F.when(F.col(f"{side}.host") == F.col("host"), length)
-
-    chosen = both.select("uid", "a", "b", agreed("a").alias("n_a"), agreed("b").alias("n_b"))
-    first = F.coalesce(F.col("n_a"), F.lit(-1)) >= F.coalesce(F.col("n_b"), F.lit(-1))
-    return chosen.filter("n_a IS NOT NULL OR n_b IS NOT NULL").select("uid", F.when(first, F.col("a.uid")).otherwise(F.col("b.uid")).alias("partner"))
-
-
-def _keyed(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, uid): uid tells rows apart but for such as repeat another as a whole."""
-    page = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    given = pages.select("page_id", F.col("url").cast("string").alias("url"), page.alias("html"))
-    return given.withColumn("uid", F.struct("page_id", F.xxhash64("url").alias("u"), F.xxhash64("html").alias("h")))
-
-
-def block_hashes(blocks: list[tuple[str, bool]]) -> list[int]:
-    """The article's own blocks are aligned among themselves."""
-    return [xxhash.xxh3_64_intdigest(text, seed=main) - (1 << 63) for text, main in blocks]
+    """(uid, others): for each page (uid, host, path, value) the values of the nearest ones by path on its host.
+
+    Up to ``NEAR`` before it, the nearest first, then as many after it; uid tells the pages apart.
+    """
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["host", "path", "uid"]
+    dealt = cut(keys.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
+    page = F.struct("host", "value")
+    inside, across = Window.partitionBy("part").orderBy(*order), Window.orderBy(*order)
+    steps = [(f"{side}{k}", shift, k) for side, shift in (("a", F.lag), ("b", F.lead)) for k in range(1, NEAR + 1)]
+    near = lambda window: [shift(page, k).over(window).alias(name) for name, shift, k in steps]
+    first, last = F.row_number().over(inside), F.row_number().over(Window.partitionBy("part").orderBy(*[F.desc(c) for c in order]))
+    ends = cut(dealt.withColumns({"first": first, "last": last}).filter((F.col("first") <= NEAR) | (F.col("last") <= NEAR)))
+    over = ends.select(F.col("uid").alias("end_uid"), *[c.alias(f"over_{name}") for c, (name, _, _) in zip(near(across), steps, strict=True)])  # four rows for each partition
+    rows = dealt.select("uid", "host", *near(inside))
+    both = rows.join(over, F.col("uid") == F.col("end_uid"), "left")
+    found = [F.coalesce(name, f"over_{name}") for name, _, _ in steps]
+    own = [F.when(f["host"] == F.col("host"), f["value"]) for f in found]
+    return both.select("uid", F.array_compact(F.array(*own)).alias("others")).filter(F.size("others") > 0)
+
+
+def line_hashes(lines: list[tuple[str, int]]) -> list[int]:
+    """An article's own lines are aligned among themselves."""
+    return [xxhash.xxh3_64_intdigest(text, seed=where == ARTICLE) - (1 << 63) for text, where in lines]
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
-    """(uid, host, path, hashes) of every different page with an address: narrow rows, without the texts."""
-    keyed = _keyed(pages)
+    """page_id, url, host, path, hashes, sizes and body (places and texts, packed) of every row of ``pages``.
+
+    ``host`` is empty without an address. The packed body holds the lines that may be the article's.
+    """
     address = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]+)([^?#]*)"
-    given = keyed.select("uid", F.lower(F.regexp_extract("url", address, 1)).alias("host"), F.regexp_extract("url", address, 2).alias("path"), "html").filter("host <> ''")
+    url = F.coalesce(F.col("url").cast("string"), F.lit(""))
+    given = pages.select(
+        "page_id", F.col("url").cast("string").alias("url"), F.lower(F.regexp_extract(url, address, 1)).alias("host"), F.regexp_extract(url, address, 2).alias("path"),
+        F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
+    )
+    kept = ["page_id", "url", "host", "path"]
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            hashes, sizes, places, bodies = [], [], [], []
+            for i in range(batch.num_rows):
+                lines = lines_of(batch.column(4)[i].as_py())
+                hashes.append(line_hashes(lines))
+                sizes.append([len(text) for text, _ in lines])
+                own = [k for k, (_, where) in enumerate(lines) if where != NAMED]
+                places.append([k << 1 | (lines[k][1] == ARTICLE) for k in own])
+                bodies.append(packer.compress("\n".join(lines[k][0] for k in own).encode("utf-8", "replace")))
+            columns = [pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.int32())), pa.array(bodies, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *columns], [*kept, "hashes", "sizes", "places", "body"])
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return given.mapInArrow(read, f"page_id {kind}, url string, host string, path string, hashes array<long>, sizes array<int>, places array<int>, body binary")
+
+
+def shared_lines(known: DataFrame) -> DataFrame:
+    """(uid, gone): the places of the lines of pages (uid, host, path, hashes, sizes) that belong to their sites."""
+    narrow = known.filter("host <> ''").select("uid", "host", "path", "hashes", "sizes")
+    others = neighbours(narrow.select("uid", "host", "path", F.col("hashes").alias("value")))
+    met = narrow.select("uid", "hashes", "sizes").join(others.withColumnRenamed("uid", "o_uid"), F.col("uid") == F.col("o_uid")).select("uid", "hashes", "sizes", "others")
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pages_ = batch.column(3)
-            hashes = pa.array([block_hashes(blocks_of(pages_[i].as_py())) for i in range(len(pages_))], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], hashes], ["uid", "host", "path", "hashes"])
+            gone = [site_lines(*(batch.column(k)[i].as_py() for k in (1, 2, 3))) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], ["uid", "gone"])
 
-    schema = given.drop("html").withColumn("hashes", F.array().cast("array<long>")).schema
-    return given.mapInArrow(read, schema).dropDuplicates(["uid"])
+    return met.mapInArrow(compare, "uid long, gone array<int>").filter(F.size("gone") > 0)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url and text of every row of ``pages`` (page_id, url, html).
+    """page_id, url, text, n_lines, n_shared and n_named of every row of ``pages`` (page_id, url, html).
 
-    The pages are read twice, for the hashes that partners need and for the texts, rather than kept in between.
+    ``n_shared`` counts the lines that differencing finds to be the site's, ``n_named`` those that only the names of
+    their elements leave out.
     """
-    known = stored(page_lines(pages))
-    partners = neighbours(known.select("uid", "host", "path")).toDF("p_uid", "p_partner")
-    lists = known.select(F.col("uid").alias("l_uid"), F.col("hashes").alias("partner"))
-    of = partners.join(lists, F.col("p_partner") == F.col("l_uid")).select("p_uid", "partner")
-    joined = _keyed(pages).join(of, F.col("uid") == F.col("p_uid"), "left").select("page_id", "url", "html", "partner")
+    known = stored(page_lines(pages).withColumn("uid", F.monotonically_increasing_id()))  # written, so the numbers stay
+    gone = stored(shared_lines(known)).withColumnRenamed("uid", "g_uid")
+    joined = known.join(gone, F.col("uid") == F.col("g_uid"), "left").select("page_id", "url", F.size("hashes").alias("n"), "places", "body", "gone")
 
-    def difference(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
-            texts = []
+            out = []
             for i in range(batch.num_rows):
-                blocks, partner = blocks_of(batch.column(2)[i].as_py()), batch.column(3)[i].as_py()
-                texts.append("\n".join(without_shared(blocks, block_hashes(blocks), partner or [])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+                n, places, body, site = (batch.column(k)[i].as_py() for k in (2, 3, 4, 5))
+                texts = unpacker.decompress(body).decode().split("\n") if places else []
+                away = set(site or ())
+                left = [t for p, t in zip(places, texts, strict=True) if p & 1 or p >> 1 not in away]
+                own = {p >> 1 for p in places}
+                out.append(("\n".join(left), n, n - len(left) - (n - len(own | away)), n - len(own | away)))
+            text, n_lines, shared, named = zip(*out, strict=True) if out else ((), (), (), ())
+            columns = [pa.array(text, pa.string()), *(pa.array(c, pa.int64()) for c in (n_lines, shared, named))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["page_id", "url", "text", "n_lines", "n_shared", "n_named"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return joined.mapInArrow(difference, f"page_id {kind}, url string, text string")
+    return joined.mapInArrow(finish, f"page_id {kind}, url string, text string, n_lines long, n_shared long, n_named long")
