@@ -1,13 +1,15 @@
 """Line deduplication by winnowing over line hashes.
 
-A document is its lines with a word, each known by its words. From every line on, the shortest run of lines with
-``min_words`` words is a window. Each window selects its smallest line hash (the last of equal ones), so every run
-of at least ``min_words`` words that two places share has a selected line in common: those are the fingerprints.
-Positions are joined on fingerprints; a fingerprint seen at one position only ends there. Around those left, the
-windows that hold them, on either side, are compared by a 128-bit hash of their lines, and each that occurred
-before (smaller doc_id, or the same document and an earlier line) is marked. Marked windows merge into maximal
-runs, which are deleted. No pairs of positions are made: each window is compared with the first of its kind only,
-so a line that a third of all documents have costs no more than any other.
+A document is its lines with a word, each known by its words. A run of lines of ``min_words`` words or more that
+occurred before (in a document of smaller doc_id, or in the same one from an earlier line on) is deleted. Windows are
+the shortest runs with ``min_words`` words, taken from every line on and up to every line back. Each window selects
+its smallest line hash (the last of equal ones), so every run that two places share has a selected line in common:
+those are the fingerprints. Positions are joined on fingerprints; one that is seen at one position only ends there.
+From each shared position the match is extended both ways over the windows that hold it: they are compared by a
+128-bit hash of their lines with the first of their kind, those that begin at each line to the left and those that
+end at each line to the right, until a line differs. What matches merges into maximal runs. No pairs of positions are
+made, since each window meets the first of its kind only, so a line that a third of all documents have costs no more
+than any other.
 
 Defined cases: a null or empty text has no lines and stays as it is; documents without an id come after all
 others; rows that repeat a doc_id with the same text are one document at several places and are all cut alike;
@@ -17,7 +19,6 @@ inside a deleted run go with it. Other columns pass through ``drop_repeated_runs
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,6 +35,16 @@ LAST = (1 << 63) - 1
 WINDOWS = "doc long, text_hash long, fp long, place int, h1 long, h2 long, start int, stop int"
 
 
+def window_bounds(counts: list[int], min_words: int) -> list[tuple[int, int]]:
+    """(first, last) of all windows over lines of ``counts`` words: the shortest from every line on, and back."""
+    upto = np.concatenate([[0], np.cumsum(np.array(counts, np.int64))])
+    n = len(counts)
+    last = np.searchsorted(upto, upto[:-1] + min_words) - 1  # of the window that begins at each line
+    first = np.searchsorted(upto, upto[1:] - min_words, "right") - 1  # of the one that ends at each line
+    found = {(i, int(j)) for i, j in enumerate(last) if j < n}
+    return sorted(found | {(int(i), j) for j, i in enumerate(first) if i >= 0})
+
+
 def windows_of(text: bytes, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes, int, int]]:
     """(fingerprint, its line, digest, first line, last line) of every window, lines counted from 0 in the text."""
     lines, hashes, counts, bodies = [], [], [], []
@@ -43,22 +54,14 @@ def windows_of(text: bytes, min_words: int = MIN_WORDS) -> Iterator[tuple[int, i
             bodies.append(b" ".join(words))
             hashes.append(xxhash.xxh64_intdigest(bodies[-1]))
             counts.append(len(words))
-    least: deque[int] = deque()  # lines of the window whose hash no later line of it undercuts
-    stop, total = 0, 0
-    for start in range(len(lines)):
-        while total < min_words and stop < len(lines):
-            while least and hashes[least[-1]] >= hashes[stop]:
-                least.pop()
-            least.append(stop)
-            total += counts[stop]
-            stop += 1
-        if total < min_words:
-            return
-        at = least[0]
-        yield hashes[at], lines[at], xxhash.xxh3_128_digest(b"\n".join(bodies[start:stop])), lines[start], lines[stop - 1]
-        total -= counts[start]
-        if at == start:
-            least.popleft()
+    at = stop = -1
+    for i, j in window_bounds(counts, min_words):
+        if at < i or j < stop:
+            at = min(range(i, j + 1), key=lambda k: (hashes[k], -k))
+        else:  # neither end has gone back
+            at = min((at, *range(stop + 1, j + 1)), key=lambda k: (hashes[k], -k))
+        stop = j
+        yield hashes[at], lines[at], xxhash.xxh3_128_digest(b"\n".join(bodies[i : j + 1])), lines[i], lines[j]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -88,7 +91,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, text_hash, start, stop) of the maximal runs of lines to delete, both ends included."""
     windows = stored(line_windows(docs, min_words))
     position = F.struct("doc", "text_hash", "place")
-    met = windows.groupBy("fp").agg(F.min(position).alias("a"), F.max(position).alias("b")).filter("a < b").select("fp")
+    # written, so that the windows of a very common line can be dealt to several tasks in the join
+    met = cut(windows.groupBy("fp").agg(F.min(position).alias("a"), F.max(position).alias("b")).filter("a < b").select("fp"))
     near = windows.join(met, "fp", "left_semi").select("doc", "text_hash", "h1", "h2", "start", "stop")
     origin = F.struct("doc", "text_hash", "start")
     first = cut(near.groupBy("h1", "h2").agg(F.min(origin).alias("first"), F.max(origin).alias("last")).filter("first < last").drop("last"))

@@ -107,13 +107,15 @@ worded AS (
          row_number() OVER (PARTITION BY doc_id ORDER BY number) AS k,
          sum(len(w)) OVER (PARTITION BY doc_id ORDER BY number) AS upto
   FROM line WHERE len(w) > 0),
+run AS (
+  SELECT a.doc_id, a.k AS k1, b.k AS k2
+  FROM worded a JOIN worded b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.k < a.k + 50 AND b.upto - a.upto + a.n >= 50),
 win AS (
-  SELECT a.doc_id, a.number AS start, arg_min(b.number, b.k) AS stop, a.k AS k1, min(b.k) AS k2
-  FROM worded a JOIN worded b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.k < a.k + 50 AND b.upto - a.upto + a.n >= 50
-  GROUP BY a.doc_id, a.number, a.k),
+  SELECT doc_id, k1, min(k2) AS k2 FROM run GROUP BY doc_id, k1
+  UNION SELECT doc_id, max(k1) AS k1, k2 FROM run GROUP BY doc_id, k2),
 body AS (
-  SELECT v.doc_id, v.start, v.stop, string_agg(l.body, chr(10) ORDER BY l.k) AS g
-  FROM win v JOIN worded l ON l.doc_id = v.doc_id AND l.k BETWEEN v.k1 AND v.k2 GROUP BY v.doc_id, v.start, v.stop),
+  SELECT v.doc_id, min(l.number) AS start, max(l.number) AS stop, string_agg(l.body, chr(10) ORDER BY l.k) AS g
+  FROM win v JOIN worded l ON l.doc_id = v.doc_id AND l.k BETWEEN v.k1 AND v.k2 GROUP BY v.doc_id, v.k1, v.k2),
 later AS (
   SELECT doc_id, start, stop FROM (
     SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, start) AS nth FROM body) WHERE nth > 1),

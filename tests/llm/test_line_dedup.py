@@ -11,26 +11,62 @@ from talweg.llm.queries import op4_line_dedup
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def brute(docs, least=50):
-    """{doc_id: the set of line numbers to delete}; docs: {doc_id: text}."""
-    seen, gone = {}, {d: set() for d in docs}
-    for d in sorted(docs):
-        lines = [(k, " ".join(w)) for k, x in enumerate((docs[d] or "").split("\n")) if (w := WORDS.findall(x))]
+def worded(text):
+    return [(k, " ".join(w)) for k, x in enumerate((text or "").split("\n")) if (w := WORDS.findall(x))]
+
+
+def windows(lines, least):
+    """(i, j) of the shortest runs of ``least`` words from each line on, and of those up to each line."""
+    out = set()
+    for step in (1, -1):
         for i in range(len(lines)):
             j, total = i, 0
-            while j < len(lines) and total < least:
-                total += len(lines[j][1].split(" "))
-                j += 1
-            if total < least:
-                break
-            key = tuple(x for _, x in lines[i:j])
+            while 0 <= j < len(lines):
+                total += lines[j][1].count(" ") + 1
+                if total >= least:
+                    out.add((min(i, j), max(i, j)))
+                    break
+                j += step
+    return sorted(out)
+
+
+def brute(docs, least=50, runs=windows):
+    """{doc_id: the set of line numbers to delete}; docs: {doc_id: text}."""
+    seen, gone = set(), {d: set() for d in docs}
+    for d in sorted(docs):
+        lines = worded(docs[d])
+        for i, j in runs(lines, least):
+            key = tuple(x for _, x in lines[i : j + 1])
             if key in seen:
-                gone[d] |= set(range(lines[i][0], lines[j - 1][0] + 1))
-            else:
-                seen[key] = d
+                gone[d] |= set(range(lines[i][0], lines[j][0] + 1))
+            seen.add(key)
     return gone
 
 
+def all_runs(lines, least):
+    for i in range(len(lines)):
+        total = 0
+        for j in range(i, len(lines)):
+            total += lines[j][1].count(" ") + 1
+            if total >= least:
+                yield i, j
+
+
+def test_windows_cover_all_repeated_runs():
+    rng = random.Random(8)
+    for _ in range(60):
+        pool = [" ".join(rng.choices("abc", k=rng.randint(1, 5))) for _ in range(6)]
+        docs = {d: "\n".join(rng.choices(pool, k=rng.randint(0, 14))) for d in range(4)}
+        assert brute(docs, 7) == brute(docs, 7, all_runs)
+
+
+def test_tails_of_copies_go(spark):
+    long, short = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(40))
+    texts = [f"{long}\n{short}", f"{long}\n{short}\nown", f"{short}\n{long}", f"{short}\nother"]
+    rows = {r.doc_id: r.text for r in L.line_dedup(docs_frame(spark, texts)).collect()}
+    assert rows == {0: texts[0], 1: "own", 2: short, 3: texts[3]}
+
+
 def runs_in(numbers):
     return sum(n - 1 not in numbers for n in numbers)
 
