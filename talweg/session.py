@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is what the cluster names in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a temporary folder is made and set.
+    It is what the cluster names in ``spark.checkpoint.dir``. Only in local mode, where driver and tasks share their
+    disk, a temporary folder is made and set if that is unset; on a cluster this is an error.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="talweg-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
@@ -30,6 +32,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly to as many tasks as can run at once, if it is in fewer partitions; large tables stay as they are."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 class Scratch:
     """Intermediate tables of one job in the shared folder, removed together once nothing reads them any more."""
 

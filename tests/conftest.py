@@ -12,6 +12,7 @@ def spark(tmp_path_factory):
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.warehouse.dir", str(folder / "warehouse"))
+        .config("spark.checkpoint.dir", f"file://{folder}/shared")
         .config("spark.driver.memory", "4g")
         .getOrCreate()
     )
