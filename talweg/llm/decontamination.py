@@ -3,8 +3,9 @@
 The distinct windows of the benchmark are broadcast as a hash set. Each document's words are numbered by the
 vocabulary of those windows, a polynomial hash of every run of words is looked up in the set, and each hit is
 verified word by word. If the benchmark has more windows than ``block_windows``, the windows are split into
-blocks of that size and the documents pass through the blocks one after another inside the same stage, so what is
-broadcast at once stays bounded and no row is shuffled.
+blocks of about that size. The documents then pass through one block after the other, with what was found written in
+the shared folder in between and each block's broadcast removed before the next, so the driver and the tasks hold one
+block at a time. No row is shuffled.
 
 Words are runs of ASCII digits and letters, lower-cased, and of all characters beyond ASCII. A window is
 ``n`` consecutive words of an item; an item of fewer words, but not none, is one window.
@@ -25,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
+from talweg.session import stored
+
 #: Any byte to its lower-case word byte, or to a space where it is in no word.
 FOLD = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
@@ -62,9 +65,9 @@ class WindowSet:
     """A block of windows, ready for lookups."""
 
     def __init__(self, rows: list[tuple[str, int, bytes]]):
-        self.items: dict[bytes, tuple[str, ...]] = {}
+        self.items: dict[bytes, list[str]] = {}
         for item, _, window in rows:
-            self.items[window] = (*self.items.get(window, ()), item)
+            self.items.setdefault(window, []).append(item)
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for x in self.items for w in x.split()}), start=1)}
         self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         by_size: dict[int, list[int]] = {}
@@ -177,7 +180,7 @@ def find_contamination(
 
     With ``keep_text`` the column ``body`` holds the text as UTF-8 bytes.
     """
-    found = benchmark_windows(benchmark, n).persist()
+    found = stored(benchmark_windows(benchmark, n))
     total = found.count()
     blocks = max(1, -(-total // block_windows))
     context = docs.sparkSession.sparkContext
@@ -193,7 +196,9 @@ def find_contamination(
         own = found.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b).collect()  # about block_windows rows
         windows = context.broadcast(WindowSet([(r.item, r.size, bytes(r.window)) for r in own]))
         rows = _scan(rows, windows, drop_text=b == blocks - 1 and not keep_text)
-    found.unpersist()
+        if b < blocks - 1:
+            rows = stored(rows)
+            windows.destroy()
     return rows.select(*[F.col(x).alias(c) for c, x in zip(keep, names, strict=True)], *[c for c in rows.columns if c not in names])
 
 

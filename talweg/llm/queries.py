@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from talweg.llm import decontamination, html_text, language_id, license_scan, line_dedup, packing, quality_rules, simhash, suffix_dedup, warc
 from talweg.llm.license_templates import TEMPLATES
+from talweg.session import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

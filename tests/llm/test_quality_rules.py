@@ -49,6 +49,18 @@ def test_learns_a_planted_rule(spark):
     assert not any(got[i] for i in range(120, 240))
 
 
+def test_held_out_labels(spark):
+    """Rules learned on two thirds of the labelled documents judge the others."""
+    where = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{where}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3)) == 0
+    rows = Q.quality_verdicts(docs, labels.filter(~held)).join(labels.filter(held), "doc_id").filter("NOT base_failed").select("kept", "quality").collect()
+    rejected = [r.quality for r in rows if not r.kept]
+    bad, good = (sum(r.quality == q for r in rows) for q in (0, 1))
+    assert bad > 5 and good > 50
+    assert rejected.count(0) >= 0.9 * bad and rejected.count(1) <= 0.02 * good
+
+
 @pytest.mark.parametrize("labelled", [[], [(None, 1, 0), (0, None, 0), (99, 0, 0)], [(4, 1, 0)] * 3])
 def test_defined_without_usable_labels(spark, labelled):
     docs = docs_frame(spark, ODD_TEXTS).withColumn("n_words", F.lit("clash")).withColumn("bad", F.lit(1)).withColumn("kept", F.lit(1))
