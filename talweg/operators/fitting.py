@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from talweg.functions import mechanics as M
 from talweg.operators import ranking
-from talweg.operators.stability import Soil, draws
+from talweg.operators.stability import Soil, draws, failed_draws
+from talweg.session import cut
 
 # Fixed values of the search grid.
 COHESION_CAPS = (0.05, 0.15, 0.25, 0.40)
@@ -32,13 +35,28 @@ def candidate_draws(spark: SparkSession, soils: list[Soil], n: int, seed: int =
 def candidate_scores(samples: DataFrame, candidates: DataFrame, keep: list[str], recharge: Column | None = None) -> DataFrame:
     """``keep``, cand_id and score: each sample's failure probability under each candidate.
 
-    The candidates are the query set: a few rows, broadcast to all samples. Samples without slope or sca drop out.
+    The candidates are the query set: a few rows, which every task holds. A sample meets all draws of all candidates
+    as arrays inside its task. Samples without slope or sca drop out.
     """
+    rows = candidates.select("cand_id", "depth_k", "draws").collect()  # a row for each candidate
+    ids = np.array([r["cand_id"] for r in rows], np.int32)
+    tables = [(r["depth_k"], np.array([tuple(d) for d in r["draws"]], float).reshape(-1, 3)) for r in rows]
+    shared = samples.sparkSession.sparkContext.broadcast(tables)
     valid = samples.filter(F.col("slope").isNotNull() & F.col("sca").isNotNull())
-    met = valid.join(F.broadcast(candidates))
     scale = F.lit(1.0) if recharge is None else recharge
-    failed = F.aggregate("draws", F.lit(0), lambda n, d: n + F.when(M.fails(M.factor_of_safety("slope", "sca", d.c, d.p, d.r * scale, 0.0, F.col("depth_k"))), 1).otherwise(0))
-    return met.select(*keep, "cand_id", (failed / F.size("draws")).alias("score"))
+    given = valid.select(*keep, *[v.cast("double").alias(f"_{k}") for k, v in enumerate((F.col("slope"), F.col("sca"), scale))])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slope, sca, rain = (batch.column(len(keep) + k).to_numpy(zero_copy_only=False).astype(float) for k in range(3))
+            still = np.zeros(len(slope))
+            scores = [failed_draws(slope, sca, rain, still, table, depth_k) / max(1, len(table)) for depth_k, table in shared.value]
+            if scores:
+                passed = batch.select(keep).take(pa.array(np.tile(np.arange(len(slope)), len(scores)))).columns
+                yield pa.RecordBatch.from_arrays([*passed, pa.array(np.repeat(ids, len(slope))), pa.array(np.concatenate(scores))], [*keep, "cand_id", "score"])
+
+    kinds = StructType([*given.schema.fields[: len(keep)], StructField("cand_id", IntegerType()), StructField("score", DoubleType())])
+    return given.mapInArrow(run, kinds)
 
 
 def search(samples: DataFrame, candidates: DataFrame, keys: list[str] | None = None, least: int = 20) -> DataFrame:
@@ -75,7 +93,7 @@ def cross_validate(samples: DataFrame, candidates: DataFrame, folds: int, least_
     folds but its own, as an array exploded after the score is known.
     """
     scored = candidate_scores(samples, candidates, ["y", "fold"])
-    counts = scored.groupBy("fold", "cand_id", "score", "y").agg(F.count(F.lit(1)).alias("n"))  # map-side first
+    counts = cut(scored.groupBy("fold", "cand_id", "score", "y").agg(F.count(F.lit(1)).alias("n")))  # map-side first
     others = F.array_except(F.sequence(F.lit(0), F.lit(folds - 1)), F.array("fold"))
     train = counts.select(F.explode(others).alias("fold"), "cand_id", "score", "y", "n")
 
@@ -103,3 +121,36 @@ def warnings(report: DataFrame) -> DataFrame:
         (F.col("spatial_cv") < 0.65, "held-out skill is low"),
     ]
     return report.withColumn("warnings", F.array_compact(F.array(*[F.when(test, note) for test, note in notes])))
+
+
+def random_folds(samples: DataFrame, key: str, folds: int, seed: int = 0) -> DataFrame:
+    """``samples`` with ``fold``, dealt by a hash of ``key``, presences and background each on their own."""
+    return samples.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), "y", key), F.lit(folds)).cast("int"))
+
+
+def fit(samples: DataFrame, candidates: DataFrame, random_fold: str, spatial_fold: str, folds: int, least_presence: int = 50, least: int = 20) -> DataFrame:
+    """One row: the best candidate, its in-sample AUC, mean AUC over random and spatial folds, their deviation, warnings.
+
+    ``samples`` (slope, sca, y and the two fold columns). With fewer than ``least_presence`` presences there is no row.
+    """
+    numbers = samples.agg(F.count(F.when(F.col("y"), 1)).alias("n_presence"), F.count(F.when(~F.col("y"), 1)).alias("n_background"))
+    whole = best(search(samples, candidates, least=least)).select("cand_id", F.col("auc").alias("in_sample"))
+
+    def folded(column: str, mean: str, deviation: str) -> DataFrame:
+        found = cross_validate(samples.withColumn("fold", F.col(column).cast("int")), candidates, folds)
+        return summary(found).select(F.col("mean").alias(mean), F.col("deviation").alias(deviation))
+
+    # each of these is one row
+    report = numbers.filter(F.col("n_presence") >= least_presence).join(whole).join(folded(random_fold, "random_cv", "random_deviation")).join(folded(spatial_fold, "spatial_cv", "deviation"))
+    return warnings(report)
+
+
+def fit_regions(samples: DataFrame, candidates: DataFrame, region: str = "region", least_presence: int = 100, least_background: int = 20) -> DataFrame:
+    """(region, cand_id, auc, own): each region's best candidate, or the best of all samples where it has too few."""
+    trials = search(samples.filter(F.col(region).isNotNull()), candidates, [region], 1)
+    enough = trials.filter((F.col("n_pos") >= least_presence) & (F.col("n_neg") >= least_background))
+    own = best(enough, [region]).select(F.col(region).alias("r"), F.col("cand_id").alias("own_id"), F.col("auc").alias("own_auc"))
+    whole = best(search(samples, candidates)).select(F.col("cand_id").alias("all_id"), F.col("auc").alias("all_auc"))  # one row
+    regions = samples.filter(F.col(region).isNotNull()).select(region).distinct().join(F.broadcast(whole))
+    met = regions.join(own, F.col(region) == F.col("r"), "left")
+    return met.select(region, F.coalesce("own_id", "all_id").alias("cand_id"), F.coalesce("own_auc", "all_auc").alias("auc"), F.col("own_id").isNotNull().alias("own"))

@@ -22,7 +22,7 @@ from talweg.session import cut, stored
 STEP = 1e-6  # how much a filled cell lies over its outlet
 TILE = 256
 QUARTER = math.pi / 4
-# Facets: cardinal neighbour, diagonal neighbour, quarter turns of the cardinal, sign of the turn to the diagonal.
+# Fixed values. Facets: cardinal neighbour, diagonal neighbour, quarter turns of the cardinal, sign of the turn to the diagonal.
 FACETS = [("E", "NE", 0, 1), ("N", "NE", 1, -1), ("N", "NW", 1, 1), ("W", "NW", 2, -1), ("W", "SW", 2, 1), ("S", "SW", 3, -1), ("S", "SE", 3, 1), ("E", "SE", 4, -1)]
 STEPS = list(NEIGHBOURS.values())
 
@@ -268,8 +268,9 @@ def specific_catchment_area(cells: DataFrame, dx: float, dy: float, size: int =
 def dependence(directed: DataFrame, targets: DataFrame, radius: int, halo: int = 1, value: str = "filled") -> DataFrame:
     """(target_id, row, col, dependence): the share of each cell's flow that reaches a target, in a window around it.
 
-    ``targets`` (target_id, grid_id, row, col). The target and the cells up to ``halo`` around it have 1; going up
-    from the lowest cell, the others have the shares of their receivers'. One task holds one window at a time.
+    ``targets`` (target_id, grid_id, row, col). The target and the cells up to ``halo`` around it have 1, the others
+    the shares of their receivers', as far as these come before them in the order of height, row and column. One task
+    holds one window at a time, and shares are carried up level by level.
     """
     window = F.explode(F.expr(f"flatten(transform(sequence(-{radius}, {radius}), r -> transform(sequence(-{radius}, {radius}), c -> struct(r AS dr, c AS dc))))"))
     around = targets.select("target_id", "grid_id", F.col("row").alias("t_row"), F.col("col").alias("t_col"), window.alias("o"))
@@ -277,22 +278,28 @@ def dependence(directed: DataFrame, targets: DataFrame, radius: int, halo: int =
     seen = keyed.join(directed.select("grid_id", "row", "col", F.col(value).alias("z"), "angle").filter("z IS NOT NULL"), ["grid_id", "row", "col"])
     kind = targets.schema["target_id"].dataType.simpleString()
 
+    wide = 2 * radius + 1
+
     def climb(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(["z", "row", "col"])
-        found: dict[tuple[int, int], float] = {}
-        for row, col, t_row, t_col in zip(own["row"], own["col"], own["t_row"], own["t_col"], strict=True):
-            if max(abs(row - t_row), abs(col - t_col)) <= halo:
-                found[row, col] = 1.0
-        for row, col, angle in zip(own["row"], own["col"], own["angle"], strict=True):
-            if (row, col) in found:
-                continue
-            if angle is None or math.isnan(angle):
-                found[row, col] = 0.0
-                continue
-            k = math.floor(angle / QUARTER)
-            share = angle / QUARTER - k
-            one, two = STEPS[k % 8], STEPS[(k + 1) % 8]
-            found[row, col] = (1 - share) * found.get((row + one[0], col + one[1]), 0.0) + share * found.get((row + two[0], col + two[1]), 0.0)
-        return pd.DataFrame({"target_id": own["target_id"].iloc[0], "row": [r for r, _ in found], "col": [c for _, c in found], "dependence": list(found.values())})
+        n = len(own)
+        r, c = (own[a].to_numpy(int) - own[b].to_numpy(int) for a, b in (("row", "t_row"), ("col", "t_col")))
+        angle = own["angle"].to_numpy(float) / QUARTER
+        start = (np.maximum(np.abs(r), np.abs(c)) <= halo).astype(float)
+        flows = np.flatnonzero(np.isfinite(angle) & (start == 0))
+        number = np.full((wide + 2, wide + 2), -1)
+        number[r + radius + 1, c + radius + 1] = np.arange(n)
+        down = np.floor(angle[flows]).astype(int)
+        share = angle[flows] - down
+        source, target, parts = [], [], []
+        for turn, part in ((0, 1 - share), (1, share)):
+            step = np.array(STEPS)[(down + turn) % 8]
+            receiver = number[r[flows] + radius + 1 + step[:, 0], c[flows] + radius + 1 + step[:, 1]]
+            known = (receiver >= 0) & (receiver < flows)
+            source.append(receiver[known])
+            target.append(flows[known])
+            parts.append(part[known])
+        p = _carried(n, *(np.concatenate(x) for x in (source, target, parts)), start)
+        return pd.DataFrame({"target_id": own["target_id"].iloc[0], "row": own["row"], "col": own["col"], "dependence": p})
 
     return seen.groupBy("target_id").applyInPandas(climb, f"target_id {kind}, row int, col int, dependence double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -61,27 +62,32 @@ def middle_vertex(coords: Column) -> Column:
     return F.get(coords, (F.size(coords) / 2).cast("int"))
 
 
-def _simplified(points: list[tuple[float, float]], tolerance: float) -> list[int]:
-    """The vertices that stay: those farther than ``tolerance`` from the chord of the stretch they are in, in turn."""
-    if len(points) < 3:
-        return list(range(len(points)))
-    middle = math.radians(sum(p[1] for p in points) / len(points))
-    flat = [(lon * METRES_PER_DEGREE_LON * math.cos(middle), lat * METRES_PER_DEGREE_LAT) for lon, lat in points]
-    stays, work = {0, len(points) - 1}, [(0, len(points) - 1)]
-    while work:
-        a, b = work.pop()
-        (ax, ay), (bx, by) = flat[a], flat[b]
-        chord = math.hypot(bx - ax, by - ay)
-        far, at = tolerance, None
-        for k in range(a + 1, b):
-            x, y = flat[k]
-            away = abs((bx - ax) * (y - ay) - (by - ay) * (x - ax)) / chord if chord else math.hypot(x - ax, y - ay)
-            if away > far:
-                far, at = away, k
-        if at is not None:
-            stays.add(at)
-            work += [(a, at), (at, b)]
-    return sorted(stays)
+def _simplified(lon: np.ndarray, lat: np.ndarray, tolerance: float) -> np.ndarray:
+    """Whether each vertex stays. All stretches between vertices that stay are split at once, round by round.
+
+    A stretch is split at its farthest vertex from the chord, if that is farther than ``tolerance``.
+    """
+    n = len(lon)
+    x = lon * (METRES_PER_DEGREE_LON * math.cos(math.radians(float(lat.mean()))) if n else 0.0)
+    y = lat * METRES_PER_DEGREE_LAT
+    stays = np.zeros(n, bool)
+    stays[[0, -1] if n else []] = True
+    while n > 2:
+        ends = np.flatnonzero(stays)
+        stretch = np.searchsorted(ends, np.arange(n), "right") - 1
+        a, b = ends[stretch], ends[np.minimum(stretch + 1, len(ends) - 1)]
+        across, up = x[b] - x[a], y[b] - y[a]
+        chord = np.hypot(across, up)
+        aside = np.abs(across * (y - y[a]) - up * (x - x[a]))
+        away = np.where(chord > 0, aside / np.where(chord > 0, chord, 1.0), np.hypot(x - x[a], y - y[a]))
+        away[stays] = 0.0
+        order = np.lexsort((-np.arange(n), away, stretch))  # the farthest of each stretch comes last, the first of equal ones
+        last = order[np.searchsorted(stretch[order], np.arange(len(ends)), "right") - 1]
+        split = last[away[last] > tolerance]
+        if not len(split):
+            break
+        stays[split] = True
+    return stays
 
 
 def simplify(lines: DataFrame, keep: list[str], tolerance_m: float = TOLERANCE_M) -> DataFrame:
@@ -93,27 +99,33 @@ def simplify(lines: DataFrame, keep: list[str], tolerance_m: float = TOLERANCE_M
             at = batch.schema.get_field_index("coords")
             out = []
             for coords in batch.column(at).to_pylist():
-                out.append(None if coords is None else [coords[k] for k in _simplified([(c["lon"], c["lat"]) for c in coords], tolerance_m)])
+                lon, lat = (np.array([c[k] for c in coords or ()], float) for k in ("lon", "lat"))
+                out.append(None if coords is None else [c for c, stays in zip(coords, _simplified(lon, lat, tolerance_m), strict=True) if stays])
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
 
     return given.mapInArrow(run, given.schema)
 
 
-def _hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """The convex hull, counter-clockwise from the leftmost point."""
-    points = sorted(set(points))
+def _hull(points: np.ndarray) -> np.ndarray:
+    """The convex hull of (n, 2) points, counter-clockwise from the leftmost one.
+
+    An edge with points on its outer side gives way to two edges over the outermost of them, until none has any.
+    """
+    points = np.unique(points, axis=0)
     if len(points) < 3:
         return points
-
-    def half(order: Iterable[tuple[float, float]]) -> list[tuple[float, float]]:
-        chain: list[tuple[float, float]] = []
-        for p in order:
-            while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1]) <= (chain[-1][1] - chain[-2][1]) * (p[0] - chain[-2][0]):
-                chain.pop()
-            chain.append(p)
-        return chain[:-1]
-
-    return half(points) + half(reversed(points))
+    left, right = points[0], points[-1]
+    edges, ring = [(right, left, points), (left, right, points)], []
+    while edges:
+        a, b, near = edges.pop()
+        outside = (b[1] - a[1]) * (near[:, 0] - a[0]) - (b[0] - a[0]) * (near[:, 1] - a[1])
+        near, outside = near[outside > 0], outside[outside > 0]
+        if len(near):
+            top = near[outside.argmax()]
+            edges += [(top, b, near), (a, top, near)]
+        else:
+            ring.append(a)
+    return np.array(ring)
 
 
 def hulls(points: DataFrame, key: str, padding_m: float = 250.0) -> DataFrame:
@@ -130,8 +142,8 @@ def hulls(points: DataFrame, key: str, padding_m: float = 250.0) -> DataFrame:
     dealt = spread.withColumn("part", F.pmod(F.xxhash64("lon", "lat"), F.lit(PARTS)))
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
-        ring = _hull(list(zip(own["lon"], own["lat"], strict=True)))
-        return pd.DataFrame({key: [own[key].iloc[0]], "hull": [[{"lon": x, "lat": y} for x, y in ring]]})
+        ring = _hull(own[["lon", "lat"]].to_numpy(float))
+        return pd.DataFrame({key: [own[key].iloc[0]], "hull": [[{"lon": x, "lat": y} for x, y in ring.tolist()]]})
 
     schema = f"{key} {kind}, hull {COORDS}"
     parts = dealt.groupBy(key, "part").applyInPandas(run, schema)

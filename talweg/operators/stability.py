@@ -37,7 +37,7 @@ def probability_builtin(table: list[tuple[float, float, float]], slope: Column,
     return F.when(slope.isNotNull() & sca.isNotNull(), failed / F.lit(float(len(table))))
 
 
-def _failed(slope: np.ndarray, sca: np.ndarray, recharge: np.ndarray, k_h: np.ndarray, table: np.ndarray, depth_k: float) -> np.ndarray:
+def failed_draws(slope: np.ndarray, sca: np.ndarray, recharge: np.ndarray, k_h: np.ndarray, table: np.ndarray, depth_k: float) -> np.ndarray:
     """Draws that fail for each cell; the same mechanics as the expressions, on arrays."""
     angle = np.arctan(slope)
     sine, cosine = np.sin(angle), np.cos(angle)
@@ -65,7 +65,7 @@ def failure_probability(cells: DataFrame, table: np.ndarray, depth_k: float = 0.
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = {c: batch.column(batch.schema.get_field_index(f"_{c}")).to_numpy(zero_copy_only=False).astype(float) for c in names}
-            count = _failed(*columns.values(), shared.value, depth_k)
+            count = failed_draws(*columns.values(), shared.value, depth_k)
             valid = ~(np.isnan(columns["slope"]) | np.isnan(columns["sca"]))
             share = pa.array(count / len(shared.value), mask=~valid)
             yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, share], [*keep, name])

@@ -292,6 +292,59 @@ best AS (SELECT fold, cand_id, auc, row_number() OVER (PARTITION BY fold ORDER B
 SELECT CAST(b.fold AS INT) AS fold, b.cand_id, round(b.auc, 6) AS train_auc, round(t.auc, 6) AS test_auc FROM best b JOIN test t ON b.fold = t.fold AND b.cand_id = t.cand_id WHERE nth = 1"""
 
 
+RANDOM_FOLD = f"CAST((id * 7919 + 13) % 101 % {FOLDS} AS INT)"
+
+
+def q_fit_report(spark, sf_dir):
+    """The whole fit: best candidate, in-sample, random and spatial folds, warnings."""
+    rows = fitting.numbered_blocks(samples(spark, sf_dir), 0.5).withColumns({"spatial": F.col("block") % FOLDS, "random": F.expr(RANDOM_FOLD)})
+    out = fitting.fit(rows, _candidates(spark), "random", "spatial", FOLDS)
+    columns = [r6(c, c) for c in ("in_sample", "random_cv", "spatial_cv", "deviation")]
+    return out.select("n_presence", "n_background", "cand_id", *columns, F.array_join("warnings", "; ").alias("warnings"))
+
+
+def _cv_ctes(name: str, fold: str) -> str:
+    """Mean and deviation over folds of the AUC of each fold's best candidate on the others."""
+    return f"""{name} AS (SELECT cand_id, id, y, {fold} AS fold, score FROM scored),
+{name}_others AS (SELECT f.fold, cand_id, y, score FROM {name} s JOIN (SELECT unnest(range(0, {FOLDS})) AS fold) f ON f.fold <> s.fold),
+{_auc_cte(f'{name}_train', f'{name}_others')}, {_auc_cte(f'{name}_test', name)},
+{name}_best AS (SELECT fold, cand_id, row_number() OVER (PARTITION BY fold ORDER BY auc DESC, cand_id) AS nth FROM {name}_train),
+{name}_sum AS (SELECT avg(t.auc) AS mean, stddev_pop(t.auc) AS deviation FROM {name}_best b JOIN {name}_test t ON b.fold = t.fold AND b.cand_id = t.cand_id WHERE nth = 1)"""
+
+
+FIT_SQL = f"""WITH {SAMPLES}, {PLACED}, {BLOCKS}, {CANDIDATE_ROWS},
+scored AS (SELECT cand_id, id, y, fold AS spatial, region, count(*) FILTER (WHERE {fs_sql()} < 1) / 4e0 AS score FROM folded CROSS JOIN cand GROUP BY ALL),
+whole AS (SELECT 0 AS fold, cand_id, y, score FROM scored), {_auc_cte('every', 'whole')},
+{_cv_ctes('r', RANDOM_FOLD)}, {_cv_ctes('s', 'spatial')},
+report AS (
+  SELECT (SELECT count(*) FROM samples WHERE y) AS n_presence, (SELECT count(*) FROM samples WHERE NOT y) AS n_background,
+         a.cand_id, a.auc AS in_sample, r_sum.mean AS random_cv, s_sum.mean AS spatial_cv, s_sum.deviation AS deviation
+  FROM (SELECT cand_id, auc FROM every ORDER BY auc DESC, cand_id LIMIT 1) a CROSS JOIN r_sum CROSS JOIN s_sum)
+SELECT n_presence, n_background, cand_id, round(in_sample, 6) AS in_sample, round(random_cv, 6) AS random_cv, round(spatial_cv, 6) AS spatial_cv, round(deviation, 6) AS deviation,
+       concat_ws('; ', CASE WHEN random_cv - spatial_cv > 3e-2 THEN 'random folds score higher than spatial ones' END, CASE WHEN deviation > 4e-2 THEN 'folds differ widely' END,
+                 CASE WHEN in_sample - spatial_cv > 5e-2 THEN 'in-sample fit is better than held-out' END, CASE WHEN spatial_cv < 65e-2 THEN 'held-out skill is low' END) AS warnings
+FROM report WHERE n_presence >= 50"""
+
+
+def q_fit_regional(spark, sf_dir):
+    """Each region's best candidate, or the best of all where it has too few samples."""
+    out = fitting.fit_regions(samples(spark, sf_dir), _candidates(spark), least_presence=REGION_FLOOR)
+    return out.select("region", "cand_id", r6("auc", "auc"), "own")
+
+
+REGION_FLOOR = 80
+REGIONAL_FIT_SQL = f"""WITH {SAMPLES}, {PLACED}, {CANDIDATE_ROWS},
+scored AS (SELECT cand_id, id, y, region, count(*) FILTER (WHERE {fs_sql()} < 1) / 4e0 AS score FROM placed CROSS JOIN cand GROUP BY ALL),
+by_region AS (SELECT region AS fold, cand_id, y, score FROM scored), {_auc_cte('own', 'by_region')},
+whole AS (SELECT 0 AS fold, cand_id, y, score FROM scored), {_auc_cte('every', 'whole')},
+n AS (SELECT region, count(*) FILTER (WHERE y) AS p, count(*) FILTER (WHERE NOT y) AS q FROM samples GROUP BY region),
+best AS (SELECT fold AS region, cand_id, auc, row_number() OVER (PARTITION BY fold ORDER BY auc DESC, cand_id) AS nth FROM own),
+one AS (SELECT cand_id, auc FROM every ORDER BY auc DESC, cand_id LIMIT 1)
+SELECT n.region, CASE WHEN p >= {REGION_FLOOR} AND q >= 20 THEN b.cand_id ELSE one.cand_id END AS cand_id,
+       round(CASE WHEN p >= {REGION_FLOOR} AND q >= 20 THEN b.auc ELSE one.auc END, 6) AS auc, p >= {REGION_FLOOR} AND q >= 20 AS own
+FROM n JOIN best b ON n.region = b.region AND nth = 1 CROSS JOIN one"""
+
+
 def q_cv_summary(spark, sf_dir):
     rows = fitting.numbered_blocks(samples(spark, sf_dir), 0.5).withColumn("fold", F.col("block") % FOLDS)
     out = fitting.summary(fitting.cross_validate(rows, _candidates(spark), FOLDS))
@@ -325,5 +378,7 @@ QUERIES = {
     "q_param_search": (q_param_search, SEARCH_SQL),
     "q_fold_blocks": (q_fold_blocks, BLOCK_SQL),
     "q_cv_spatial": (q_cv_spatial, CV_SQL),
+    "q_fit_report": (q_fit_report, FIT_SQL),
+    "q_fit_regional": (q_fit_regional, REGIONAL_FIT_SQL),
     "q_cv_summary": (q_cv_summary, CV_SUMMARY_SQL),
 }

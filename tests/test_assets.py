@@ -87,7 +87,7 @@ def test_planted_parameters_are_found(spark):
     rng = np.random.default_rng(1)
     soils = [stability.Soil((0.0, c), (25.0, 40.0), (0.0001, 0.005), k) for c, k in ((0.2, 0.0), (0.2, 2.5))]
     slope, sca = rng.uniform(0.2, 1.6, 1500), rng.uniform(5, 300, 1500)
-    p = stability._failed(slope, sca, np.ones(1500), np.zeros(1500), stability.draws(soils[1], 60), 2.5) / 60
+    p = stability.failed_draws(slope, sca, np.ones(1500), np.zeros(1500), stability.draws(soils[1], 60), 2.5) / 60
     y = rng.random(1500) < p
     rows = [(float(a), float(b), bool(c), k % 4) for k, (a, b, c) in enumerate(zip(slope, sca, y, strict=True))]
     samples = spark.createDataFrame(rows, "slope double, sca double, y boolean, fold int")
