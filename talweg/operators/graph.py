@@ -10,28 +10,35 @@ from talweg.operators.lines import hulls
 from talweg.session import cut
 
 LINK_M = 2500.0
+EDGES_A_TASK = 100_000
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that each node of an edge can reach.
 
     Large-star and small-star steps in turn. Each is an aggregation for the smallest neighbour and an equi-join,
-    so a node of very many neighbours is combined map-side and split by skew handling, never gathered.
+    so a node of very many neighbours is combined map-side and split by skew handling, never gathered. Few edges are
+    kept in few partitions, ``EDGES_A_TASK`` in each: the steps are many, and each would write as many files.
     """
     now = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v"))
 
     def signature(e: DataFrame):
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    def settled(e: DataFrame) -> DataFrame:
+        return cut(e.coalesce(parts).distinct().coalesce(parts))
+
     seen = signature(now)
+    parts = 1 + seen[0] // EDGES_A_TASK
+    now = now.coalesce(parts)
     for _ in range(max_rounds):
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = cut(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        large = settled(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v"))
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.unionAll(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        now = settled(small.unionAll(least.select("u", F.col("m").alias("v"))).filter("u <> v"))
         if (found := signature(now)) == seen:
             break
         seen = found
