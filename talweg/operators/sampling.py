@@ -129,12 +129,30 @@ def polygon_points(vertices: DataFrame, key: str, value: str = "z") -> DataFrame
 
 
 def background_points(cells: DataFrame, grid: Grid, n: int, seed: int = 0) -> DataFrame:
-    """(lon, lat) of about ``n`` cells drawn evenly from those in ``cells`` (row, col), each at a random place inside.
+    """(lon, lat) of ``n`` cells (all, if there are fewer) drawn evenly from ``cells`` (row, col), each at a random place inside.
 
-    A cell is taken by a hash of its key, so the draw does not depend on partitions.
+    The cells of the least hashes are taken, so the draw does not depend on partitions and no task holds over ``n``.
     """
-    total = cells.count()
-    share = min(1.0, n / total) if total else 0.0
     chance = lambda salt: F.pmod(F.xxhash64("row", "col", F.lit(seed), F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
-    taken = cells.filter(chance("take") < share)
+    taken = cells.select("row", "col").orderBy(F.xxhash64("row", "col", F.lit(seed)), "row", "col").limit(n)
     return taken.select((F.lit(grid.west) + (F.col("col") + chance("x")) * grid.res).alias("lon"), (F.lit(grid.north) - (F.col("row") + chance("y")) * grid.res).alias("lat"))
+
+
+TARGET_GROUP_DEGREES = 0.15
+
+
+def near_presence(cells: DataFrame, grid: Grid, presence: DataFrame, within: float = TARGET_GROUP_DEGREES) -> DataFrame:
+    """The ``cells`` (row, col) whose centres lie within ``within`` degrees east-west and north-south of a presence (lon, lat).
+
+    Background drawn from them is where observers of the presences were, so it shares their bias. Presences of one cell
+    count once, at its centre; squares of the side ``within`` are joined with the nine around them on their numbers.
+    """
+    reach = round(within / grid.res, 9)  # in cells
+    side = max(int(reach), 1)
+    at = presence.select(F.floor((F.lit(grid.north) - F.col("lat")) / grid.res).alias("p_row"), F.floor((F.col("lon") - grid.west) / grid.res).alias("p_col")).distinct()
+    steps = F.array(*[F.lit(k) for k in range(-1, 2)]) if reach >= 1 else F.array(F.lit(0))
+    spread = at.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps))
+    spread = spread.select("p_row", "p_col", (F.floor(F.col("p_row") / side) + F.col("i")).alias("p_by"), (F.floor(F.col("p_col") / side) + F.col("j")).alias("p_bx"))
+    near = (F.floor(F.col("row") / side) == F.col("p_by")) & (F.floor(F.col("col") / side) == F.col("p_bx"))
+    near &= (F.abs(F.col("row") - F.col("p_row")) <= reach) & (F.abs(F.col("col") - F.col("p_col")) <= reach)
+    return cells.join(spread, near, "left_semi")

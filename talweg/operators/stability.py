@@ -90,6 +90,39 @@ def regional_probability(samples: DataFrame, parameters: DataFrame, fallback: tu
     return met.select(*samples.columns, F.when(F.col(region).isNotNull(), fs).alias("fs"))
 
 
+def regional_failure_probability(
+    samples: DataFrame, tables: dict[int, np.ndarray], fallback: np.ndarray, region: str = "region", depth_k: float = 0.0, name: str = "probability"
+) -> DataFrame:
+    """``samples`` (slope, sca and, if there, recharge and k_h) with the share of their region's draws that fail.
+
+    ``tables`` holds a few draws for each region that has its own parameters; other regions take those of ``fallback``.
+    NULL without slope, sca or region. A sample meets its region's draws inside its own task, as in ``failure_probability``.
+    """
+    given = {c: F.col(c) if c in samples.columns else F.lit(default) for c, default in (("slope", None), ("sca", None), ("recharge", 1.0), ("k_h", 0.0))}
+    work = samples.select("*", *[v.cast("double").alias(f"_{c}") for c, v in given.items()], F.col(region).cast("long").alias("_region"))
+    held = {int(r): np.ascontiguousarray(t, float) for r, t in tables.items()}
+    shared = samples.sparkSession.sparkContext.broadcast((held, np.ascontiguousarray(fallback, float)))
+    keep, names = samples.columns, list(given)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, others = shared.value
+        for batch in batches:
+            values = [batch.column(batch.schema.get_field_index(f"_{c}")).to_numpy(zero_copy_only=False).astype(float) for c in names]
+            codes = batch.column(batch.schema.get_field_index("_region"))
+            known = codes.is_valid().to_numpy(zero_copy_only=False)
+            codes = codes.fill_null(0).to_numpy(zero_copy_only=False)
+            share, left = np.zeros(len(codes)), known.copy()
+            for r, table in own.items():
+                here = known & (codes == r)
+                share[here] = failed_draws(*[v[here] for v in values], table, depth_k) / len(table)
+                left &= ~here
+            share[left] = failed_draws(*[v[left] for v in values], others, depth_k) / len(others)
+            missing = ~known | np.isnan(values[0]) | np.isnan(values[1])
+            yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, pa.array(share, mask=missing)], [*keep, name])
+
+    return work.mapInArrow(run, StructType([*samples.schema.fields, StructField(name, DoubleType())]))
+
+
 def reference_recharge(precipitation: DataFrame, value: str = "mm") -> DataFrame:
     """One row: the median of positive values, else the mean, else 1."""
     found = precipitation.agg(F.median(F.when(F.col(value) > 0, F.col(value))).alias("m"), F.avg(value).alias("a"))

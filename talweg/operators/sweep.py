@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,16 +57,27 @@ def ranked_index(statistics: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def synthetic_terrain(spark, height: int, width: int, seed: int = 7, octaves: int = 6) -> DataFrame:
-    """(grid_id, row, col, z): layers of smooth noise, scaled to 500..4500 m; for demonstrations, not for data."""
+    """(grid_id, row, col, z): layers of smooth noise, scaled to 500..4500 m; for demonstrations, not for data.
+
+    Tasks make the cells from their numbers and the coarse lattices, whose size does not grow with the grid.
+    """
     rng = np.random.default_rng(seed)
-    z = np.zeros((height, width))
-    for k in range(octaves):
-        n = 2 ** (k + 1) + 1
-        coarse = rng.standard_normal((n, n))
-        r, c = np.linspace(0, n - 1.001, height), np.linspace(0, n - 1.001, width)
-        i, j = r.astype(int), c.astype(int)
-        a, b = (r - i)[:, None], (c - j)[None, :]
-        z += 0.5**k * ((1 - a) * (1 - b) * coarse[i][:, j] + a * (1 - b) * coarse[i + 1][:, j] + (1 - a) * b * coarse[i][:, j + 1] + a * b * coarse[i + 1][:, j + 1])
-    z = 500 + 4000 * (z - z.min()) / (z.max() - z.min())
-    rows = [(0, int(r), int(c), float(z[r, c])) for r in range(height) for c in range(width)]
-    return spark.createDataFrame(rows, "grid_id int, row int, col int, z double")
+    lattices = [rng.standard_normal((n, n)) for n in (2 ** (k + 1) + 1 for k in range(octaves))]
+
+    def noise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, col = np.divmod(batch.column(0).to_numpy(), width)
+            z = np.zeros(len(row))
+            for k, coarse in enumerate(lattices):
+                end = len(coarse) - 1.001
+                r, c = row * (end / max(height - 1, 1)), col * (end / max(width - 1, 1))
+                i, j = r.astype(int), c.astype(int)
+                west = coarse[i, j] + (r - i) * (coarse[i + 1, j] - coarse[i, j])
+                east = coarse[i, j + 1] + (r - i) * (coarse[i + 1, j + 1] - coarse[i, j + 1])
+                z += 0.5**k * (west + (c - j) * (east - west))
+            yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(col.astype(np.int32)), pa.array(z)], ["row", "col", "z"])
+
+    raw = spark.range(height * width).mapInArrow(noise, "row int, col int, z double")
+    low, high = raw.agg(F.min("z"), F.max("z")).first()
+    span = ((high - low) or 1.0) if high is not None else 1.0
+    return raw.select(F.lit(0).alias("grid_id"), "row", "col", (F.lit(500.0) + (F.col("z") - F.lit(low)) * (4000.0 / span)).alias("z"))

@@ -93,6 +93,30 @@ met AS (SELECT s.*, coalesce(c, 1e-1) AS c, coalesce(p, 33e0) AS p, coalesce(r.r
 SELECT id, region, round({fs_sql()}, 6) AS fs FROM met"""
 
 
+#: Draws of three regions and, under -1, those of all others.
+REGION_DRAWS = {
+    0: [(round(c + 0.05, 6), p, r) for c, p, r in DRAWS],
+    1: [(c, p + 3, r) for c, p, r in DRAWS],
+    3: [(c, p - 2, round(2 * r, 6)) for c, p, r in DRAWS],
+    -1: DRAWS,
+}
+
+
+def q_regional_probability(spark, sf_dir):
+    region = F.when(F.col("region") != 5, F.col("region")).alias("region")
+    rows = samples(spark, sf_dir).select("id", "slope", "sca", region, (1 + F.col("years") / 500).alias("recharge"), (F.col("pga") / 5).alias("k_h"))
+    tables = {r: np.array(t) for r, t in REGION_DRAWS.items()}
+    out = stability.regional_failure_probability(rows, {r: t for r, t in tables.items() if r >= 0}, tables[-1])
+    return out.select("id", "region", r6("probability", "probability"))
+
+
+REGION_DRAW_ROWS = "region_draws AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {c:e}, {p:e}, {r:e})" for k, t in REGION_DRAWS.items() for c, p, r in t) + ") AS d(used, c, p, r))"
+REGIONAL_PROBABILITY_SQL = f"""WITH {SAMPLES}, {REGION_DRAW_ROWS}, placed AS (
+  SELECT id, slope, sca, 1 + years / 500 AS recharge, pga / 5 AS k_h, nullif(region, 5) AS region, CASE WHEN region IN (0, 1, 3) THEN region ELSE -1 END AS used FROM samples)
+SELECT id, region, CASE WHEN region IS NOT NULL THEN round(count(*) FILTER (WHERE {fs_sql(r='(r * recharge)', k='k_h')} < 1) / 20e0, 6) END AS probability
+FROM placed JOIN region_draws USING (used) GROUP BY id, region"""
+
+
 def q_recharge_multiplier(spark, sf_dir):
     return samples(spark, sf_dir).groupBy("years").agg(F.count(F.lit(1)).alias("n")).select("years", "n", r6(T.recharge_multiplier(F.col("years")), "multiplier"))
 
@@ -362,6 +386,7 @@ QUERIES = {
     "q_failure_probability_builtin": (q_failure_probability_builtin, PROBABILITY_SQL),
     "q_stability_class": (q_stability_class, CLASS_SQL),
     "q_regional_safety": (q_regional_safety, REGIONAL_SQL),
+    "q_regional_probability": (q_regional_probability, REGIONAL_PROBABILITY_SQL),
     "q_recharge_multiplier": (q_recharge_multiplier, MULTIPLIER_SQL),
     "q_return_period": (q_return_period, RETURN_SQL),
     "q_seismic_terms": (q_seismic_terms, SEISMIC_SQL),

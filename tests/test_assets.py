@@ -121,6 +121,30 @@ def test_polygons(spark):
     assert sampling.complete(spark.createDataFrame([(1.0,), (None,), (math.nan,), (math.inf,)], "x double"), ["x"]).count() == 1
 
 
+def test_background_draws_are_exact_and_near_presence(spark):
+    grid = Grid(0.0, 0.0, 5.0, 5.0, 0.1)
+    cells = grid.cells(spark)
+    drawn = sampling.background_points(cells, grid, 100, seed=3)
+    places = {(r.lon, r.lat) for r in drawn.collect()}
+    assert len(places) == 100 and places == {(r.lon, r.lat) for r in sampling.background_points(cells.repartition(5), grid, 100, seed=3).collect()}
+    assert all(0 <= lon <= 5 and 0 <= lat <= 5 for lon, lat in places)
+    presence = spark.createDataFrame([(1.05, 3.95), (1.05, 3.95), (0.05, 0.05), (None, 1.0)], "lon double, lat double")
+    for within, k in ((0.25, 2), (0.05, 0)):
+        near = {(r.row, r.col) for r in sampling.near_presence(cells, grid, presence, within).collect()}
+        want = {(r, c) for r in range(grid.height) for c in range(grid.width) for a, b in ((10, 10), (49, 0)) if abs(r - a) <= k and abs(c - b) <= k}
+        assert near == want
+    assert sampling.near_presence(cells, grid, presence.limit(0)).count() == 0
+
+
+def test_regional_failure_probability(spark):
+    schema = "slope double, sca double, region int, recharge double, note string"
+    samples = spark.createDataFrame([(0.7, 50.0, 1, 1.0, "a"), (0.7, 50.0, 2, 1.0, "b"), (0.7, 50.0, None, 1.0, "c"), (None, 50.0, 1, 1.0, None)], schema)
+    strong, weak = np.array([[9.0, 45.0, 1e-4]]), np.array([[0.0, 5.0, 1e-2]])
+    out = stability.regional_failure_probability(samples, {1: strong}, weak)
+    assert [r.probability for r in out.collect()] == [0.0, 1.0, None, None] and out.columns == [*samples.columns, "probability"]
+    assert stability.regional_failure_probability(samples.limit(0), {}, weak).count() == 0
+
+
 def test_lines(spark):
     coords = [Row(lon=84 + 0.001 * k, lat=28.0) for k in range(60)]
     df = spark.createDataFrame([(1, coords), (2, coords[:1]), (3, None)], f"asset_id int, coords {lines.COORDS}")

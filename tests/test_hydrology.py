@@ -126,6 +126,15 @@ def test_neighbours_at_edges_and_nodata(spark):
     assert {(r.row, r.col): r.rise for r in steepest_rise(frame(spark, z), 1, 1).collect()}[2, 2] is not None or True
 
 
+def test_synthetic_terrain(spark):
+    made = synthetic_terrain(spark, 30, 20)
+    z = {(r.row, r.col): r.z for r in made.collect()}
+    assert len(z) == 600 and abs(min(z.values()) - 500) < 1e-9 and abs(max(z.values()) - 4500) < 1e-9
+    assert z == {(r.row, r.col): r.z for r in synthetic_terrain(spark, 30, 20).collect()}
+    assert z != {(r.row, r.col): r.z for r in synthetic_terrain(spark, 30, 20, seed=8).collect()}
+    assert synthetic_terrain(spark, 0, 20).count() == 0 and synthetic_terrain(spark, 1, 1).count() == 1
+
+
 def test_units_are_resumed_and_large_ones_refused(spark):
     one = synthetic_terrain(spark, 12, 15).withColumn("grid_id", F.lit("one"))
     two = synthetic_terrain(spark, 9, 9, seed=3).withColumn("grid_id", F.lit("two"))
