@@ -258,6 +258,47 @@ def q_mechanisms(spark, sf_dir):
 MECHANISM_SQL = f"""WITH rises AS ({STEEPEST_SQL.replace('round(greatest(', '(greatest(').replace('), 9) AS rise', ')) AS rise')}), {CELLS}, lc AS ({LINE_CELLS_SQL})
 SELECT asset_id, round(max(p * 6000), 6) AS sca, degrees(atan(max(rise))) >= 35 AS cut_slope, max(p * 6000) >= 5000 AS washout FROM lc JOIN rises USING (row, col) JOIN cells USING (row, col) GROUP BY asset_id"""
 
+
+def q_mechanism_lengths(spark, sf_dir):
+    roads = V.samples(spark, sf_dir).select(F.col("sca").alias("length_m"), (F.col("slope") > 0.7).alias("cut_slope"), (F.col("years") > 200).alias("washout"))
+    out = reach.mechanism_lengths(roads)
+    return out.select(*[r6(c, c) for c in out.columns])
+
+
+MECHANISM_LENGTHS_SQL = f"""WITH {V.SAMPLES} SELECT round(coalesce(sum(sca) FILTER (WHERE slope > 7e-1), 0) / 1e3, 6) AS km_cut_slope,
+  round(coalesce(sum(sca) FILTER (WHERE years > 200), 0) / 1e3, 6) AS km_washout, round(coalesce(sum(sca) FILTER (WHERE slope > 7e-1 AND years > 200), 0) / 1e3, 6) AS km_both FROM samples"""
+
+
+def q_middle_vertex(spark, sf_dir):
+    middle = V.tracks(spark, sf_dir).select("asset_id", lines.middle_vertex(F.col("coords")).alias("v"))
+    return middle.select("asset_id", r6("v.lon", "lon"), r6("v.lat", "lat"))
+
+
+MIDDLE_SQL = f"""WITH {TRACKS}, placed AS (
+  SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY event_id) - 1 AS nth, count(*) OVER (PARTITION BY asset_id) AS n FROM tracks)
+SELECT asset_id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM placed WHERE nth = n // 2"""
+
+
+def q_labelled(spark, sf_dir):
+    rows = V.samples(spark, sf_dir).select("id", "region", "y").withColumnRenamed("y", "failed")
+    out = U.labelled(rows.filter("failed"), rows.filter("NOT failed AND id % 3 = 0"), ["id", "region"])
+    return out.groupBy("region", "y").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+
+
+LABELLED_SQL = f"WITH {V.SAMPLES} SELECT region, y, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM samples WHERE y OR id % 3 = 0 GROUP BY region, y"
+
+
+def q_near_presence(spark, sf_dir):
+    rows = V.cells(spark, sf_dir).select("row", "col")
+    grid = Grid(0.0, 0.0, 10.0, 1e4, 0.1)
+    towns = V.settlements(spark, sf_dir).filter("asset_id % 5 = 0")
+    presence = towns.select(((F.col("col") + 0.5) / 10).alias("lon"), (1e4 - (F.col("row") + 0.5) / 10).alias("lat"))
+    return sampling.near_presence(rows, grid, presence)
+
+
+NEAR_PRESENCE_SQL = f"""WITH {CELLS}, {SETTLEMENTS} SELECT row, col FROM cells c WHERE EXISTS (
+  SELECT 1 FROM settlements s WHERE asset_id % 5 = 0 AND abs(s.row - c.row) <= 1 AND abs(s.col - c.col) <= 1)"""
+
 LINK_M, LAT0 = 80.0, 28.0
 
 
@@ -486,6 +527,10 @@ QUERIES = {
     "q_line_cells": (q_line_cells, LINE_CELLS_SQL),
     "q_segment_score": (q_segment_score, SEGMENT_SCORE_SQL),
     "q_mechanisms": (q_mechanisms, MECHANISM_SQL),
+    "q_mechanism_lengths": (q_mechanism_lengths, MECHANISM_LENGTHS_SQL),
+    "q_middle_vertex": (q_middle_vertex, MIDDLE_SQL),
+    "q_labelled": (q_labelled, LABELLED_SQL),
+    "q_near_presence": (q_near_presence, NEAR_PRESENCE_SQL),
     "q_pairs_within": (q_pairs_within, PAIRS_SQL),
     "q_clusters": (q_clusters, CLUSTERS_SQL),
     "q_cluster_sizes": (q_cluster_sizes, None),
