@@ -127,10 +127,14 @@ def scenario_totals(scored: DataFrame, population: str | None = None, length: st
     return scored.groupBy("scenario").agg(*aggregates)
 
 
-def totals_change(totals: DataFrame, columns: list[str], baseline: str = "current") -> DataFrame:
-    """``totals`` with each column less the baseline's; the totals have a row for each scenario."""
-    base = totals.filter(F.col("scenario") == baseline).select(*[F.col(c).alias(f"base_{c}") for c in columns])
-    return totals.join(F.broadcast(base)).select(*totals.columns, *[(F.col(c) - F.col(f"base_{c}")).alias(f"{c}_change") for c in columns])
+def totals_change(totals: DataFrame, columns: list[str], baseline: str = "current", keys: list[str] | None = None) -> DataFrame:
+    """``totals`` with each column less the baseline's of the same ``keys``, NULL where there is no baseline.
+
+    The totals have a row for each of the keys and scenario; without keys the baseline is one row.
+    """
+    keys = keys or []
+    changes = [F.sum(F.when(F.col("scenario") == baseline, F.col(c))).over(Window.partitionBy(*keys)) for c in columns]
+    return totals.select("*", *[(F.col(c) - base).alias(f"{c}_change") for c, base in zip(columns, changes, strict=True)])
 
 
 def mechanisms(vertices: DataFrame, per_cell: DataFrame) -> DataFrame:

@@ -136,6 +136,16 @@ def test_background_draws_are_exact_and_near_presence(spark):
     assert sampling.near_presence(cells, grid, presence.limit(0)).count() == 0
 
 
+def test_totals_change_by_key(spark):
+    rows = [("a", "current", 5), ("a", "wet", 7), ("b", "current", 2), ("b", "wet", 1), ("c", "wet", 4)]
+    totals = spark.createDataFrame(rows, "country string, scenario string, n long")
+    got = {(r.country, r.scenario): r.n_change for r in reach.totals_change(totals, ["n"], keys=["country"]).collect()}
+    assert got == {("a", "current"): 0, ("a", "wet"): 2, ("b", "current"): 0, ("b", "wet"): -1, ("c", "wet"): None}
+    one = totals.filter("country = 'a'").drop("country")
+    assert {r.scenario: r.n_change for r in reach.totals_change(one, ["n"]).collect()} == {"current": 0, "wet": 2}
+    assert reach.totals_change(totals.limit(0), ["n"]).count() == 0
+
+
 def test_regional_failure_probability(spark):
     schema = "slope double, sca double, region int, recharge double, note string"
     samples = spark.createDataFrame([(0.7, 50.0, 1, 1.0, "a"), (0.7, 50.0, 2, 1.0, "b"), (0.7, 50.0, None, 1.0, "c"), (None, 50.0, 1, 1.0, None)], schema)
