@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm import decontamination, html_text, language_id, license_scan, line_dedup, packing, quality_rules, simhash, suffix_dedup, warc
+from talweg.llm import decontamination, html_text, language_id, license_scan, line_dedup, packing, quality_rules, simhash, suffix_dedup, turn_repair, warc
 from talweg.llm.license_templates import TEMPLATES
 from talweg.session import spread
 
@@ -189,6 +189,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.conversation_repairs(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -201,6 +205,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_text": op8_html_text,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_language_id": op10_language_id,
+        "op12_turn_repair": op12_turn_repair,
     }
 
 
