@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm import decontamination, html_text, language_id, license_scan, line_dedup, packing, quality_rules, simhash, suffix_dedup, turn_repair, warc
+from talweg.llm import decontamination, html_text, language_id, license_scan, line_dedup, packing, passage_dedup, quality_rules, simhash, suffix_dedup, turn_repair, warc
 from talweg.llm.license_templates import TEMPLATES
 from talweg.session import spread
 
@@ -193,6 +193,29 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.conversation_repairs(_table(spark, sf_dir, "conversations"))
 
 
+def op13_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = passage_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP13_SQL = r"""
+WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, unnest(range(1, len(w) - 18)) AS i,
+         unnest(list_transform(range(1, len(w) - 18), lambda k: md5_number(array_to_string(list_slice(w, k, k + 19), ' ')))) AS s
+  FROM doc),
+later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS nth FROM win) WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM later, unnest(range(0, 20)) AS t(k)),
+word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM doc),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS body FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(body, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -206,8 +229,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_language_id": op10_language_id,
         "op12_turn_repair": op12_turn_repair,
+        "op13_passage_dedup": op13_passage_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op2_decontamination": OP2_SQL, "op4_line_dedup": OP4_SQL, "op9_suffix_dedup": OP9_SQL}
+    return {"op1_warc": OP1_SQL, "op2_decontamination": OP2_SQL, "op4_line_dedup": OP4_SQL, "op9_suffix_dedup": OP9_SQL, "op13_passage_dedup": OP13_SQL}
