@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm import decontamination, html_text, language_id, license_scan, line_dedup, packing, passage_dedup, quality_rules, simhash, suffix_dedup, turn_repair, warc
+from talweg.llm import decontamination, html_text, language_id, license_scan, line_dedup, packing, passage_dedup, quality_rules, simhash, spelling_variants, suffix_dedup, turn_repair, warc
 from talweg.llm.license_templates import TEMPLATES
 from talweg.session import spread
 
@@ -189,6 +189,51 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH crc AS (
+  SELECT list_transform(range(0, 256), lambda c: list_reduce(list_prepend(c, range(0, 8)),
+    lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS tab),
+run AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]{7,}')),
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents),
+seen AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS mark, run, count(*) AS n FROM run GROUP BY ALL),
+coded AS (SELECT run, n, hex(encode(mark)) AS x FROM seen),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(x) // 2), lambda k: CAST('0x' || substr(x, 2 * k + 1, 2) AS BIGINT))),
+                    lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) AS h
+  FROM coded, crc),
+vocabulary AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+place AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocabulary),
+marked AS (SELECT word, n, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS g FROM place),
+cut AS (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS g FROM place),
+pair AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM marked a JOIN marked b ON a.g = b.g AND a.word <> b.word
+  UNION SELECT c.word, v.word, v.n FROM cut c JOIN vocabulary v ON v.word = c.g
+  UNION SELECT v.word, c.word, c.n FROM cut c JOIN vocabulary v ON v.word = c.g),
+best AS (
+  SELECT word, count(*) AS n_near, max(near_n) AS near_n, min(near) FILTER (WHERE nth = 1) AS near FROM (
+    SELECT *, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, encode(near)) AS nth FROM pair) GROUP BY word),
+form AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * v.n THEN near END AS form,
+         CASE WHEN near_n >= 10 * v.n THEN near_n END AS form_n
+  FROM vocabulary v LEFT JOIN best USING (word)),
+walk AS (
+  WITH RECURSIVE step AS (
+    SELECT word, word AS at, form AS next FROM form
+    UNION ALL SELECT s.word, f.word, f.form FROM step s JOIN form f ON f.word = s.next)
+  SELECT word, at AS root FROM step WHERE next IS NULL)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM form JOIN walk USING (word)
+"""
+
+
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.conversation_repairs(_table(spark, sf_dir, "conversations"))
 
@@ -228,10 +273,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_text": op8_html_text,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_language_id": op10_language_id,
+        "op11_spelling_variants": op11_spelling_variants,
         "op12_turn_repair": op12_turn_repair,
         "op13_passage_dedup": op13_passage_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op2_decontamination": OP2_SQL, "op4_line_dedup": OP4_SQL, "op9_suffix_dedup": OP9_SQL, "op13_passage_dedup": OP13_SQL}
+    return {"op1_warc": OP1_SQL, "op2_decontamination": OP2_SQL, "op4_line_dedup": OP4_SQL, "op9_suffix_dedup": OP9_SQL, "op11_spelling_variants": OP11_SQL, "op13_passage_dedup": OP13_SQL}
