@@ -227,9 +227,9 @@ form AS (
   FROM vocabulary v LEFT JOIN best USING (word)),
 walk AS (
   WITH RECURSIVE step AS (
-    SELECT word, word AS at, form AS next FROM form
+    SELECT word, word AS spot, form AS next FROM form
     UNION ALL SELECT s.word, f.word, f.form FROM step s JOIN form f ON f.word = s.next)
-  SELECT word, at AS root FROM step WHERE next IS NULL)
+  SELECT word, spot AS root FROM step WHERE next IS NULL)
 SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM form JOIN walk USING (word)
 """
 

@@ -419,15 +419,12 @@ def _by_anchor(rows: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(doc, mark, start, stop): bytes [start, stop) of the documents to remove; spans may overlap."""
     first_steps, scratch = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
-    shared = cut(anchors(docs, length).groupBy("anchor").count().filter("count > 1").select("anchor"))
-    scratch.tidy()
+    shared = scratch.stored(anchors(docs, length).groupBy("anchor").count().filter("count > 1").select("anchor"))
     met = first_steps.stored(segments(docs, length).join(shared.hint("shuffle_hash"), "anchor", "left_semi"))
-    scratch.tidy()
     firsts, copies = _merged(met, [], scratch)
     copies = scratch.stored(copies)
     first_steps.clear()
     bodies = scratch.stored(_bodies(docs, _contested(firsts, hot), length))
-    scratch.tidy()
     pieces, piece_copies = _merged(scratch.stored(_finer(bodies.filter("many"), length)), ["body"], scratch)
     fine = scratch.stored(_contested(pieces, hot))
     _, string_copies = _merged(_whole_strings(fine.filter("many"), length), [], scratch)
