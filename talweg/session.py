@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Lets Spark remove a query's shuffle files once the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
@@ -38,6 +41,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
 
 
+def _write(df: DataFrame, path: str) -> DataFrame:
+    """Writes ``df`` and reads it back; its shuffle files are not needed any more then and go at once."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Scratch:
     """Intermediate tables of one job in the shared folder, removed together once nothing reads them any more."""
 
@@ -48,23 +63,16 @@ class Scratch:
     def stored(self, df: DataFrame) -> DataFrame:
         """Like ``stored``, until ``clear``."""
         self.count += 1
-        path = f"{self.folder}/{self.count}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return _write(df, f"{self.folder}/{self.count}")
 
     def clear(self) -> None:
-        """Removes the tables, and lets Spark remove the shuffle files of plans that are gone.
+        """Removes the tables.
 
         To be called when what was made from the tables is itself written: a lost executor must not need them.
         """
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(self.folder)
         path.getFileSystem(conf).delete(path, True)
-        self.tidy()
-
-    def tidy(self) -> None:
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -72,7 +80,4 @@ def stored(df: DataFrame) -> DataFrame:
 
     Smaller than a checkpoint and readable by column, so for wide or large intermediate tables.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/talweg-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _write(df, f"{shared_dir(df.sparkSession)}/talweg-{uuid.uuid4().hex}")
