@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talweg.functions.scores import FOOTPRINT_M
+from talweg.sources import json_arrays
+from talweg.sources.shapefile import read_shapefile, shape_vertices
 
 # Column names that are looked for, in this order, in any case; codes of places; road classes.
 LATITUDES = ["latitude", "lat", "y", "ycoord", "y_coord"]
@@ -48,9 +50,11 @@ def csv_points(spark: SparkSession, path: str, box: Box | None = None, countries
 
 
 def features(spark: SparkSession, path: str) -> DataFrame:
-    """(properties, kind, coordinates) of a GeoJSON collection; properties a map, coordinates as JSON text."""
-    text = spark.read.text(path, wholetext=True).select(F.from_json("value", "features array<struct<properties:map<string,string>,geometry:string>>").alias("j"))
-    each = text.select(F.explode("j.features").alias("f"))
+    """(properties, kind, coordinates) of a GeoJSON collection; properties a map, coordinates as JSON text.
+
+    A large file is read by many tasks.
+    """
+    each = json_arrays.objects(spark, path).select(F.from_json("value", "type string, properties map<string,string>, geometry string").alias("f")).filter("coalesce(f.type, 'Feature') = 'Feature' AND (f.type IS NOT NULL OR f.geometry IS NOT NULL)")
     geometry = F.from_json(F.col("f.geometry"), "type string, coordinates string")
     return each.select(F.col("f.properties").alias("properties"), geometry["type"].alias("kind"), geometry["coordinates"].alias("coordinates"))
 
@@ -70,6 +74,32 @@ def geojson_points(spark: SparkSession, path: str, box: Box | None = None) -> Da
     return _in_box(features(spark, path).select(point.alias("p")).select("p.lon", "p.lat"), box)
 
 
+def shapefile_points(spark: SparkSession, path: str, box: Box | None = None) -> DataFrame:
+    """(lon, lat): a point of each shape, the mean of all coordinates of those that are no points."""
+    from talweg.operators.sampling import representative_point
+
+    return _in_box(read_shapefile(spark, path).select(representative_point(shape_vertices()).alias("p")).select("p.lon", "p.lat"), box)
+
+
+def inventory_points(spark: SparkSession, path: str, box: Box | None = None, countries: list[str] | None = None) -> DataFrame:
+    """(lon, lat) of an inventory: GeoJSON, a shapefile or, with any other ending, CSV."""
+    low = path.lower()
+    if low.endswith((".geojson", ".json")):
+        return geojson_points(spark, path, box)
+    if low.endswith(".shp"):
+        return shapefile_points(spark, path, box)
+    if low.endswith((".gdb", ".gpkg", ".kml", ".kmz")):
+        raise ValueError(f"{path}: only CSV, GeoJSON and shapefiles are read")
+    return csv_points(spark, path, box, countries)
+
+
+def line_roads(spark: SparkSession, path: str, box: Box | None = None) -> DataFrame:
+    """(name, highway, coords) of the lines of one part in a shapefile of roads; the kind of road is its ``type``, else road."""
+    rows = read_shapefile(spark, path, box).filter("kind = 'LineString'")
+    own = lambda name: F.element_at("properties", name)
+    return rows.select(F.coalesce(own("name"), F.lit("")).alias("name"), F.lower(F.coalesce(own("type"), F.lit("road"))).alias("highway"), F.col("parts")[0].alias("coords"))
+
+
 def geojson_units(spark: SparkSession, path: str) -> DataFrame:
     """(name, country, west, south, east, north, rings) of polygon features."""
     rows = features(spark, path).filter(F.col("kind").isin("Polygon", "MultiPolygon"))
@@ -88,12 +118,11 @@ def people(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), ",", "").try_cast("long")
 
 
-OVERPASS = "elements array<struct<type:string,id:long,lat:double,lon:double,tags:map<string,string>,geometry:array<struct<lat:double,lon:double>>>>"
+OVERPASS = "type string, id long, lat double, lon double, tags map<string,string>, geometry array<struct<lat:double,lon:double>>"
 
 
 def _elements(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    text = spark.read.text(path, wholetext=True).select(F.from_json("value", OVERPASS).alias("j"))
-    return text.select(F.explode("j.elements").alias("e")).select("e.*").filter(F.col("type") == kind)
+    return json_arrays.objects(spark, path).select(F.from_json("value", OVERPASS).alias("e")).select("e.*").filter(F.col("type") == kind)
 
 
 def overpass_settlements(spark: SparkSession, path: str, places: list[str] | None = None) -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,22 @@ def line_features(rows: DataFrame, properties: list[str]) -> DataFrame:
     return rows.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties"))).alias("feature"))
 
 
+def write_features(features: DataFrame, path: str) -> None:
+    """``features`` (feature, as text) as GeoJSON collections in the folder ``path``, one for each partition that has any."""
+
+    def collected(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = '{"type": "FeatureCollection", "features": ['
+        for batch in batches:
+            if batch.num_rows:
+                rows = batch.column(0).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([(before if k == 0 else ",") + row for k, row in enumerate(rows)])], ["value"])
+                before = ","
+        if before == ",":
+            yield pa.RecordBatch.from_arrays([pa.array(["]}"])], ["value"])
+
+    features.select("feature").mapInArrow(collected, "value string").write.mode("overwrite").text(path)
+
+
 def records(scored: DataFrame, baseline: str = "current") -> DataFrame:
     """(asset_id, record): an asset's scores of all scenarios as nested JSON, the baseline's on top."""
     inner = F.map_from_entries(F.sort_array(F.collect_list(F.struct("scenario", F.struct("score", "on_site", "reaching").alias("v")))))
@@ -56,13 +75,13 @@ def png(pixels: DataFrame, value: str, height: int, width: int, alpha: int = 205
     """An image of a small grid (row, col, value 0..1) in the colour ramp, clear where there is no data."""
     if height * width > most:
         raise ValueError("too many pixels for one image; make a thumbnail first")
-    rows = pixels.filter(F.col(value).isNotNull()).select("row", "col", *[ramp(F.col(value), k).alias(f"c{k}") for k in range(3)]).collect()
-    image = [bytearray(4 * width) for _ in range(height)]
-    for r in rows:
-        image[r["row"]][4 * r["col"] : 4 * r["col"] + 4] = bytes([r["c0"], r["c1"], r["c2"], alpha])
+    found = pixels.filter(F.col(value).isNotNull()).select("row", "col", *[ramp(F.col(value), k).alias(f"c{k}") for k in range(3)]).toArrow()
+    row, col, *colour = (found.column(c).to_numpy() for c in found.column_names)
+    image = np.zeros((height, width, 4), np.uint8)
+    image[row, col] = np.stack([*colour, np.full(len(row), alpha)], axis=1)
     chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
     head = struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"".join(b"\x00" + bytes(r) for r in image))) + chunk(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"".join(b"\x00" + r.tobytes() for r in image))) + chunk(b"IEND", b"")
 
 
 def manifest(products: DataFrame, settings: dict) -> str:
