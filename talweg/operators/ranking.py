@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talweg.operators.quantiles import quantiles, with_quantiles
 from talweg.session import cut
 
+
 def running_counts(counts: DataFrame, keys: list[str], value: str, columns: list[str], ranges: int | None = None) -> DataFrame:
     """``counts``, one row per key and value, with ``before_<column>``: the sum over the key's smaller values.
 
@@ -42,8 +44,8 @@ def auc(rows: DataFrame, keys: list[str], score: str = "score", y: str = "y") ->
 def capture(rows: DataFrame, score: str = "score", y: str = "y", fractions: tuple[float, ...] = (0.05, 0.10, 0.20)) -> DataFrame:
     """(fraction, captured): the share of positives at or over the (1 - fraction) quantile of the negatives."""
     s = F.col(score)
-    found = rows.agg(F.percentile(F.when(~F.col(y), s), F.array(*[F.lit(1 - f) for f in fractions])).alias("cuts"))
-    pairs = found.select(F.posexplode("cuts").alias("k", "cut")).select(F.element_at(F.array(*map(F.lit, fractions)), F.col("k") + 1).alias("fraction"), "cut")
+    found = quantiles(rows.filter(~F.col(y)), [], score, [1 - f for f in fractions])
+    pairs = found.select(F.posexplode("quantiles").alias("k", "cut")).select(F.element_at(F.array(*map(F.lit, fractions)), F.col("k") + 1).alias("fraction"), "cut")
     return rows.filter(F.col(y)).join(F.broadcast(pairs)).groupBy("fraction").agg(F.avg(F.when(s >= F.col("cut"), 1.0).otherwise(0.0)).alias("captured"))
 
 
@@ -60,5 +62,5 @@ def rank_correlation(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 def spread(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Per key the median, the interquartile range and the 99th percentile."""
-    q = F.percentile(value, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, 0.99)]))
-    return rows.groupBy(*keys).agg(q.alias("q")).select(*keys, F.get("q", F.lit(1)).alias("median"), (F.get("q", F.lit(2)) - F.get("q", F.lit(0))).alias("iqr"), F.get("q", F.lit(3)).alias("p99"))
+    found = with_quantiles(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), rows, keys, value, [0.25, 0.5, 0.75, 0.99]).withColumnRenamed("quantiles", "q")
+    return found.select(*keys, F.get("q", F.lit(1)).alias("median"), (F.get("q", F.lit(2)) - F.get("q", F.lit(0))).alias("iqr"), F.get("q", F.lit(3)).alias("p99"))

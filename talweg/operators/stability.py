@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from talweg.functions import mechanics as M
+from talweg.operators.quantiles import with_quantiles
 
 
 @dataclass(frozen=True)
@@ -125,7 +126,8 @@ def regional_failure_probability(
 
 def reference_recharge(precipitation: DataFrame, value: str = "mm") -> DataFrame:
     """One row: the median of positive values, else the mean, else 1."""
-    found = precipitation.agg(F.median(F.when(F.col(value) > 0, F.col(value))).alias("m"), F.avg(value).alias("a"))
+    mean = precipitation.agg(F.avg(value).alias("a"))
+    found = with_quantiles(mean, precipitation.filter(F.col(value) > 0), [], value, [0.5]).withColumn("m", F.get("quantiles", F.lit(0)))
     return found.select(F.coalesce(F.nullif("m", F.lit(0.0)), F.nullif("a", F.lit(0.0)), F.lit(1.0)).alias("reference"))
 
 

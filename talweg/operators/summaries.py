@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talweg.operators.quantiles import with_quantiles
+from talweg.session import stored
+
 
 def compare_runs(a: DataFrame, b: DataFrame, keys: list[str], catchment: str, probability: str) -> DataFrame:
     """One row: how a run differs from one over a larger area.
@@ -13,15 +16,16 @@ def compare_runs(a: DataFrame, b: DataFrame, keys: list[str], catchment: str, pr
     over 0.05 of the changes in probability.
     """
     met = a.select(*keys, F.col(catchment).alias("ca"), F.col(probability).alias("pa")).join(b.select(*keys, F.col(catchment).alias("cb"), F.col(probability).alias("pb")), keys)
-    ratio, moved = F.try_divide(F.col("ca"), F.col("cb")), F.abs(F.col("pa") - F.col("pb"))
-    return met.agg(
+    met = stored(met.select(F.try_divide(F.col("ca"), F.col("cb")).alias("ratio"), F.abs(F.col("pa") - F.col("pb")).alias("moved")))
+    ratio, moved = F.col("ratio"), F.col("moved")
+    found = met.agg(
         F.count(F.lit(1)).alias("n_cells"),
-        F.median(ratio).alias("median_ratio"),
         (100 * F.avg(F.when(ratio < 0.5, 1.0).otherwise(0.0))).alias("percent_under_half"),
         F.avg(moved).alias("mean_change"),
         F.max(moved).alias("max_change"),
         (100 * F.avg(F.when(moved > 0.05, 1.0).otherwise(0.0))).alias("percent_over_005"),
     )
+    return with_quantiles(found, met, [], "ratio", [0.5]).withColumn("median_ratio", F.get("quantiles", F.lit(0))).drop("quantiles")
 
 
 def region_totals(units: DataFrame, sums: list[str], maxima: list[str], keys: list[str] | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talweg.functions.gridding import intersects
 from talweg.functions.scores import METRES_PER_DEGREE_LAT, METRES_PER_DEGREE_LON, is_mountainous, slug
+from talweg.operators.quantiles import with_quantiles
 
 LEAST_SPAN_DEG = 0.02
 HIGH_M, RUGGED_M = 1000.0, 500.0
@@ -44,19 +45,22 @@ def relief_statistics(cells: DataFrame, res: float, keys: list[str] | None = Non
     keys = keys or ["slug"]
     mountain = (F.col("z") >= HIGH_M) & (F.col("relief") >= RUGGED_M)
     km2 = res * METRES_PER_DEGREE_LON * F.cos(F.radians("lat")) * res * METRES_PER_DEGREE_LAT / 1e6
-    out = cells.filter(F.col("z").isNotNull()).groupBy(*keys).agg(
+    known = cells.filter(F.col("z").isNotNull())
+    out = known.groupBy(*keys).agg(
         F.avg(F.when(mountain, 1.0).otherwise(0.0)).alias("mountain_fraction"),
         F.sum(F.when(mountain, km2).otherwise(0.0)).alias("mountain_area_km2"),
         F.max("z").alias("max_elevation_m"),
-        F.median("relief").alias("median_local_relief_m"),
     )
+    out = with_quantiles(out, known, keys, "relief", [0.5]).withColumn("median_local_relief_m", F.get("quantiles", F.lit(0))).drop("quantiles")
     return out.withColumn("mountainous", is_mountainous(F.col("mountain_fraction"), F.col("mountain_area_km2"), F.col("max_elevation_m")))
 
 
 def unit_statistics(cells: DataFrame, keys: list[str], value: str = "probability") -> DataFrame:
     """Per unit its cells with data, the mean, the percentage over one half, and the 90th percentile."""
     v = F.col(value)
-    return cells.filter(v.isNotNull()).groupBy(*keys).agg(F.count(v).alias("n_cells"), F.avg(v).alias("mean"), F.avg(F.when(v > 0.5, 100.0).otherwise(0.0)).alias("unstable_percent"), F.percentile(v, F.lit(0.9)).alias("p90"))
+    known = cells.filter(v.isNotNull())
+    found = known.groupBy(*keys).agg(F.count(v).alias("n_cells"), F.avg(v).alias("mean"), F.avg(F.when(v > 0.5, 100.0).otherwise(0.0)).alias("unstable_percent"))
+    return with_quantiles(found, known, keys, value, [0.9]).withColumn("p90", F.get("quantiles", F.lit(0))).drop("quantiles")
 
 
 def cost_plan(units: DataFrame, res: float, max_cells: int = MAX_CELLS) -> DataFrame:

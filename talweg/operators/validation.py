@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talweg.operators.quantiles import with_quantiles
+
 
 def quantile_edges(rows: DataFrame, value: str, bins: int = 5) -> DataFrame:
     """One row ``edges``: the inner quantiles of the positive values, without repeats."""
-    inner = F.array(*[F.lit(k / bins) for k in range(1, bins)])
-    return rows.agg(F.array_distinct(F.percentile(F.when(F.col(value) > 0, F.col(value)), inner)).alias("edges"))
+    positive = rows.filter(F.col(value) > 0)
+    found = with_quantiles(positive.agg(F.count(F.lit(1)).alias("n")), positive, [], value, [k / bins for k in range(1, bins)])
+    return found.select(F.array_distinct("quantiles").alias("edges"))
 
 
 def bin_of(value: Column, edges: Column) -> Column:
