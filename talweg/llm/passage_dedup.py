@@ -34,14 +34,14 @@ from pyspark.sql import functions as F
 
 from talweg.llm.suffix_dedup import RUN_MASK, START_MASK, START_SHIFT, TEXT_SHIFT, doc_number, keyed, text_mark
 from talweg.llm.word_index import WordIndex
-from talweg.session import cut, stored
+from talweg.session import Scratch, stored
 
 WINDOW = 20
 GRAM = 4
 HOT = 2_000
 LONG = 32
 CHUNK_BYTES = 256 << 10
-SHARD_WORDS = 1 << 16
+SHARD_WORDS = 1 << 17
 ORDER_BITS = np.uint64(28)
 
 ODD1, ODD2, ODD3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -203,13 +203,11 @@ BODIES = "anchor long, salt int, hot boolean, doc long, place long, body binary"
 
 
 def bodies(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """The words of the segments ``wanted`` (anchor, salt, hot, doc, place), cut from their documents.
+    """The words of the segments ``wanted``, lists ``s`` of (anchor, salt, hot, place) by w_doc and w_mark, cut from their documents.
 
     Rows that repeat a document give its segments again, at the same places.
     """
-    mark = F.shiftright("place", TEXT_SHIFT).alias("w_mark")
-    lists = wanted.select(F.col("doc").alias("w_doc"), mark, F.struct("anchor", "salt", "hot", "place").alias("s")).groupBy("w_doc", "w_mark").agg(F.collect_list("s").alias("s"))
-    sources = keyed(docs).join(lists, (F.col("doc") == F.col("w_doc")) & (F.col("mark") == F.col("w_mark")))
+    sources = keyed(docs).join(wanted, (F.col("doc") == F.col("w_doc")) & (F.col("mark") == F.col("w_mark")))
 
     def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,89 +228,97 @@ def bodies(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 # --- shards ------------------------------------------------------------------------------------------------------
 
 
-def repeated_in(groups: np.ndarray, texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _places(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begins[0], begins[0] + 1, ... for ``sizes[0]`` numbers, then the same for the next."""
+    return np.arange(int(sizes.sum())) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
+
+
+def repeated_in(groups: np.ndarray, texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """For segments in order, whose equal ``groups`` stand together: which windows also start earlier.
 
-    Gives, for each word, whether a window that starts there does, the number of words before each text (and all),
-    and where words begin and end in the joined texts.
+    Gives, for each word, whether a window that starts there does, and the number of words before each text (and all).
+    Equal texts of a group have the same matching statistics and are streamed once.
     """
-    flat, begins, ends, ahead = _words_of(texts)
+    known: dict[tuple[int, bytes], int] = {}
+    kind = np.array([known.setdefault(key, len(known)) for key in zip(groups.tolist(), texts, strict=True)])
+    flat, begins, ends, kind_ahead = _words_of([t for _, t in known])
     codes, sigma = word_numbers(flat, begins, ends)
-    sizes = np.diff(ahead)
-    again = np.zeros(len(codes), bool)
+    kind_sizes = np.diff(kind_ahead)
+    sizes = kind_sizes[kind]
+    ahead = np.concatenate([[0], np.cumsum(sizes)])
+    again = np.zeros(ahead[-1], bool)
     alive, taken = np.arange(len(texts)), 1
-    opens = np.ones(len(texts), bool)
     while len(alive):
         own = groups[alive]
         opens = np.concatenate([[True], own[1:] != own[:-1]])
         nth = np.arange(len(alive)) - np.flatnonzero(opens)[np.cumsum(opens) - 1]
         batch, rest = alive[nth < taken], alive[nth >= taken]
-        places = _places(ahead[batch], sizes[batch])
-        text = np.zeros(len(places) + len(batch), np.int64)  # each segment ends in a 0
-        slots = np.arange(len(places)) + np.repeat(np.arange(len(batch)), sizes[batch])
-        used = np.unique(codes[places])
+        words = codes[_places(kind_ahead[kind[batch]], sizes[batch])]
+        slots = np.arange(len(words)) + np.repeat(np.arange(len(batch)), sizes[batch])
+        used = np.unique(words)
         short = np.full(sigma, -1, np.int64)
         short[used] = np.arange(1, len(used) + 1)
-        text[slots] = short[codes[places]]
+        text = np.zeros(len(words) + len(batch), np.int64)  # each segment ends in a 0
+        text[slots] = short[words]
         index = WordIndex(text, len(used) + 1, window)
-        again[places] |= index.own_repeats()[slots]
+        again[_places(ahead[batch], sizes[batch])] |= index.own_repeats()[slots]
         if not len(rest):
             break
-        streamed = _places(ahead[rest], sizes[rest])
-        again[streamed] |= index.matches(short[codes[streamed]], np.cumsum(sizes[rest])) >= window
-        open_ = np.add.reduceat(~again[streamed], np.cumsum(sizes[rest]) - sizes[rest]) > window - 1  # the last words start no window
-        alive, taken = rest[open_], 2 * taken
-    return again, ahead, begins, ends
-
-
-def _places(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """begins[0], begins[0] + 1, ... for ``sizes[0]`` numbers, then the same for the next."""
-    return np.arange(int(sizes.sum())) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
+        streamed, own = np.unique(kind[rest], return_inverse=True)
+        stops = np.cumsum(kind_sizes[streamed])
+        found = index.matches(short[codes[_places(kind_ahead[streamed], kind_sizes[streamed])]], stops) >= window
+        again[_places(ahead[rest], sizes[rest])] |= found[_places((stops - kind_sizes[streamed])[own], sizes[rest])]
+        left = np.add.reduceat(~again[_places(ahead[rest], sizes[rest])], np.cumsum(sizes[rest]) - sizes[rest])
+        alive, taken = rest[left >= window], 2 * taken  # the last words start no window
+    return again, ahead
 
 
-FOUND = "doc long, mark long, start int, stop int, window binary"
+FOUND = "doc long, place long, window binary"
 
 
 def matched(given: DataFrame, window: int) -> DataFrame:
-    """Repeats among segments with one anchor and salt, as runs of words [start, stop), and of hot anchors also
-    the windows that are the first of their block, one by one, with their words."""
+    """Repeats among segments with one anchor and salt, as places whose run is that of the windows, and of hot anchors
+    also the windows that are the first of their block, one by one, with their words."""
 
     def search(rows: list[tuple]) -> pa.RecordBatch:
         texts = [r[5] for r in rows]
         groups = np.cumsum([False, *(a[:2] != b[:2] for a, b in zip(rows, rows[1:], strict=False))])
-        again, ahead, begins, ends = repeated_in(groups, texts, window)
-        place = np.array([r[4] for r in rows], np.int64)
-        doc, mark, start = np.array([r[3] for r in rows], np.int64), place >> TEXT_SHIFT, (place >> START_SHIFT) & START_MASK
+        again, ahead = repeated_in(groups, texts, window)
+        doc, place = np.array([r[3] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64)
         owner = np.repeat(np.arange(len(rows)), np.diff(ahead))
         offset = np.arange(len(again)) - ahead[owner]
         hits = np.flatnonzero(again)
-        new = np.ones(len(hits), bool)
-        new[1:] = (hits[1:] != hits[:-1] + 1) | (owner[hits[1:]] != owner[hits[:-1]])
-        first = hits[new]
-        last = hits[np.append(np.flatnonzero(new)[1:], len(hits)) - 1] if len(hits) else hits
+        opens = np.ones(len(hits), bool)
+        opens[1:] = (hits[1:] != hits[:-1] + 1) | (owner[hits[1:]] != owner[hits[:-1]])
+        first = hits[opens]
+        runs = np.diff(np.append(np.flatnonzero(opens), len(hits)))
         hot = np.array([r[2] for r in rows], bool)
         left = np.flatnonzero(~again & hot[owner] & (offset + window <= np.diff(ahead)[owner]))
-        own = np.concatenate([owner[first], owner[left]])
-        stops = np.concatenate([offset[last], offset[left]]) + window
-        flat = b" ".join(texts)
-        words = [None] * len(first) + [b" ".join(flat[begins[i] : ends[i + window - 1]].split()) for i in left.tolist()]
-        starts = start[own] + np.concatenate([offset[first], offset[left]])
-        columns = [pa.array(doc[own]), pa.array(mark[own]), pa.array(starts.astype(np.int32)), pa.array((start[own] + stops).astype(np.int32)), pa.array(words, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["doc", "mark", "start", "stop", "window"])
+        words = [None] * len(first)
+        for i in left.tolist():
+            words.append(b" ".join(texts[owner[i]].split()[offset[i] : offset[i] + window]))
+        at = np.concatenate([first, left])
+        begin = (place[owner[at]] & ~np.int64(RUN_MASK)) + (offset[at] << START_SHIFT)
+        columns = [pa.array(doc[owner[at]]), pa.array(begin | np.concatenate([runs - 1, left * 0])), pa.array(words, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["doc", "place", "window"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = 0
+        size, texts = 0, set()
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[:5] == held[-1][:5]:
+                if held and row[:2] != held[-1][:2]:
+                    texts = set()
+                    # blocks of one anchor must not meet: their segments are not in order
+                    if size >= SHARD_WORDS or row[2] or held[-1][2]:
+                        yield search(held)
+                        held, size = [], 0
+                elif held and row[:5] == held[-1][:5]:
                     continue  # a row that repeats a document
-                # blocks of one anchor must not meet: their segments are not in order
-                if held and row[:2] != held[-1][:2] and (size >= SHARD_WORDS or row[2] or held[-1][2]):
-                    yield search(held)
-                    held, size = [], 0
+                if row[5] not in texts:  # equal texts are streamed once
+                    texts.add(row[5])
+                    size += (row[4] & RUN_MASK) + window
                 held.append(row)
-                size += (row[4] & RUN_MASK) + window
         if held:
             yield search(held)
 
@@ -321,29 +327,31 @@ def matched(given: DataFrame, window: int) -> DataFrame:
     return given.repartition("anchor", "salt").sortWithinPartitions(*order).mapInArrow(run, FOUND)
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
-    """(doc, mark, start, stop): words [start, stop) of the documents to remove; spans may overlap."""
-    shared = cut(anchors(docs, window).groupBy("anchor").count().filter("count > 1").select(F.col("anchor").alias("s_anchor"), "count"))
+def repeated_places(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
+    """(doc, place) of all runs of windows that start earlier too."""
+    scratch = Scratch(docs.sparkSession)
+    shared = scratch.stored(anchors(docs, window).groupBy("anchor").count().filter("count > 1").select(F.col("anchor").alias("s_anchor"), "count"))
     met = segments(docs, window).join(shared.hint("shuffle_hash"), F.col("anchor") == F.col("s_anchor"))
     blocks = F.ceil(F.col("count") / hot).cast("int")
     salt = F.when(F.col("count") > hot, F.pmod(F.hash("doc", "place"), blocks)).otherwise(0)
-    wanted = met.select("anchor", salt.alias("salt"), (F.col("count") > hot).alias("hot"), "doc", "place")
-    found = stored(matched(bodies(docs, wanted, window), window))
+    mark = F.shiftright("place", TEXT_SHIFT)
+    wanted = met.groupBy(F.col("doc").alias("w_doc"), mark.alias("w_mark")).agg(F.collect_list(F.struct("anchor", salt.alias("salt"), (F.col("count") > hot).alias("hot"), "place")).alias("s"))
+    found = stored(matched(bodies(docs, scratch.stored(wanted), window), window))
+    scratch.clear()
     # first in their block, but perhaps not of all
     windows = found.filter("window IS NOT NULL")
-    place = F.struct("doc", "mark", "start")
+    place = F.struct("doc", "place")
     first = windows.groupBy("window").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("window").alias("f_window"), "first")
     later = windows.join(first, F.col("window") == F.col("f_window")).filter(place > F.col("first"))
-    return found.filter("window IS NULL").unionByName(later.select(found.columns)).drop("window")
+    return found.filter("window IS NULL").drop("window").unionByName(later.select("doc", "place"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept (UTF-8 bytes of the words left, joined by one space) of every row."""
-    spans = repeated_spans(docs, window)
-    lists = spans.groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    lists = lists.select(F.col("doc").alias("s_doc"), F.col("mark").alias("s_mark"), "spans")
+    places = repeated_places(docs, window)
+    lists = places.groupBy(F.col("doc").alias("s_doc"), F.shiftright("place", TEXT_SHIFT).alias("s_mark")).agg(F.collect_list("place").alias("places"))
     given = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
-    rows = given.join(lists, (doc_number() == F.col("s_doc")) & (text_mark() == F.col("s_mark")), "left").select("doc_id", "body", "spans")
+    rows = given.join(lists, (doc_number() == F.col("s_doc")) & (text_mark() == F.col("s_mark")), "left").select("doc_id", "body", "places")
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -351,9 +359,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             for i in range(batch.num_rows):
                 words = batch.column(1)[i].as_py().split()
                 left, done = [], 0
-                for a, b in sorted((s["start"], s["stop"]) for s in batch.column(2)[i].as_py() or []):
-                    left += words[done:a]
-                    done = max(done, b)
+                for place in sorted(batch.column(2)[i].as_py() or []):  # of one text, so in the order of their starts
+                    start = (place >> START_SHIFT) & START_MASK
+                    left += words[done:start]
+                    done = max(done, start + (place & RUN_MASK) + window)
                 left += words[done:]
                 kept.append(b" ".join(left))
                 sizes.append(len(words))

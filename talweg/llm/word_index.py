@@ -11,43 +11,51 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 32  # bits of a rank block
+BLOCK = 32  # bits of a row
+BELOW = (np.int64(1) << np.arange(BLOCK)) - 1
 
 
 class WaveletTree:
     """A sequence of numbers by their bits from the highest down, each level stably sorted by those above.
 
-    A level is its bits in words of ``BLOCK`` with the count of ones before each.
+    A level is its bits, ``BLOCK`` to a row, with the count of ones before each row in the row's upper half.
     """
 
     def __init__(self, values: np.ndarray, sigma: int):
         self.size, self.levels = len(values), max(1, int(sigma - 1).bit_length())
-        self.bits, self.ones, self.zeros = [], [], []
+        self.rows, self.zeros = [], []
         rest = values
         for level in range(self.levels - 1, -1, -1):
             bit = (rest >> level & 1).astype(bool)
             packed = np.packbits(np.concatenate([bit, np.zeros(-len(bit) % BLOCK + BLOCK, bool)]), bitorder="little").view(np.uint32)
-            self.bits.append(packed)
-            self.ones.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int32)[:-1]]).astype(np.int32))
+            ones = np.cumsum(np.bitwise_count(packed), dtype=np.int64)
+            self.rows.append(np.concatenate([[0], ones[:-1]]) << 32 | packed)
             self.zeros.append(int(len(bit) - bit.sum()))
             rest = np.concatenate([rest[~bit], rest[bit]])
         #: Where a number's run begins in the order below the lowest level.
-        self.runs = np.zeros(1 << self.levels, np.int32)
+        self.runs = np.zeros(1 << self.levels, np.int64)
         numbers, begins = np.unique(rest, return_index=True)
         self.runs[numbers] = begins
 
-    def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
-        word = at >> 5
-        inside = self.bits[level][word] & ((np.uint32(1) << (at & 31).astype(np.uint32)) - np.uint32(1))
-        return self.ones[level][word] + np.bitwise_count(inside)
-
     def rank(self, values: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How many of the first ``at`` numbers are the value."""
         for level in range(self.levels):
-            ones = self._ones(level, at)
-            at = np.where(values >> (self.levels - 1 - level) & 1, self.zeros[level] + ones, at - ones).astype(np.int32)
+            row = self.rows[level][at >> 5]
+            ones = (row >> 32) + np.bitwise_count(row & BELOW[at & 31])
+            at = np.where(values >> (self.levels - 1 - level) & 1, self.zeros[level] + ones, at - ones)
         return at - self.runs[values]
 
+    def rank_there(self, values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``rank``, and whether the number at ``at`` is the value."""
+        same = np.ones(len(at), bool)
+        for level in range(self.levels):
+            row, offset = self.rows[level][at >> 5], at & 31
+            ones = (row >> 32) + np.bitwise_count(row & BELOW[offset])
+            bit = values >> (self.levels - 1 - level) & 1
+            same &= (row >> offset & 1) == bit
+            at = np.where(bit, self.zeros[level] + ones, at - ones)
+        return at - self.runs[values], same
+
 
 def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
     """The suffixes of ``codes`` ordered by their first ``depth`` codes, by prefix doubling over those still tied."""
@@ -111,11 +119,11 @@ class WordIndex:
         self.order = suffix_order(codes, depth).astype(np.int32)
         self.common = common_prefixes(codes, self.order, depth)
         self.tree = WaveletTree(codes[self.order - 1], sigma)
-        self.less = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=sigma))]).astype(np.int32)
+        self.less = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=sigma))])
         # the nearest slots before and behind with a shorter common prefix: where an interval's parent ends
         n = self.size
-        self.before, self.behind = np.zeros(n + 1, np.int32), np.full(n + 1, n, np.int32)
-        slots = np.arange(n + 1, dtype=np.int32)
+        self.before, self.behind = np.zeros(n + 1, np.int64), np.full(n + 1, n)
+        slots = np.arange(n + 1)
         for length in np.unique(self.common):
             own, less = self.common == length, self.common < length
             if length:
@@ -144,16 +152,22 @@ class WordIndex:
         begins = np.concatenate([[0], ends[:-1]])
         at, stop = ends - 1, begins
         live = at >= stop
-        at, stop = at[live].astype(np.int64), stop[live]
-        low, high = np.zeros(len(at), np.int32), np.full(len(at), self.size, np.int32)
-        size = np.zeros(len(at), np.int32)
+        at, stop = at[live], stop[live]
+        low, high = np.zeros(len(at), np.int64), np.full(len(at), self.size)
+        size = np.zeros(len(at), np.int64)
         while len(at):
             word = flat[at]
             known = word > 0
-            both = self.tree.rank(np.concatenate([word, word]) * np.concatenate([known, known]), np.concatenate([low, high]))
-            base = self.less[word * known]
-            new_low, new_high = base + both[: len(at)], base + both[len(at) :]
-            fits = known & (new_low < new_high)
+            word = word * known
+            # the only place of a match goes on by one rank, a range of places by one for either end
+            new_low, fits = self.tree.rank_there(word, np.minimum(low, self.size - 1))
+            wide = np.flatnonzero(high - low != 1)
+            new_high = new_low + 1
+            new_high[wide] = self.tree.rank(word[wide], high[wide])
+            fits[wide] = new_low[wide] < new_high[wide]
+            fits &= known
+            base = self.less[word]
+            new_low, new_high = base + new_low, base + new_high
             # a word that fits nowhere, or not even alone, ends the match
             none = ~fits & (size == 0) | ~known
             size = np.where(fits, size + 1, np.where(none, 0, size))
@@ -174,5 +188,5 @@ class WordIndex:
                 size[shrink] = length
             at = at - (fits | none)
             live = at >= stop
-            at, stop, low, high, size = at[live], stop[live], low_[live].astype(np.int32), high_[live].astype(np.int32), size[live]
+            at, stop, low, high, size = at[live], stop[live], low_[live], high_[live], size[live]
         return found

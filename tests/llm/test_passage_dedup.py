@@ -94,7 +94,7 @@ def test_segments_hold_every_window_once():
 
 @pytest.mark.parametrize("hot", [1, 3, P.HOT])
 def test_matches_brute_force(spark, hot, monkeypatch):
-    monkeypatch.setattr(P.repeated_spans, "__defaults__", (P.WINDOW, hot))
+    monkeypatch.setattr(P.repeated_places, "__defaults__", (P.WINDOW, hot))
     monkeypatch.setattr(P, "SHARD_WORDS", 500 * hot)
     texts = [*ODD_TEXTS, *planted(hot)]
     docs = docs_frame(spark, texts).withColumn("doc", F.lit("clash")).withColumn("anchor", F.lit(1)).withColumn("spans", F.lit(2)).repartition(3)
