@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talweg.functions.gridding import Grid, sample_cell
+from talweg.session import stored
 
 RINGS = "array<array<struct<lon:double,lat:double>>>"
 
@@ -85,23 +86,37 @@ def even_odd(lon: Column, lat: Column, rings: Column) -> Column:
 
 
 def polygon_cells(polygons: DataFrame, grid: Grid, keep: list[str]) -> DataFrame:
-    """(keep, row, col) of the cells whose centres lie in each polygon (``rings``): its box's cells, then the test."""
-    flat = F.flatten("rings")
-    low = lambda c: F.array_min(F.transform(flat, lambda p: p[c]))
-    high = lambda c: F.array_max(F.transform(flat, lambda p: p[c]))
-    clip = lambda x, top: F.greatest(F.least(F.floor(x).cast("int"), F.lit(top)), F.lit(0))
-    boxed = polygons.select(
-        *keep,
-        "rings",
-        clip((F.lit(grid.north) - high("lat")) / grid.res, grid.height - 1).alias("r0"),
-        clip((F.lit(grid.north) - low("lat")) / grid.res, grid.height - 1).alias("r1"),
-        clip((low("lon") - grid.west) / grid.res, grid.width - 1).alias("c0"),
-        clip((high("lon") - grid.west) / grid.res, grid.width - 1).alias("c1"),
-    )
-    rows = boxed.withColumn("row", F.explode(F.sequence("r0", "r1")))
-    cells = rows.withColumn("col", F.explode(F.sequence("c0", "c1")))
-    lon, lat = F.lit(grid.west) + (F.col("col") + 0.5) * grid.res, F.lit(grid.north) - (F.col("row") + 0.5) * grid.res
-    return cells.filter(even_odd(lon, lat, F.col("rings"))).select(*keep, "row", "col")
+    """(keep, row, col) of the cells whose centres lie in each polygon (``rings``), by rows of the grid.
+
+    Each edge becomes a row for every row of cells whose centres' latitude it crosses, with the longitude where. The
+    crossings of a polygon and row, in order, are where it is entered and left, which gives runs of cells. So the work
+    goes with the outline and the result, not with the polygon's box, and no task holds a polygon's rings for long.
+    """
+    numbered = stored(polygons.select(*keep, "rings", F.monotonically_increasing_id().alias("polygon")))
+    ring = numbered.select("polygon", F.explode("rings").alias("ring")).filter("size(ring) > 1")
+    pairs = F.arrays_zip(F.slice("ring", 1, F.size("ring") - 1).alias("a"), F.slice("ring", 2, F.size("ring") - 1).alias("b"))
+    edges = ring.select("polygon", F.explode(pairs).alias("e")).select("polygon", *[F.col(f"e.{p}.{c}").alias(f"{p}_{c}") for p in "ab" for c in ("lon", "lat")])
+    centre = lambda k: F.lit(grid.north) - (k + 0.5) * grid.res
+    row_of = lambda lat, more: F.least(F.greatest(F.floor((F.lit(grid.north) - lat) / grid.res - 0.5) + more, F.lit(0)), F.lit(grid.height - 1)).cast("int")
+    low, high = F.least("a_lat", "b_lat"), F.greatest("a_lat", "b_lat")
+    crossing = edges.filter(low < high).withColumn("row", F.explode(F.sequence(row_of(high, 0), F.greatest(row_of(low, 1), row_of(high, 0)))))
+    lat = centre(F.col("row"))
+    spans = (F.col("a_lat") > lat) != (F.col("b_lat") > lat)
+    at = F.col("a_lon") + (lat - F.col("a_lat")) / (F.col("b_lat") - F.col("a_lat")) * (F.col("b_lon") - F.col("a_lon"))
+    order = Window.partitionBy("polygon", "row").orderBy("x")  # the edges that one row of cells crosses
+    ordered = crossing.filter(spans).select("polygon", "row", at.alias("x")).withColumns({"nth": F.row_number().over(order), "until": F.lead("x").over(order)})
+    runs = ordered.filter("nth % 2 = 1 AND until IS NOT NULL")
+    middle = lambda k: F.lit(grid.west) + (k + 0.5) * grid.res
+
+    def first_from(x: Column) -> Column:
+        """The first column whose centre is at ``x`` or east of it."""
+        near = F.ceil((x - grid.west) / grid.res - 0.5)
+        return F.when(middle(near - 1) >= x, near - 1).when(middle(near) < x, near + 1).otherwise(near)
+
+    begin, end = F.greatest(first_from(F.col("x")), F.lit(0)), F.least(first_from(F.col("until")) - 1, F.lit(grid.width - 1))
+    wide = runs.select("polygon", "row", begin.cast("int").alias("c0"), end.cast("int").alias("c1")).filter("c0 <= c1")
+    cells = wide.select("polygon", "row", F.explode(F.sequence("c0", "c1")).alias("col"))
+    return cells.join(numbered.drop("rings"), "polygon").select(*keep, "row", "col")
 
 
 def burn(polygons: DataFrame, grid: Grid, code: str, order: str) -> DataFrame:

@@ -281,23 +281,23 @@ SELECT asset_id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM placed WHERE nt
 
 def q_labelled(spark, sf_dir):
     rows = V.samples(spark, sf_dir).select("id", "region", "y").withColumnRenamed("y", "failed")
-    out = U.labelled(rows.filter("failed"), rows.filter("NOT failed AND id % 3 = 0"), ["id", "region"])
+    out = U.labelled(rows.filter("failed"), rows.filter("NOT failed"), ["id", "region"])
     return out.groupBy("region", "y").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
 
 
-LABELLED_SQL = f"WITH {V.SAMPLES} SELECT region, y, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM samples WHERE y OR id % 3 = 0 GROUP BY region, y"
+LABELLED_SQL = f"WITH {V.SAMPLES} SELECT region, y, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM samples GROUP BY region, y"
 
 
 def q_near_presence(spark, sf_dir):
     rows = V.cells(spark, sf_dir).select("row", "col")
     grid = Grid(0.0, 0.0, 10.0, 1e4, 0.1)
-    towns = V.settlements(spark, sf_dir).filter("asset_id % 5 = 0")
+    towns = V.settlements(spark, sf_dir)
     presence = towns.select(((F.col("col") + 0.5) / 10).alias("lon"), (1e4 - (F.col("row") + 0.5) / 10).alias("lat"))
     return sampling.near_presence(rows, grid, presence)
 
 
 NEAR_PRESENCE_SQL = f"""WITH {CELLS}, {SETTLEMENTS} SELECT row, col FROM cells c WHERE EXISTS (
-  SELECT 1 FROM settlements s WHERE asset_id % 5 = 0 AND abs(s.row - c.row) <= 1 AND abs(s.col - c.col) <= 1)"""
+  SELECT 1 FROM settlements s WHERE abs(s.row - c.row) <= 1 AND abs(s.col - c.col) <= 1)"""
 
 LINK_M, LAT0 = 80.0, 28.0
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talweg.plans import assets, mechanics, summaries, terrain
+from talweg.plans import assets, mechanics, runs, summaries, terrain
 
-MODULES = (terrain, mechanics, assets, summaries)
+MODULES = (terrain, mechanics, assets, summaries, runs)
 ALL = {name: pair for module in MODULES for name, pair in module.QUERIES.items()}
 
 
