@@ -3,8 +3,9 @@
 A page's markup is read into lines, one for each paragraph, heading, list item and so on, wherever they are. Within
 each host the pages are ordered by URL path, and each is compared with up to two pages before it and two after it:
 the two pages' lines are aligned by a longest common subsequence, whatever the markup around them. A line that at
-least two of those pages share (or the only one there is) belongs to the site and is deleted. A page that differs in
-less than a tenth of its characters is a copy of this one, says nothing about the site, and is passed over.
+least two of those pages share (or the only one there is) and that four pages and at least half of the host's carry
+belongs to the site and is deleted; one that is rarer on the host is a quotation or a copy and stays. A page that differs in less
+than a tenth of its characters is a copy of this one, says nothing about the site, and is passed over.
 
 Differencing finds what pages of a site have in common. It cannot see menus, adverts and footers that differ from
 page to page, nor may it delete an article's own words because a neighbour quotes them. So what the page itself names
@@ -244,6 +245,7 @@ def site_lines(hashes: list[int], sizes: list[int], others: list[list[int]]) ->
 # --- Spark -----------------------------------------------------------------------------------------------------
 
 NEAR = 2  # pages on either side
+LEAST = 4  # pages that carry a line of the site
 
 
 def neighbours(keys: DataFrame) -> DataFrame:
@@ -315,7 +317,24 @@ def shared_lines(known: DataFrame) -> DataFrame:
             gone = [site_lines(*(batch.column(k)[i].as_py() for k in (1, 2, 3))) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], ["uid", "gone"])
 
-    return met.mapInArrow(compare, "uid long, gone array<int>").filter(F.size("gone") > 0)
+    aligned = stored(met.mapInArrow(compare, "uid long, gone array<int>").filter(F.size("gone") > 0))
+    return frequent_lines(narrow, aligned)
+
+
+def frequent_lines(narrow: DataFrame, aligned: DataFrame) -> DataFrame:
+    """``aligned`` (uid, gone) with only those lines that ``LEAST`` and half of the pages (uid, host, hashes) of their host carry.
+
+    Pages are counted for each host and line, but only for lines that alignment has found somewhere on the host.
+    """
+    own = narrow.select(F.col("uid").alias("n_uid"), "host", "hashes").join(aligned, F.col("n_uid") == F.col("uid"))
+    each = own.select("uid", F.xxhash64("host").alias("h"), F.explode("gone").alias("place"), "hashes").select("uid", "h", "place", F.get("hashes", F.col("place")).alias("line"))
+    each = stored(each)
+    asked = each.select(F.col("h").alias("a_h"), F.col("line").alias("a_line")).distinct()
+    carried = narrow.select(F.xxhash64("host").alias("h"), F.explode(F.array_distinct("hashes")).alias("line"))
+    counts = carried.join(asked, (F.col("h") == F.col("a_h")) & (F.col("line") == F.col("a_line")), "left_semi").groupBy(F.col("h").alias("c_h"), F.col("line").alias("c_line")).agg(F.count(F.lit(1)).alias("carriers"))
+    hosts = narrow.groupBy(F.xxhash64("host").alias("p_h")).agg(F.count(F.lit(1)).alias("pages"))
+    met = each.join(counts, (F.col("h") == F.col("c_h")) & (F.col("line") == F.col("c_line"))).join(hosts, F.col("h") == F.col("p_h"))
+    return met.filter((F.col("carriers") >= LEAST) & (2 * F.col("carriers") >= F.col("pages"))).groupBy("uid").agg(F.sort_array(F.collect_list("place")).alias("gone"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
