@@ -6,8 +6,9 @@ evolve a few packings: a crossover injects whole well-filled sequences of one pa
 then hold a piece twice are opened, displaced pieces are exchanged for smaller ones where that fills a sequence
 better, and the rest is put back best-fit, longest first. Between epochs each island's elite moves to the next island
 through a shuffle. The best packing of each shard is taken; the pieces of its loosely filled sequences meet those of
-other shards at the next level, until one shard is left or a level no longer halves the pieces, so that shards cost
-next to nothing in total. Nothing but counts comes to the driver. A shard whose packing has no more sequences than
+other shards at the next level, until one shard is left or a level no longer halves the pieces. If there are still
+more sequences than all tokens need, those with the most free tokens, however few, are packed anew across shards, as
+long as that dissolves some. Nothing but counts comes to the driver. A shard whose packing has no more sequences than
 its tokens need at least is not evolved, since nothing can be gained.
 
 Defined cases: a null or empty text is the end token alone; repeated rows and rows without an id are packed like
@@ -40,6 +41,8 @@ EXCHANGES = 40
 #: A sequence with this many free tokens or more is opened again at the next level.
 LOOSE = 32
 BIN_BITS = 20
+#: How often surplus sequences are dissolved at most, and how many of them a shard for that is to dissolve.
+TURNS, SURPLUS_A_SHARD = 3, 2
 
 
 def token_pieces(docs: DataFrame, keep: list[str], size: int = SEQUENCE, vocabulary_file: str | None = None, ranks_file: str | None = None) -> DataFrame:
@@ -262,33 +265,66 @@ def _evolved(ranked: DataFrame, capacity: int, shards: int) -> DataFrame:
     return best.select("shard", F.posexplode("places").alias("rank", "bin"))
 
 
+def _placed(ranked: DataFrame, capacity: int, shards: int, base: int) -> DataFrame:
+    """``ranked`` (shard, rank, length, ...) evolved: with sequence (negative, none twice), offset and how filled it is."""
+    met = ranked.join(_evolved(ranked, capacity, shards), ["shard", "rank"])
+    own = Window.partitionBy("shard", "bin")
+    ahead = own.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    sequence = -(1 + F.col("bin") + ((F.col("shard") + base) * (1 << BIN_BITS)))
+    return cut(met.withColumns({"offset": F.coalesce(F.sum("length").over(ahead), F.lit(0)), "filled": F.sum("length").over(own), "sequence": sequence}))
+
+
+def _ranked(dealt: DataFrame) -> DataFrame:
+    by_size = Window.partitionBy("shard").orderBy(F.desc("length"), "uid")
+    return cut(dealt.withColumn("rank", F.row_number().over(by_size) - 1))
+
+
+def dissolved(placed: DataFrame, capacity: int, shard_pieces: int, base: int) -> DataFrame:
+    """``placed`` (uid, length, sequence, offset, ...) in fewer sequences, if there are more than the tokens need.
+
+    The sequences with the most free tokens, of whatever shard, are packed anew, a shard for a few surplus ones. A
+    shard's new packing counts if it has fewer sequences. The next turn opens twice as many for each.
+    """
+    columns = placed.columns
+    for turn in range(TURNS):
+        filled = cut(placed.groupBy("sequence").agg(F.sum("length").alias("filled")))
+        total = filled.agg(F.count(F.lit(1)).alias("n"), F.sum("filled").alias("tokens")).first()
+        surplus = total.n - -(-(total.tokens or 0) // capacity)
+        if surplus <= 0:
+            break
+        shards = -(-surplus // SURPLUS_A_SHARD)
+        opened = filled.filter(F.col("filled") < capacity).orderBy("filled", "sequence").limit(shards * max(2, shard_pieces // 4 << turn))
+        opened = opened.select(F.col("sequence").alias("o_sequence"), F.pmod(F.xxhash64("sequence", F.lit(turn)), F.lit(shards)).alias("shard"))
+        ranked = _ranked(placed.join(opened, F.col("sequence") == F.col("o_sequence")).select(*[c for c in columns if c != "offset"], "shard").withColumnRenamed("sequence", "old"))
+        again = _placed(ranked, capacity, shards, base)
+        fewer = again.groupBy("shard").agg(F.count_distinct("sequence").alias("now"), F.count_distinct("old").alias("was")).filter("now < was").select("shard")
+        moved = cut(again.join(fewer, "shard", "left_semi").select(*columns))
+        if moved.isEmpty():
+            continue
+        uids = moved.select(F.col("uid").alias("m_uid"))
+        placed = cut(placed.join(uids, F.col("uid") == F.col("m_uid"), "left_anti").select(*columns).unionByName(moved))
+        base += shards
+    return placed
+
+
 def pack(pieces: DataFrame, capacity: int = SEQUENCE, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """``pieces`` (with ``length``, 1 to ``capacity``) and where each is put: sequence_id and offset."""
     names = {c: f"k{i}" for i, c in enumerate(pieces.columns)}
     given = pieces.select(*[F.col(c).alias(x) for c, x in names.items()], F.monotonically_increasing_id().alias("uid"))
     given = cut(given.withColumn("length", F.col(names["length"])))  # the numbers are written, so they do not change
-    put = [given.filter(F.col("length") == capacity).select("*", F.col("uid").alias("sequence"), F.lit(0).cast("long").alias("offset"))]
+    full = given.filter(F.col("length") == capacity).select("*", F.col("uid").alias("sequence"), F.lit(0).cast("long").alias("offset"))
     rest = given.filter(F.col("length") < capacity)
-    base = level = 0
-    before = None
+    put, base, level, before = None, 0, 0, None
     while count := rest.count():
         shards = -(-count // shard_pieces)
         last = shards == 1 or (before is not None and 2 * count > before)
-        dealt = rest.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(shards)))
-        by_size = Window.partitionBy("shard").orderBy(F.desc("length"), "uid")
-        ranked = cut(dealt.withColumn("rank", F.row_number().over(by_size) - 1))
-        placed = ranked.join(_evolved(ranked, capacity, shards), ["shard", "rank"])
-        own = Window.partitionBy("shard", "bin")
-        before = own.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-        placed = cut(placed.withColumns({"offset": F.coalesce(F.sum("length").over(before), F.lit(0)), "filled": F.sum("length").over(own)}))
+        placed = _placed(_ranked(rest.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(shards)))), capacity, shards, base)
         loose = F.lit(False) if last else F.col("filled") <= capacity - LOOSE
-        sequence = -(1 + F.col("bin") + ((F.col("shard") + base) * (1 << BIN_BITS)))
-        put.append(placed.filter(~loose).select(*given.columns, sequence.alias("sequence"), "offset"))
+        kept = placed.filter(~loose).select(*given.columns, "sequence", "offset")
+        put = kept if put is None else put.unionByName(kept)
         rest = placed.filter(loose).select(*given.columns)
         base, level, before = base + shards, level + 1, count
         if last:
             break
-    done = put[0]
-    for part in put[1:]:
-        done = done.unionByName(part)
+    done = full if put is None else full.unionByName(dissolved(put, capacity, shard_pieces, base))
     return done.select(*[F.col(x).alias(c) for c, x in names.items()], F.col("sequence").alias("sequence_id"), "offset")

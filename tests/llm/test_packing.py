@@ -65,6 +65,16 @@ def test_query_on_driver_table(spark):
     assert check_packing(rows, 2048) <= least + 1
 
 
+@pytest.mark.parametrize(("scale", "shard"), [("sf0.01", 256), ("sf0.01", P.SHARD_PIECES), ("sf0.1", P.SHARD_PIECES)])
+def test_as_few_sequences_as_the_tokens_need(spark, scale, shard):
+    docs = spark.read.parquet(f"/root/testdata/{scale}/documents.parquet")
+    lengths = P.token_pieces(docs, ["doc_id"]).select("doc_id", "piece", "length").repartition(8)
+    rows = P.pack(lengths, 2048, shard).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    short = [r.n for r in rows if r.sequence_id < 0]
+    assert max(r.n for r in rows) <= 2048
+    assert len(short) == -(-sum(short) // 2048)
+
+
 def test_odd_documents(spark):
     rows = [(i, t) for i, t in enumerate(ODD_TEXTS)] + [(None, "no id"), (None, "no id"), (3, "again")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("length", F.lit("clash")).withColumn("k0", F.lit(1))
