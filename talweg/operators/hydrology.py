@@ -20,7 +20,7 @@ from talweg.operators.stencil import NEIGHBOURS, with_neighbours
 from talweg.session import cut, stored
 
 STEP = 1e-6  # how much a filled cell lies over its outlet
-TILE = 256
+TILE = 512
 QUARTER = math.pi / 4
 # Fixed values. Facets: cardinal neighbour, diagonal neighbour, quarter turns of the cardinal, sign of the turn to the diagonal.
 FACETS = [("E", "NE", 0, 1), ("N", "NE", 1, -1), ("N", "NW", 1, 1), ("W", "NW", 2, -1), ("W", "SW", 2, 1), ("S", "SW", 3, -1), ("S", "SE", 3, 1), ("E", "SE", 4, -1)]

@@ -32,9 +32,14 @@ def line_features(rows: DataFrame, properties: list[str]) -> DataFrame:
 
 def write_features(features: DataFrame, path: str) -> None:
     """``features`` (feature, as text) as GeoJSON collections in the folder ``path``, one for each partition that has any."""
+    write_objects(features.select("feature"), path, '{"type": "FeatureCollection", "features": [')
+
+
+def write_objects(objects: DataFrame, path: str, head: str) -> None:
+    """Objects (one column of text) in an array behind ``head``, a file in the folder ``path`` for each partition that has any."""
 
     def collected(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = '{"type": "FeatureCollection", "features": ['
+        before = head
         for batch in batches:
             if batch.num_rows:
                 rows = batch.column(0).to_pylist()
@@ -43,7 +48,7 @@ def write_features(features: DataFrame, path: str) -> None:
         if before == ",":
             yield pa.RecordBatch.from_arrays([pa.array(["]}"])], ["value"])
 
-    features.select("feature").mapInArrow(collected, "value string").write.mode("overwrite").text(path)
+    objects.mapInArrow(collected, "value string").write.mode("overwrite").text(path)
 
 
 def records(scored: DataFrame, baseline: str = "current") -> DataFrame:
