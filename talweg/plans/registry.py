@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talweg.plans import assets, formats, mechanics, runs, summaries, terrain
+from talweg.plans import assets, formats, made, mechanics, runs, summaries, terrain
 
-MODULES = (terrain, mechanics, assets, summaries, runs, formats)
+MODULES = (terrain, mechanics, assets, summaries, runs, formats, made)
 ALL = {name: pair for module in MODULES for name, pair in module.QUERIES.items()}
 
 
