@@ -238,6 +238,66 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.conversation_repairs(_table(spark, sf_dir, "conversations"))
 
 
+_CRC_TABLE = """crc AS (
+  SELECT list_transform(range(0, 256), lambda c: list_reduce(list_prepend(c, range(0, 8)),
+    lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS tab)"""
+# The states START, SYSTEM, USER and ASSISTANT are 0 to 3; g0 to g3 are the costs still to pay.
+OP12_SQL = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+coded AS (
+  SELECT coalesce(CAST(conv_id AS VARCHAR), ' ') AS cid, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))) AS x FROM conversations),
+marked AS (
+  SELECT cid, turn, role, text, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(x) // 2), lambda k: CAST('0x' || substr(x, 2 * k + 1, 2) AS BIGINT))),
+         lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS fault FROM coded, crc),
+damaged AS (
+  SELECT cid, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(0, CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM marked),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         row_number() OVER (PARTITION BY cid, role, text ORDER BY turn NULLS FIRST, copy) AS nth, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM damaged),
+judged AS (
+  SELECT cid, i, turn, role, text, left(role, 1) AS t, bare = '' AS blank, bare <> '' AND nth > 1 AS again, bare <> '' AND nth = 1 AND right(bare, 1) NOT IN ('.', '!', '?') AS cut,
+         lag(left(role, 1)) OVER (PARTITION BY cid ORDER BY i) AS before FROM placed),
+counts AS (
+  SELECT cid, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again) AS duplicate,
+         count(*) FILTER (WHERE cut) AS truncated, count(*) FILTER (WHERE before IS NOT NULL AND before || t NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY cid),
+backward AS (
+  SELECT cid, n + 1 AS i, 0 AS g0, 10 AS g1, 5 AS g2, 0 AS g3 FROM counts
+  UNION ALL
+  SELECT cid, i, least(b0, 5 + b2, 10 + b3), least(b1, 5 + b2, 10 + b3), least(b2, 5 + b3), least(b3, 5 + b2) FROM (
+    SELECT j.cid, j.i,
+           CASE WHEN blank OR again THEN 2 + g0 ELSE least(2 + g0, 1 + e + g2, CASE t WHEN 's' THEN e + g1 WHEN 'u' THEN e + g2 ELSE 1 + e + g2 END) END AS b0,
+           CASE WHEN blank OR again THEN 2 + g1 ELSE least(2 + g1, 1 + e + g2, CASE t WHEN 'u' THEN e + g2 ELSE 1 + e + g2 END) END AS b1,
+           CASE WHEN blank OR again THEN 2 + g2 ELSE least(2 + g2, 1 + e + g3, CASE t WHEN 'a' THEN e + g3 ELSE 1 + e + g3 END) END AS b2,
+           CASE WHEN blank OR again THEN 2 + g3 ELSE least(2 + g3, 1 + e + g2, CASE t WHEN 'u' THEN e + g2 ELSE 1 + e + g2 END) END AS b3
+    FROM backward b JOIN (SELECT *, CASE WHEN cut THEN 5 ELSE 0 END AS e FROM judged) j ON j.cid = b.cid AND j.i = b.i - 1)),
+walk AS (
+  SELECT cid, n, CAST(1 AS BIGINT) AS i, 0 AS s, '' AS audit, CAST([] AS VARCHAR[]) AS body FROM counts
+  UNION ALL
+  SELECT cid, n, CASE WHEN edit = 'I' THEN i ELSE i + 1 END AS i,
+         CASE WHEN edit = 'D' THEN s WHEN edit = 'K' AND t = 's' THEN 1 WHEN s = 2 THEN 3 ELSE 2 END AS s, audit || edit AS audit,
+         CASE edit WHEN 'D' THEN body WHEN 'K' THEN list_append(body, role || ':' || text) ELSE list_append(body, CASE WHEN s = 2 THEN 'assistant:' ELSE 'user:' END || CASE edit WHEN 'R' THEN text ELSE '' END) END AS body
+  FROM (
+    SELECT w.*, j.role, j.text, j.t,
+           CASE WHEN w.i > n OR [h.g0, h.g1, h.g2, h.g3][s + 1] <> 2 + [k.g0, k.g1, k.g2, k.g3][s + 1] THEN
+             CASE WHEN w.i > n OR [h.g0, h.g1, h.g2, h.g3][s + 1] = 5 + [h.g2, h.g2, h.g3, h.g2][s + 1] THEN 'I'
+                  WHEN (t = 's' AND s = 0 OR t = CASE s WHEN 2 THEN 'a' ELSE 'u' END)
+                       AND [h.g0, h.g1, h.g2, h.g3][s + 1] = CASE WHEN cut THEN 5 ELSE 0 END + CASE WHEN t = 's' THEN k.g1 WHEN t = 'a' THEN k.g3 ELSE k.g2 END THEN 'K'
+                  ELSE 'R' END
+           ELSE 'D' END AS edit
+    FROM walk w JOIN backward h ON h.cid = w.cid AND h.i = w.i LEFT JOIN backward k ON k.cid = w.cid AND k.i = w.i + 1 LEFT JOIN judged j ON j.cid = w.cid AND j.i = w.i
+    WHERE w.i <= n OR s IN (1, 2))),
+last AS (SELECT cid, audit, array_to_string(body, chr(10)) AS body FROM walk WHERE i > n AND s IN (0, 3))
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(g0, 0) AS BIGINT) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts n ON n.cid = coalesce(CAST(c.conv_id AS VARCHAR), ' ')
+LEFT JOIN last l ON l.cid = n.cid LEFT JOIN backward b ON b.cid = n.cid AND b.i = 1
+"""
+
+
 def op13_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = passage_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -280,4 +340,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op2_decontamination": OP2_SQL, "op4_line_dedup": OP4_SQL, "op9_suffix_dedup": OP9_SQL, "op11_spelling_variants": OP11_SQL, "op13_passage_dedup": OP13_SQL}
+    return {"op1_warc": OP1_SQL, "op2_decontamination": OP2_SQL, "op4_line_dedup": OP4_SQL, "op9_suffix_dedup": OP9_SQL, "op11_spelling_variants": OP11_SQL, "op12_turn_repair": OP12_SQL, "op13_passage_dedup": OP13_SQL}
