@@ -3,9 +3,11 @@
 The templates' word shingles are winnowed (of every ``WINDOW`` neighbouring shingles the smallest hash is kept) into
 an inverted index from hash to the places in templates, which is broadcast; the number of its entries is checked. A
 document's shingles are winnowed alike, so a run of ``SHARED`` words that it has in common with a template always has
-a fingerprint in common with it. Fingerprints that meet near one diagonal make a candidate, and an alignment of the
+a fingerprint in common with it. Templates of fewer than ``SHORT`` words are also looked for by every two neighbouring
+words, since a changed word leaves them no longer run. Fingerprints that meet near one diagonal make a candidate, and an alignment of the
 whole template, in a band around the diagonal, gives the words matched and their span. A candidate is a match from
-``min_coverage`` of the template's words on. Matches of one template do not overlap; the best come first.
+``min_coverage`` of the template's words on. Matches do not overlap: of several licenses on the same words the one
+with most words is reported, so a licence is not taken for one that differs from it by a word.
 
 Defined cases: a null or empty text has no match; templates of fewer than ``SHARED`` words cannot be looked for and
 raise; equal templates are each reported; a document with several copies of a template has a match for each; rows
@@ -28,6 +30,7 @@ from talweg.llm.decontamination import CHUNK_BYTES, FOLD, MULTIPLIER, words_of
 
 SHINGLE, WINDOW = 3, 2
 SHARED = SHINGLE + WINDOW - 1
+SHORT = 20  # words; of shorter templates every two neighbouring words are in the index
 MAX_INDEX = 5_000_000
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -50,39 +53,57 @@ def winnow(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places, hashes[places]
 
 
-def align(template: list[int], words: list[int], diagonal: int, band: int) -> tuple[int, int, int]:
+MATCH, OTHER, NONE = 4, -1, -(1 << 40)  # scores in quarters
+
+
+def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
     """(words matched, first, end): the best alignment of ``template`` with a run of ``words``.
 
-    Cells keep the score (a match 1, a word put in, left out or changed -1/4), the matches and where the run began.
-    Word j of the text may meet word i of the template where j - i is within ``band`` of ``diagonal``.
+    A match scores 1, a word put in, left out or changed -1/4. Word j of the text may meet word i of the template where
+    j - i is within ``band`` of ``diagonal``. A row holds, for each place in the band, the score, the matches and where
+    the run began; words put in are a running maximum along the row.
     """
-    low, width = diagonal - band, 2 * band + 1
-    start = [(0.0, 0, low + b if 0 <= low + b <= len(words) else -1) for b in range(width)]
-    row = [cell if cell[2] >= 0 else None for cell in start]
-    for i, word in enumerate(template):
-        new: list[tuple[float, int, int] | None] = [None] * width
-        for b in range(width):
-            j = i + low + b  # the text's word that meets this one
-            best = None
-            if row[b] is not None and 0 <= j < len(words):
-                score, matched, began = row[b]
-                same = words[j] == word
-                best = (score + (1 if same else -0.25), matched + same, began)
-            if b + 1 < width and row[b + 1] is not None:  # the template's word left out
-                score, matched, began = row[b + 1]
-                if best is None or score - 0.25 > best[0]:
-                    best = (score - 0.25, matched, began)
-            if b and new[b - 1] is not None and 0 <= j < len(words):  # a word put in
-                score, matched, began = new[b - 1]
-                if best is None or score - 0.25 > best[0]:
-                    best = (score - 0.25, matched, began)
-            new[b] = best
-        row = new
-    ends = [(cell[0], -b, cell) for b, cell in enumerate(row) if cell is not None]
-    if not ends:
+    low, width, n = diagonal - band, 2 * band + 1, len(words)
+    places = np.arange(width)
+    began = low + places
+    inside = (began >= 0) & (began <= n)
+    score, matched = np.where(inside, 0, NONE), np.zeros(width, np.int64)
+    padded = np.full(n + 2 * width + len(template), -1, np.int64)  # word j stands at j + width
+    padded[width : width + n] = words
+    for i, word in enumerate(np.asarray(template).tolist()):
+        first = i + low  # the text's word at the row's first place
+        a, b = max(0, min(width, -first)), max(0, min(width, n - first))  # places with a word
+        same = np.zeros(width, bool)
+        same[a:b] = padded[first + a + width : first + b + width] == word
+        best = np.full(width, NONE)
+        best[a:b] = score[a:b] + np.where(same[a:b], MATCH, OTHER)
+        left = np.append(score[1:], NONE) + OTHER  # the template's word left out
+        omit = left > best
+        best = np.where(omit, left, best)
+        from_ = np.where(omit, np.minimum(places + 1, width - 1), places)
+        new_matched, new_began = matched[from_] + (same & ~omit), began[from_]
+        if b > a:
+            c = max(0, a - 1)
+            keys = best[c:b] - OTHER * places[c:b]
+            top = np.maximum.accumulate(keys)
+            source = c + np.maximum.accumulate(np.where(keys == top, places[: b - c], 0))
+            put_in = source != places[c:b]
+            best[c:b] = np.where(put_in, best[source] + OTHER * (places[c:b] - source), best[c:b])
+            new_matched[c:b], new_began[c:b] = new_matched[source], new_began[source]
+        score, matched, began = np.maximum(best, NONE), new_matched, new_began
+    k = int(score.argmax())
+    if score[k] <= NONE // 2:
         return 0, 0, 0
-    _, b, (_, matched, began) = max(ends)
-    return matched, began, len(template) + low - b
+    return int(matched[k]), int(began[k]), len(template) + low + k
+
+
+def pair_hashes(ids: np.ndarray) -> np.ndarray:
+    """The hash of each two neighbouring words; ``NEVER`` where one is in no template."""
+    if len(ids) < 2:
+        return np.zeros(0, np.uint64)
+    hashes = (ids[:-1] + np.uint64(1)) * MULTIPLIER + ids[1:]
+    hashes ^= hashes >> np.uint64(29)
+    return np.where((ids[:-1] > 0) & (ids[1:] > 0), hashes * MULTIPLIER, NEVER)
 
 
 class Index:
@@ -94,43 +115,50 @@ class Index:
             raise ValueError(f"templates of fewer than {SHARED} words: {short}")
         self.number = {w: i for i, w in enumerate(sorted({w for words in split.values() for w in words}), start=1)}
         self.names = list(split)
-        self.words = [[self.number[w] for w in split[name]] for name in self.names]
+        self.words = [np.array([self.number[w] for w in split[name]], np.int64) for name in self.names]
         entries: dict[int, list[tuple[int, int]]] = {}
+        pairs: dict[int, list[tuple[int, int]]] = {}
         for t, words in enumerate(self.words):
-            for place, h in zip(*(x.tolist() for x in winnow(np.array(words, np.uint64))), strict=True):
+            for place, h in zip(*(x.tolist() for x in winnow(words.astype(np.uint64))), strict=True):
                 entries.setdefault(h, []).append((t, place))
+            if len(words) < SHORT:
+                for place, h in enumerate(pair_hashes(words.astype(np.uint64)).tolist()):
+                    pairs.setdefault(h, []).append((t, place))
         if sum(map(len, entries.values())) > MAX_INDEX:
             raise ValueError(f"the index has more than {MAX_INDEX} entries; scan with the templates in several parts")
         self.entries = entries
         self.hashes = np.array(sorted(entries), np.uint64)
+        self.pairs = pairs
+        self.pair_hashes = np.array(sorted(pairs), np.uint64)
 
-    def candidates(self, places: np.ndarray, hashes: np.ndarray) -> dict[int, list[int]]:
-        """For each template the diagonals (text's place less template's) of one document's fingerprints."""
+    def candidates(self, places: np.ndarray, hashes: np.ndarray, pair_places: np.ndarray, pairs: np.ndarray) -> dict[int, list[int]]:
+        """For each template the diagonals (text's place less template's) of one document's fingerprints and pairs."""
         found: dict[int, set[int]] = {}
-        for place, h in zip(places.tolist(), hashes.tolist(), strict=True):
-            for t, at in self.entries[h]:
-                found.setdefault(t, set()).add(place - at)
+        for entries, own, marks in ((self.entries, places, hashes), (self.pairs, pair_places, pairs)):
+            for place, h in zip(own.tolist(), marks.tolist(), strict=True):
+                for t, at in entries[h]:
+                    found.setdefault(t, set()).add(place - at)
         return {t: sorted(d) for t, d in found.items()}
 
-    def matches(self, words: list[int], places: np.ndarray, hashes: np.ndarray, min_coverage: float) -> list[tuple[int, int, int, int]]:
-        """(template, words matched, first, end) of one document, by place."""
-        out = []
-        for t, diagonals in self.candidates(places, hashes).items():
+    def matches(self, words: np.ndarray, marks: tuple[np.ndarray, ...], min_coverage: float) -> list[tuple[int, int, int, int]]:
+        """(template, words matched, first, end) of one document, by place; where matches overlap, that of most words."""
+        own = []
+        for t, diagonals in self.candidates(*marks).items():
             template = self.words[t]
             band = max(3, len(template) // 8)
-            tried, own = None, []
+            tried = None
             for d in diagonals:
                 if tried is not None and d - tried <= band // 2:
                     continue  # the band around the last diagonal holds this one too
                 tried = d
                 matched, first, end = align(template, words, d, band)
                 if matched >= min_coverage * len(template):
-                    own.append((matched, first, end))
-            taken: list[tuple[int, int]] = []
-            for matched, first, end in sorted(own, key=lambda m: (-m[0], m[2] - m[1], m[1])):
-                if all(end <= a or first >= b for a, b in taken):
-                    taken.append((first, end))
-                    out.append((t, matched, first, end))
+                    own.append((t, matched, first, end))
+        out: list[tuple[int, int, int, int]] = []
+        for m in sorted(own, key=lambda m: (-m[1], len(self.words[m[0]]), m[3] - m[2], m[2], m[0])):
+            equal = lambda o: len(self.words[o[0]]) == len(self.words[m[0]]) and (self.words[o[0]] == self.words[m[0]]).all() and o[0] != m[0] and o[1:] == m[1:]  # noqa: E731, B023
+            if all(m[3] <= o[2] or m[2] >= o[3] or equal(o) for o in out):
+                out.append(m)
         return sorted(out, key=lambda m: (m[2], m[0]))
 
     def scan(self, documents: list[list[bytes]], min_coverage: float) -> list[list[tuple[int, int, int, int]]]:
@@ -140,15 +168,20 @@ class Index:
             flat += [get(w, 0) for w in words]
             flat += [0] * SHARED  # no window reaches over a document's end
             starts[k + 1] = len(flat)
-        places, hashes = winnow(np.array(flat, np.uint64))
+        ids = np.array(flat, np.uint64)
+        places, hashes = winnow(ids)
         known = np.isin(hashes, self.hashes)
         places, hashes = places[known], hashes[known]
-        bounds = np.searchsorted(places, starts)
+        pairs = pair_hashes(ids)
+        pair_places = np.flatnonzero(np.isin(pairs, self.pair_hashes))
+        pairs = pairs[pair_places]
+        bounds, pair_bounds = np.searchsorted(places, starts), np.searchsorted(pair_places, starts)
+        numbers = ids.astype(np.int64)
         out = []
         for k in range(len(documents)):
-            a, b = bounds[k], bounds[k + 1]
-            own = flat[starts[k] : starts[k + 1] - SHARED] if b > a else []
-            out.append(self.matches(own, places[a:b] - starts[k], hashes[a:b], min_coverage) if b > a else [])
+            (a, b), (c, d) = bounds[k : k + 2], pair_bounds[k : k + 2]
+            marks = (places[a:b] - starts[k], hashes[a:b], pair_places[c:d] - starts[k], pairs[c:d])
+            out.append(self.matches(numbers[starts[k] : starts[k + 1] - SHARED], marks, min_coverage) if b > a or d > c else [])
         return out
 
 
