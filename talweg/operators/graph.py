@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talweg.functions.scores import METRES_PER_DEGREE_LAT, METRES_PER_DEGREE_LON
 from talweg.operators.lines import hulls
-from talweg.session import cut
+from talweg.session import cut, stored
 
 LINK_M = 2500.0
 EDGES_A_TASK = 100_000
@@ -68,22 +68,52 @@ def pairs_within(points: DataFrame, limit_m: float, lat0: float, key: str = "ass
     return met.select("a", "b", dist.alias("dist")).filter(F.col("dist") <= limit_m)
 
 
+#: Into how many parts squares' sides are cut, step by step, before points are compared.
+PARTS = (8, 64)
+SLACK = 1e-9
+
+
 def link_edges(points: DataFrame, limit_m: float, lat0: float, key: str = "asset_id") -> DataFrame:
     """(a, b): edges that connect what all pairs within ``limit_m`` connect, a few for each point.
 
-    Points in one square of side limit / sqrt(2) are all within the limit, so they are chained; between two squares
-    that can touch, each point is joined to the other square's points only through distinct squares' chains: of the
-    pairs within the limit one for each point and neighbouring square stays.
+    Points in one square of side limit / sqrt(2) are all within the limit, so they are chained. Two squares need one
+    edge, if any two of their points are near enough. Their occupied parts, 64 a square at most, are compared first: two
+    parts that lie within the limit as a whole are an edge, and parts that lie beyond it are out. Only where that
+    leaves two squares undecided are their undecided parts cut into 64 again, and the points of what is then
+    undecided compared, so dense squares do not meet point by point.
     """
     side = limit_m / 2**0.5
-    keyed = _metres(points, lat0).select(F.col(key).alias("id"), "x", "y").withColumns({"bx": F.floor(F.col("x") / side), "by": F.floor(F.col("y") / side)})
+    at = lambda c, n, name: F.floor(F.col(c) / (side / n)).alias(name)
+    keyed = stored(_metres(points, lat0).select(F.col(key).alias("id"), "x", "y", at("x", 1, "bx"), at("y", 1, "by")))
     before = F.lag("id").over(Window.partitionBy("bx", "by").orderBy("id"))
     chained = keyed.select(before.alias("a"), F.col("id").alias("b")).filter("a IS NOT NULL")
-    around = F.explode(F.expr("filter(flatten(transform(sequence(-2, 2), i -> transform(sequence(-2, 2), j -> struct(i AS i, j AS j)))), o -> NOT (o.i = 0 AND o.j = 0))"))
-    spread = keyed.withColumn("o", around).select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("bx") + F.col("o.i")).alias("bx"), (F.col("by") + F.col("o.j")).alias("by"))
-    met = spread.join(keyed.withColumnRenamed("id", "b"), ["bx", "by"]).filter(F.hypot(F.col("ax") - F.col("x"), F.col("ay") - F.col("y")) <= limit_m)
-    bridges = met.groupBy("a", "bx", "by").agg(F.min("b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return chained.unionByName(bridges).distinct()
+
+    # squares that can touch, each two once
+    squares = keyed.select("bx", "by").distinct()
+    around = F.explode(F.expr("filter(flatten(transform(sequence(-2, 2), i -> transform(sequence(-2, 2), j -> struct(i AS i, j AS j)))), o -> o.i > 0 OR (o.i = 0 AND o.j > 0))"))
+    asked = squares.withColumn("o", around).select("bx", "by", (F.col("bx") + F.col("o.i")).alias("cx"), (F.col("by") + F.col("o.j")).alias("cy"))
+    pair = ["bx", "by", "cx", "cy"]
+    open_ = asked.join(squares.select(F.col("bx").alias("cx"), F.col("by").alias("cy")), ["cx", "cy"]).select(*pair)
+    edges, known = chained, []
+    for n in PARTS:
+        boxes = keyed.select("id", "bx", "by", at("x", n, "fx"), at("y", n, "fy"), *known).groupBy("bx", "by", "fx", "fy", *known).agg(F.min("id").alias("one"))
+        other = boxes.select(F.col("bx").alias("cx"), F.col("by").alias("cy"), F.col("fx").alias("gx"), F.col("fy").alias("gy"), F.col("one").alias("two"), *[F.col(c).alias(f"to_{c}") for c in known])
+        met = open_.join(boxes, ["bx", "by", *known]).join(other, ["cx", "cy", *[f"to_{c}" for c in known]])
+        apart = lambda more: F.hypot(*[F.greatest(F.abs(F.col(a) - F.col(b)) + more, F.lit(0)) * (side / n) for a, b in (("fx", "gx"), ("fy", "gy"))])  # noqa: E731, B023
+        met = stored(met.withColumn("most", apart(1)).filter(apart(-1) <= limit_m * (1 + SLACK)))
+        sure = met.filter(F.col("most") <= limit_m * (1 - SLACK)).groupBy(*pair).agg(F.min(F.struct("one", "two")).alias("e"))
+        sure = stored(sure)
+        edges = edges.unionByName(sure.select(F.least("e.one", "e.two").alias("a"), F.greatest("e.one", "e.two").alias("b")))
+        names = [f"x{n}", f"y{n}"]
+        left = met.join(sure.select(*pair), pair, "left_anti")
+        open_ = left.select(*pair, F.col("fx").alias(names[0]), F.col("fy").alias(names[1]), F.col("gx").alias(f"to_{names[0]}"), F.col("gy").alias(f"to_{names[1]}"))
+        keyed = keyed.withColumns({names[0]: F.floor(F.col("x") / (side / n)), names[1]: F.floor(F.col("y") / (side / n))})
+        known = names
+    to = keyed.select(F.col("bx").alias("cx"), F.col("by").alias("cy"), F.col("id").alias("to_id"), F.col("x").alias("to_x"), F.col("y").alias("to_y"), *[F.col(c).alias(f"to_{c}") for c in known])
+    near = open_.join(keyed.select("bx", "by", "id", "x", "y", *known), ["bx", "by", *known]).join(to, ["cx", "cy", *[f"to_{c}" for c in known]])
+    near = near.filter(F.hypot(F.col("x") - F.col("to_x"), F.col("y") - F.col("to_y")) <= limit_m)
+    last = near.groupBy(*pair).agg(F.min(F.struct("id", "to_id")).alias("e"))
+    return edges.unionByName(last.select(F.least("e.id", "e.to_id").alias("a"), F.greatest("e.id", "e.to_id").alias("b"))).distinct()
 
 
 def clusters(points: DataFrame, lat0: float, limit_m: float = LINK_M, key: str = "asset_id") -> DataFrame:

@@ -121,3 +121,35 @@ def test_a_long_outline(spark):
     table = spark.createDataFrame([(1, [[*ring, ring[0]]])], "id int, rings array<array<struct<lon:double,lat:double>>>")
     area = sampling.polygon_cells(table, grid, ["id"]).count() * 1e-6
     assert abs(area - math.pi * (0.8**2 + 0.1**2 / 2)) < 1e-3
+
+
+def test_links_of_dense_squares_stay_few(spark, monkeypatch):
+    from talweg.operators import graph
+
+    rng = np.random.default_rng(4)
+    n, limit = 4_000, 100.0
+    side = limit / 2**0.5
+    # two dense squares, a scattered rest, and pairs just within and beyond the limit
+    xy = np.concatenate([rng.uniform(0, side, (n, 2)), rng.uniform(0, side, (n, 2)) + [2 * side, 0], rng.uniform(1_000, 3_000, (300, 2)), [[5_000, 0], [5_000 + 99.99, 0], [6_000, 0], [6_000 + 100.01, 0]]])
+    lon, lat = xy[:, 0] / (graph.METRES_PER_DEGREE_LON * math.cos(math.radians(28))), xy[:, 1] / graph.METRES_PER_DEGREE_LAT
+    points = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(lon, lat, strict=True))], "asset_id int, lon double, lat double")
+    rows = []
+    monkeypatch.setattr(graph, "stored", lambda df, real=graph.stored: (rows.append((out := real(df)).count()), out)[1])
+    edges = graph.link_edges(points, limit, 28.0)
+    assert max(rows) < 10 * len(xy) and edges.count() < 2 * len(xy)
+    found = {r.asset_id: r.cluster_id for r in graph.clusters(points, 28.0, limit).collect()}
+    root = list(range(len(xy)))
+
+    def find(k):
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    order = np.argsort(xy[:, 0])
+    for i, k in enumerate(order):
+        later = order[i + 1 : i + 1 + np.searchsorted(xy[order[i + 1 :], 0], xy[k, 0] + limit, "right")]
+        for m in later[np.hypot(*(xy[later] - xy[k]).T) <= limit].tolist():
+            a, b = sorted((find(int(k)), find(m)))
+            root[b] = a
+    assert found == {k: find(k) for k in range(len(xy))}
