@@ -113,12 +113,12 @@ round(delivering_m2, 6) AS delivering_m2, round(source_relief_m, 6) AS source_re
 
 def q_worst_sector(spark, sf_dir):
     out = reach.worst_sector(_edges(spark, sf_dir), V.scenario_probability(V.cells(spark, sf_dir)))
-    return out.select("asset_id", "scenario", r6("sector_reaching", "sector_reaching"))
+    return out.select("asset_id", "scenario", "sector", r6("sector_reaching", "sector_reaching"))
 
 
 SECTOR_SQL = f"""WITH {REACHED}, {SCENARIO_ROWS}, {SCENARIO_P}, parts AS (
   SELECT asset_id, scenario, CAST(round_even(az / 45, 0) AS INT) % 8 AS k, sum(w * p) / sum(w) AS v FROM edges JOIN sp USING (row, col) GROUP BY ALL)
-SELECT asset_id, scenario, round(max(v), 6) AS sector_reaching FROM parts GROUP BY asset_id, scenario HAVING max(v) > 0"""
+SELECT asset_id, scenario, ['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'][arg_max(k, (v, -k)) + 1] AS sector, round(max(v), 6) AS sector_reaching FROM parts GROUP BY asset_id, scenario HAVING max(v) > 0"""
 
 
 def _scored(spark, sf_dir):
@@ -334,9 +334,14 @@ SELECT id AS asset_id, root AS cluster_id FROM comp"""
 
 
 def q_cluster_sizes(spark, sf_dir):
-    """The largest clusters; the hull is not compared."""
+    """The largest clusters; their hulls are held against brute force by a test."""
     out = graph.largest_clusters(graph.clusters(_placed(spark, sf_dir), LAT0, LINK_M))
-    return out.select("cluster_id", "size", "name", F.size("hull").alias("n_corners"))
+    return out.select("cluster_id", "size", "name", r6("lon", "lon"), r6("lat", "lat"))
+
+
+SIZES_SQL = f"""{CLUSTERS_SQL.rpartition('SELECT id AS asset_id')[0].rstrip()},
+sized AS (SELECT root AS cluster_id, count(*) AS size, arg_min(name, asset_id) FILTER (WHERE name IS NOT NULL) AS name, avg(lon) AS lon, avg(lat) AS lat FROM comp JOIN xy ON asset_id = id GROUP BY root)
+SELECT cluster_id, size, name, round(lon, 6) AS lon, round(lat, 6) AS lat FROM sized WHERE size >= 2 ORDER BY size DESC, cluster_id LIMIT 5"""
 
 
 BOX = (80.5, 26.0, 88.0, 29.0)
@@ -533,7 +538,7 @@ QUERIES = {
     "q_near_presence": (q_near_presence, NEAR_PRESENCE_SQL),
     "q_pairs_within": (q_pairs_within, PAIRS_SQL),
     "q_clusters": (q_clusters, CLUSTERS_SQL),
-    "q_cluster_sizes": (q_cluster_sizes, None),
+    "q_cluster_sizes": (q_cluster_sizes, SIZES_SQL),
     "q_unit_selection": (q_unit_selection, SELECTION_SQL),
     "q_cost_plan": (q_cost_plan, COST_SQL),
     "q_unit_statistics": (q_unit_statistics, UNIT_STATISTICS_SQL),

@@ -139,8 +139,24 @@ RAISED_SQL = f"WITH RECURSIVE {CELLS}, {FILLED} SELECT f.row, count(*) FILTER (W
 
 
 def q_catchment_area(spark, sf_dir):
-    """The whole chain; SQL has no ordered traversal, tests hold it against one."""
-    return hydrology.specific_catchment_area(cells(spark, sf_dir), DX, DY).select("row", "col", r6("slope", "slope"), r6("sca", "sca"))
+    """The whole chain from heights to the area that drains through each cell."""
+    return hydrology.specific_catchment_area(cells(spark, sf_dir), DX, DY).select("row", "col", F.round("slope", 4).alias("slope"), F.round("sca", 1).alias("sca"))
+
+
+# The same CTEs over the filled heights; then all cells' sums are made again until none of them moves.
+CATCHMENT_SQL = f"""WITH RECURSIVE {CELLS}, {FILLED}, raised AS MATERIALIZED (SELECT row, col, v AS z FROM f),
+{DIRECTED.replace('cells', 'raised')}, {EDGES.replace('cells', 'raised').replace('edges AS (', 'edges AS MATERIALIZED (')},
+acc(row, col, p) USING KEY (row, col) AS (
+  SELECT row, col, 1e0 FROM raised
+  UNION
+  SELECT x.row, x.col, x.p FROM (
+    SELECT e.to_row AS row, e.to_col AS col, 1 + sum(e.share * u.p) AS p, any_value(cur.p) AS old
+    FROM edges e JOIN recurring.acc u ON u.row = e.row AND u.col = e.col JOIN recurring.acc cur ON cur.row = e.to_row AND cur.col = e.to_col
+    WHERE e.down GROUP BY e.to_row, e.to_col) x
+  WHERE abs(x.p - x.old) > 1e-13 * x.p),
+up AS (SELECT e.to_row AS row, e.to_col AS col, sum(e.share * a.p) AS more FROM edges e JOIN acc a ON a.row = e.row AND a.col = e.col WHERE NOT e.down GROUP BY ALL)
+SELECT d.row, d.col, round(d.slope, 4) AS slope, round((a.p + coalesce(up.more, 0)) * {DX * DY!r} / {0.5 * (DX + DY)!r}, 1) AS sca
+FROM directed d JOIN acc a ON a.row = d.row AND a.col = d.col LEFT JOIN up ON up.row = d.row AND up.col = d.col"""
 
 
 def q_raster_statistics(spark, sf_dir):
@@ -244,7 +260,7 @@ QUERIES = {
     "q_mass_balance": (q_mass_balance, MASS_SQL),
     "q_fill": (q_fill, FILL_SQL),
     "q_raised_cells": (q_raised_cells, RAISED_SQL),
-    "q_catchment_area": (q_catchment_area, None),
+    "q_catchment_area": (q_catchment_area, CATCHMENT_SQL),
     "q_raster_statistics": (q_raster_statistics, RASTER_SQL),
     "q_area_above": (q_area_above, AREA_SQL),
     "q_scenario_change": (q_scenario_change, CHANGE_SQL),
