@@ -1,13 +1,13 @@
-"""Whole runs as single calls: units with buffers, trigger scenarios, climates, and validation on held-out presences."""
+"""Whole runs as single calls: units with buffers, trigger scenarios, climates, validation on held-out presences, and exposure."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talweg.functions import triggers
-from talweg.functions.gridding import Grid, sample_cell
-from talweg.operators import hydrology, ranking, sampling, stability, units, validation
+from talweg.functions import scores, triggers
+from talweg.functions.gridding import Grid, asset_cell, sample_cell
+from talweg.operators import hydrology, lines, ranking, reach, sampling, stability, units, validation
 from talweg.operators.stability import Soil
 from talweg.session import stored
 
@@ -182,3 +182,42 @@ def validation_run(cells: DataFrame, grid: Grid, presence: DataFrame, value: str
     ratios = shares.withColumn("ratio", F.try_divide("presence_percent", "area_percent"))
     judged = validation.verdict(ratios, aucs, "bin")
     return judged.crossJoin(aucs.select("n_pos", "n_neg")).select(F.lit(share.share).alias("coverage"), F.col("n_pos").alias("n_presence"), F.col("n_neg").alias("n_background"), "auc", "monotone", "top_presence_percent", "top_area_percent", "efficiency", "verdict")
+
+
+# --- exposure ----------------------------------------------------------------------------------------------------
+
+
+def exposure_run(
+    settlements: DataFrame, roads: DataFrame, cells: DataFrame, probability: DataFrame, grid: Grid, radius_m: float = reach.MAX_RUN_M, piece_m: float = lines.PIECE_M, baseline: str = "current"
+) -> tuple[DataFrame, DataFrame]:
+    """Scores of settlements and stretches of road under every scenario, and their summary, in one call.
+
+    ``settlements`` (asset_id, lon, lat, place, population), ``roads`` (asset_id, coords), ``cells`` (row, col, z) and
+    ``probability`` (row, col, scenario, p). A settlement is its disc of cells, a road is cut into pieces first; all
+    their cells are searched for what can reach them in one job. The first table is (kind, asset, scenario, score,
+    on_site, reaching, band, people, km), the second per kind and scenario the number, those exposed, their people or
+    kilometres, the mean score and the changes from the baseline. Assets outside the grid are left out.
+    """
+    dx, dy = grid.metres()
+    row, col = asset_cell(F.col("lon"), F.col("lat"), grid)
+    placed = settlements.withColumns({"row": row, "col": col}).filter("row IS NOT NULL AND col IS NOT NULL")
+    named = placed.select(F.concat(F.lit("settlement-"), F.col("asset_id").cast("string")).alias("asset_id"), "place", "row", "col", F.col("population").cast("long").alias("people"))
+    cut = lines.pieces(roads, ["asset_id"], piece_m)
+    stretches = stored(cut.select(F.concat_ws("-", F.lit("road"), F.col("asset_id").cast("string"), F.col("piece").cast("string")).alias("asset_id"), "coords", (lines.length_m(F.col("coords")) / 1000).alias("km")))
+    discs = reach.footprint(named, dx, dy, grid.height, grid.width)
+    targets = stored(discs.unionByName(lines.line_cells(stretches, grid)))
+    edges = reach.reach_edges(targets, cells, dx, dy, radius_m)
+    vertices = stored(reach.vertex_scores(targets, edges, probability, dx * dy))
+    columns = ["asset_id", "scenario", "score", "on_site", "reaching"]
+    is_road = F.col("asset_id").startswith("road-")
+    points = reach.footprint_scores(vertices.filter(~is_road)).select(*columns).join(named.select("asset_id", "people"), "asset_id")
+    ways = reach.segment_scores(vertices.filter(is_road)).select(*columns).join(stretches.select("asset_id", "km"), "asset_id")
+    both = points.withColumn("km", F.lit(None).cast("double")).unionByName(ways.withColumn("people", F.lit(None).cast("long")))
+    kind = F.when(is_road, "roads").otherwise("settlements")
+    assets = stored(both.select(kind.alias("kind"), F.col("asset_id").alias("asset"), *columns[1:], scores.band(F.col("score")).alias("band"), "people", "km"))
+    exposed = F.col("score") >= scores.EXPOSED
+    zero = lambda c, test=F.lit(True): F.sum(F.when(test, F.coalesce(F.col(c), F.lit(0))).otherwise(0))  # noqa: E731, B008
+    totals = assets.groupBy("kind", "scenario").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(exposed).alias("n_exposed"), F.avg("score").alias("mean_score"), zero("people").alias("people"), zero("people", exposed).alias("people_exposed"), zero("km").alias("km"), zero("km", exposed).alias("km_exposed")
+    )
+    return assets, reach.totals_change(totals, ["n_exposed", "people_exposed", "km_exposed"], baseline, ["kind"])

@@ -153,3 +153,33 @@ def test_links_of_dense_squares_stay_few(spark, monkeypatch):
             a, b = sorted((find(int(k)), find(m)))
             root[b] = a
     assert found == {k: find(k) for k in range(len(xy))}
+
+
+def test_exposure_in_one_call(spark):
+    from talweg.functions import scores
+    from talweg.functions.gridding import asset_cell
+    from talweg.operators import lines, reach
+
+    _, cells = terrain(spark, GRID)
+    fine = Grid(84.0, 27.0, 84.06, 27.05, 0.002)  # some 200 m a cell
+    _, cells = terrain(spark, fine)
+    p = cells.select("row", "col", F.explode(F.array(F.struct(F.lit("current").alias("s"), (F.col("col") / 40).alias("p")), F.struct(F.lit("wet").alias("s"), F.least(F.col("col") / 20, F.lit(1.0)).alias("p")))).alias("x")).select("row", "col", "x.s", "x.p").withColumnRenamed("s", "scenario")
+    towns = spark.createDataFrame([(1, 84.011, 27.021, "town", 5000), (2, 84.041, 27.031, "hamlet", None), (3, 90.0, 27.0, "city", 10)], "asset_id int, lon double, lat double, place string, population int")
+    way = [(84.001 + 0.002 * k, 27.011) for k in range(25)]
+    roads = spark.createDataFrame([(1, way), (2, way[:1])], "asset_id int, coords array<struct<lon:double,lat:double>>")
+    assets, summary = runs.exposure_run(towns, roads, cells, p, fine, 700.0, 1_500.0)
+    got = {(r.asset, r.scenario): r for r in assets.collect()}
+    dx, dy = fine.metres()
+    row, col = asset_cell(F.col("lon"), F.col("lat"), fine)
+    disc = reach.footprint(towns.filter("asset_id = 1").withColumns({"row": row, "col": col}), dx, dy, fine.height, fine.width)
+    one = {r.scenario: r for r in reach.footprint_scores(reach.vertex_scores(disc, reach.reach_edges(disc, cells, dx, dy, 700.0), p, dx * dy)).collect()}
+    for s in ("current", "wet"):
+        own = got["settlement-1", s]
+        assert (own.score, own.on_site, own.reaching, own.people) == (one[s].score, one[s].on_site, one[s].reaching, 5000)
+    pieces = lines.pieces(roads, ["asset_id"], 1_500.0).collect()
+    assert {k[0] for k in got} == {"settlement-1", "settlement-2", *(f"road-1-{r.piece}" for r in pieces if r.asset_id == 1)} and len(pieces) > 1
+    total = {(r.kind, r.scenario): r for r in summary.collect()}
+    assert total["settlements", "wet"].n == 2 and total["settlements", "current"].n_exposed_change == 0
+    km = sum(got[f"road-1-{r.piece}", "wet"].km for r in pieces)
+    assert math.isclose(total["roads", "wet"].km, km) and total["roads", "wet"].km_exposed_change == total["roads", "wet"].km_exposed - total["roads", "current"].km_exposed >= 0
+    assert total["roads", "wet"].n_exposed == sum(r.score >= scores.EXPOSED for k, r in got.items() if k[1] == "wet" and r.kind == "roads")
