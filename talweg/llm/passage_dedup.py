@@ -41,7 +41,7 @@ GRAM = 4
 HOT = 2_000
 LONG = 32
 CHUNK_BYTES = 256 << 10
-SHARD_WORDS = 1 << 17
+SHARD_WORDS = 1 << 18
 ORDER_BITS = np.uint64(28)
 
 ODD1, ODD2, ODD3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
