@@ -247,12 +247,11 @@ def _epoch(state: DataFrame, capacity: int, epoch: int, generations: int) -> Dat
     return state.mapInArrow(run, STATE)
 
 
-def _evolved(ranked: DataFrame, capacity: int, shards: int) -> DataFrame:
+def _evolved(ranked: DataFrame, capacity: int, shards: int, generations: int) -> DataFrame:
     """(shard, rank, bin) of the best packing of every shard of ``ranked`` (shard, rank, length).
 
     An island is small and takes long, so they are dealt into a number of tasks that is not left to their bytes.
     """
-    generations = GENERATIONS * (LAST_LEVEL if shards == 1 else 1)
     tasks = max(1, min(shards * ISLANDS, 10 * ranked.sparkSession.sparkContext.defaultParallelism))
     shards = ranked.groupBy("shard").agg(F.sort_array(F.collect_list(F.col("length").cast("int")), asc=False).alias("sizes"))
     islands = shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "sizes", F.array().cast("array<array<int>>").alias("population"))
@@ -265,9 +264,9 @@ def _evolved(ranked: DataFrame, capacity: int, shards: int) -> DataFrame:
     return best.select("shard", F.posexplode("places").alias("rank", "bin"))
 
 
-def _placed(ranked: DataFrame, capacity: int, shards: int, base: int) -> DataFrame:
+def _placed(ranked: DataFrame, capacity: int, shards: int, base: int, generations: int = GENERATIONS) -> DataFrame:
     """``ranked`` (shard, rank, length, ...) evolved: with sequence (negative, none twice), offset and how filled it is."""
-    met = ranked.join(_evolved(ranked, capacity, shards), ["shard", "rank"])
+    met = ranked.join(_evolved(ranked, capacity, shards, generations), ["shard", "rank"])
     own = Window.partitionBy("shard", "bin")
     ahead = own.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     sequence = -(1 + F.col("bin") + ((F.col("shard") + base) * (1 << BIN_BITS)))
@@ -293,7 +292,7 @@ def dissolved(placed: DataFrame, capacity: int, shard_pieces: int, base: int) ->
         if surplus <= 0:
             break
         shards = -(-surplus // SURPLUS_A_SHARD)
-        opened = filled.filter(F.col("filled") < capacity).orderBy("filled", "sequence").limit(shards * max(2, shard_pieces // 4 << turn))
+        opened = filled.filter(F.col("filled") < capacity).orderBy("filled", "sequence").limit(shards * max(2, shard_pieces // 8 << turn))
         opened = opened.select(F.col("sequence").alias("o_sequence"), F.pmod(F.xxhash64("sequence", F.lit(turn)), F.lit(shards)).alias("shard"))
         ranked = _ranked(placed.join(opened, F.col("sequence") == F.col("o_sequence")).select(*[c for c in columns if c != "offset"], "shard").withColumnRenamed("sequence", "old"))
         again = _placed(ranked, capacity, shards, base)
@@ -318,7 +317,7 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE, shard_pieces: int = SHARD_
     while count := rest.count():
         shards = -(-count // shard_pieces)
         last = shards == 1 or (before is not None and 2 * count > before)
-        placed = _placed(_ranked(rest.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(shards)))), capacity, shards, base)
+        placed = _placed(_ranked(rest.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(shards)))), capacity, shards, base, GENERATIONS * (LAST_LEVEL if shards == 1 else 1))
         loose = F.lit(False) if last else F.col("filled") <= capacity - LOOSE
         kept = placed.filter(~loose).select(*given.columns, "sequence", "offset")
         put = kept if put is None else put.unionByName(kept)

@@ -167,13 +167,10 @@ def trie_moves(parts: DataFrame) -> DataFrame:
         for _, rows in _ranges(batches):
             words, counts = [r[0] for r in rows if r[0] is not None], [r[1] for r in rows if r[0] is not None]
             border: tuple[dict, dict] = ({}, {})
-            if words and common_length(words[0], words[-1]):
-                shared = common_length(words[0], words[-1])
-            else:
-                shared = 0
             for b in rows[0][2] or []:
                 border[b["of_last"]][b["depth"]] = b["letter"]
-            border[1].update({d: x for d, x in border[0].items() if d <= shared})
+            shared = common_length(words[0], words[-1]) if words else 0
+            border[1].update({d: x for d, x in border[0].items() if d <= shared})  # nodes on both words are listed once
             out: list[tuple] = []
             for first, stop, depth, heavy in light_edges(words, border):
                 for k in range(first, stop):

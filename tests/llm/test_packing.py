@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
-from corpus_cases import DOCS, ODD_TEXTS, docs_frame
+from corpus_cases import DOCS, ODD_TEXTS
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
