@@ -162,12 +162,13 @@ def validation_run(cells: DataFrame, grid: Grid, presence: DataFrame, value: str
     known = stored(cells.filter(F.col(value).isNotNull()).select("row", "col", F.col(value).alias("score")))
     row, col = sample_cell(F.col("lon"), F.col("lat"), grid)
     placed = presence.select(row.alias("row"), col.alias("col")).filter("row IS NOT NULL")
-    hits = stored(placed.join(known, ["row", "col"]))
+    # a table of few values is small on disk and of many rows in memory: by its size it would be sent to the driver
+    hits = stored(placed.join(known.hint("merge"), ["row", "col"]))
     n = hits.count()
     if not n:
         raise ValueError("no presence lies on a cell with data")
     area = known if survey is None else sampling.inside(known, survey, ["row", "col"])
-    drawn = area.orderBy(F.xxhash64("row", "col", F.lit(seed)), "row", "col").limit(max(4 * n, LEAST_BACKGROUND))
+    drawn = sampling.least_hashes(area, max(4 * n, LEAST_BACKGROUND), seed)
     labelled = hits.select("score", F.lit(True).alias("y")).unionByName(drawn.select("score", F.lit(False).alias("y")))
     aucs = stored(ranking.auc(labelled, []))
     if classes is None:

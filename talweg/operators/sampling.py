@@ -143,13 +143,45 @@ def polygon_points(vertices: DataFrame, key: str, value: str = "z") -> DataFrame
     )
 
 
+#: Rows of one range of hashes that a task may put in order.
+FEW = 100_000
+#: Bits that a step narrows the hash by.
+STEP_BITS = 16
+
+
+def least_hashes(cells: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """The ``n`` rows (all, if there are fewer) of least hash of (row, col), equal hashes by row and col.
+
+    Hashes are counted by their first bits, which names the range that the n-th lies in, and then by the next ones,
+    until that range is small. So only a few rows are ever put in order, whatever ``n`` is.
+    """
+    size = cells.count()
+    if size <= n:
+        return cells
+    known = stored(cells.withColumn("hash", F.xxhash64("row", "col", F.lit(seed))))
+    inside, below, left = known, None, n  # ``left`` rows are wanted of those ``inside``, and all ``below``
+    for bits in range(64 - STEP_BITS, -1, -STEP_BITS):
+        if size <= FEW:
+            break
+        range_ = F.shiftright("hash", bits)
+        counts = inside.groupBy(range_.alias("at")).agg(F.count(F.lit(1)).alias("n"))  # at most 2 ** STEP_BITS rows
+        ahead = counts.withColumn("ahead", F.sum("n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+        found = ahead.filter((F.col("ahead") < left) & (F.col("ahead") + F.col("n") >= left)).first()
+        if found is None:  # none is wanted
+            return known.limit(0).drop("hash")
+        left, size = left - found["ahead"], found["n"]
+        inside, below = known.filter(range_ == found["at"]), known.filter(range_ < found["at"])
+    last = inside.orderBy("hash", "row", "col").limit(left)
+    return (last if below is None else below.unionByName(last)).drop("hash")
+
+
 def background_points(cells: DataFrame, grid: Grid, n: int, seed: int = 0) -> DataFrame:
     """(lon, lat) of ``n`` cells (all, if there are fewer) drawn evenly from ``cells`` (row, col), each at a random place inside.
 
-    The cells of the least hashes are taken, so the draw does not depend on partitions and no task holds over ``n``.
+    The cells of the least hashes are taken, so the draw does not depend on partitions.
     """
     chance = lambda salt: F.pmod(F.xxhash64("row", "col", F.lit(seed), F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
-    taken = cells.select("row", "col").orderBy(F.xxhash64("row", "col", F.lit(seed)), "row", "col").limit(n)
+    taken = least_hashes(cells.select("row", "col"), n, seed)
     return taken.select((F.lit(grid.west) + (F.col("col") + chance("x")) * grid.res).alias("lon"), (F.lit(grid.north) - (F.col("row") + chance("y")) * grid.res).alias("lat"))
 
 

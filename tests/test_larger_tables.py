@@ -5,7 +5,8 @@ import math
 from pyspark.sql import functions as F
 
 from talweg.functions import scores as S
-from talweg.operators import reach
+from talweg.functions.gridding import Grid
+from talweg.operators import reach, runs, sampling
 
 
 def plan(df):
@@ -26,3 +27,29 @@ def test_discs_are_made_once(spark):
         around = [(dr, dc) for dr in range(-20, 21) for dc in range(-20, 21) if 0 < math.hypot(dr * 90.0, dc * 60.0) <= radius]
         want += [(key, k, row + dr, col + dc) for k, (dr, dc) in enumerate([(0, 0), *around]) if 0 <= row + dr < 10 and 0 <= col + dc < 10]
     assert found == sorted(want)
+
+
+def test_least_hashes_are_the_first_in_order(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "FEW", 3)
+    cells = Grid(0.0, 0.0, 4.0, 3.0, 0.1).cells(spark)
+    cells = cells.unionByName(cells.filter("row < 2"))  # equal hashes
+    hashed = [tuple(r) for r in cells.select(F.xxhash64("row", "col", F.lit(5)), "row", "col").collect()]
+    for n in (0, 1, 7, 400, len(hashed), 9_999):
+        got = sampling.least_hashes(cells, n, 5)
+        assert sorted((r.row, r.col) for r in got.collect()) == sorted(t[1:] for t in sorted(hashed)[:n])
+
+
+def test_validation_sends_no_map_to_the_driver(spark, monkeypatch):
+    grid = Grid(0.0, 0.0, 10.0, 10.0, 0.1)
+    cells = grid.cells(spark, probability=(F.col("row") % 4) / 4)
+    presence = cells.filter("row % 4 = 3").select(((F.col("col") + 0.5) / 10).alias("lon"), (10 - (F.col("row") + 0.5) / 10).alias("lat"))
+    plans, before = [], runs.stored
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return before(df)
+
+    monkeypatch.setattr(runs, "stored", seen)
+    out = runs.validation_run(cells, grid, presence).first()
+    assert (out.n_presence, out.n_background, out.auc) == (2_500, 10_000, 0.875)
+    assert "SortMergeJoin" in plans[1] and not any("TakeOrdered" in p for p in plans)
