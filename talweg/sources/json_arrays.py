@@ -4,7 +4,7 @@ A file is cut into ranges of bytes anywhere. What a range holds depends on wheth
 deep, so each range is first summed up for every way that it may begin (outside a string, inside one, behind a
 backslash in one): how it ends and by how much it is deeper then. Chained over a file's ranges these give how each
 begins, and then each range is read again and cuts out the objects that begin in it, reading on behind its end for the
-last of them. No task holds more than a range and an object.
+last of them. A range is looked at in blocks, so no task holds more than a block, an object and a batch of them.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from talweg.sources import files
 
 RANGE_BYTES = 16 << 20
+BLOCK_BYTES, BEHIND_BYTES = 1 << 19, 1 << 16  # of a range, and behind its end, that are looked at at once
 OUTSIDE, INSIDE, ESCAPED = range(3)
 QUOTE, BACKSLASH = ord('"'), ord("\\")
 DEEPER = np.zeros(256, np.int8)
@@ -56,31 +57,42 @@ def _is_value(read, body: bytes, start: int, at: int) -> bool:
     return before.endswith(b":")
 
 
+def summed_up(read, start: int, stop: int) -> tuple[list[int], list[int]]:
+    """For each way that bytes [start, stop) may begin, the state behind them and by how much they are deeper then."""
+    ends, deeper = [OUTSIDE, INSIDE, ESCAPED], [0, 0, 0]
+    for at in range(start, stop, BLOCK_BYTES):
+        data = np.frombuffer(read(at, min(BLOCK_BYTES, stop - at)), np.uint8)
+        for k, state in enumerate(ends):
+            change, ends[k] = scanned(data, state)
+            deeper[k] += int(change.sum(dtype=np.int64))
+    return ends, deeper
+
+
 def objects_in(read, start: int, stop: int, size: int, state: int, depth: int, level: int) -> Iterator[bytes]:
     """The objects that begin in bytes [start, stop) ``level`` deep, from a range that begins in ``state`` and ``depth``."""
-    data = np.frombuffer(read(start, stop - start), np.uint8)
-    change, end = scanned(data, state)
-    deep = depth + np.cumsum(change, dtype=np.int64)  # behind each byte
-    body = data.tobytes()
-    opens = np.flatnonzero((change == 1) & (deep == level + 1) & (data == ord("{")))
-    opens = opens[[not _is_value(read, body, start, a) for a in opens.tolist()]] if len(opens) else opens
-    shuts = np.flatnonzero((change == -1) & (deep == level))
-    at = np.searchsorted(shuts, opens)
-    whole = at < len(shuts)
-    for a, b in zip(opens[whole].tolist(), shuts[at[whole]].tolist(), strict=True):
-        yield body[a : b + 1]
-    if not whole.all():  # the last one goes on behind the range
-        parts, now = [body[opens[~whole][0] :]], int(deep[-1])
-        while stop < size:
-            more = np.frombuffer(read(stop, min(1 << 16, size - stop)), np.uint8)
-            change, end = scanned(more, end)
-            shut = np.flatnonzero((now + np.cumsum(change, dtype=np.int64) == level) & (change == -1))
-            if len(shut):
-                yield b"".join([*parts, more[: shut[0] + 1].tobytes()])
-                return
-            parts.append(more.tobytes())
-            now += int(change.sum())
-            stop += len(more)
+    at, parts = start, []  # parts of an object that is not shut yet
+    while at < stop or (parts and at < size):
+        body = read(at, min(BLOCK_BYTES, stop - at) if at < stop else min(BEHIND_BYTES, size - at))
+        data = np.frombuffer(body, np.uint8)
+        change, state = scanned(data, state)
+        deep = depth + np.cumsum(change, dtype=np.int64)  # behind each byte
+        shuts = np.flatnonzero((change == -1) & (deep == level))
+        if parts:
+            parts.append(body[: shuts[0] + 1] if len(shuts) else body)
+            if len(shuts):
+                yield b"".join(parts)
+                parts = []
+        if at < stop:
+            opens = np.flatnonzero((change == 1) & (deep == level + 1) & (data == ord("{")))
+            opens = opens[[not _is_value(read, body, at, a) for a in opens.tolist()]] if len(opens) else opens
+            ends = np.searchsorted(shuts, opens)
+            whole = ends < len(shuts)
+            for a, b in zip(opens[whole].tolist(), shuts[ends[whole]].tolist(), strict=True):
+                yield body[a : b + 1]
+            if not whole.all():  # the last one goes on behind the block
+                parts = [body[opens[~whole][0] :]]
+        depth = int(deep[-1])
+        at += len(body)
 
 
 def objects(spark: SparkSession, path: str, level: int = 2, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -96,10 +108,9 @@ def objects(spark: SparkSession, path: str, level: int = 2, range_bytes: int = R
             ends, deeper = [], []
             for uri, _, start, stop in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with files.Ranges(uri) as read:
-                    data = np.frombuffer(read(start, stop - start), np.uint8)
-                found = [scanned(data, state) for state in (OUTSIDE, INSIDE, ESCAPED)]
-                ends.append([end for _, end in found])
-                deeper.append([int(change.sum(dtype=np.int64)) for change, _ in found])
+                    found = summed_up(read, start, stop)
+                ends.append(found[0])
+                deeper.append(found[1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends, pa.list_(pa.int32())), pa.array(deeper, pa.list_(pa.int64()))], [*batch.schema.names, "ends", "deeper"])
 
     def chained(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,14 +35,17 @@ def write_features(features: DataFrame, path: str) -> None:
     write_objects(features.select("feature"), path, '{"type": "FeatureCollection", "features": [')
 
 
+ROWS_AT_ONCE = 500
+
+
 def write_objects(objects: DataFrame, path: str, head: str) -> None:
     """Objects (one column of text) in an array behind ``head``, a file in the folder ``path`` for each partition that has any."""
 
     def collected(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = head
         for batch in batches:
-            if batch.num_rows:
-                rows = batch.column(0).to_pylist()
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                rows = batch.column(0).slice(at, ROWS_AT_ONCE).to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array([(before if k == 0 else ",") + row for k, row in enumerate(rows)])], ["value"])
                 before = ","
         if before == ",":

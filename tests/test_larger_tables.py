@@ -1,12 +1,15 @@
 """What larger tables showed: results held against brute force, and plans or figures that must not grow with the rows."""
 
+import json
 import math
+import tracemalloc
 
 from pyspark.sql import functions as F
 
 from talweg.functions import scores as S
 from talweg.functions.gridding import Grid
 from talweg.operators import reach, runs, sampling
+from talweg.sources import json_arrays
 
 
 def plan(df):
@@ -53,3 +56,24 @@ def test_validation_sends_no_map_to_the_driver(spark, monkeypatch):
     out = runs.validation_run(cells, grid, presence).first()
     assert (out.n_presence, out.n_background, out.auc) == (2_500, 10_000, 0.875)
     assert "SortMergeJoin" in plans[1] and not any("TakeOrdered" in p for p in plans)
+
+
+def test_a_range_of_json_is_read_in_blocks():
+    rows = [{"id": k, "tags": {"n": "a\"}]{" * (k % 5)}, "at": [[k, -k]] * (k % 9)} for k in range(9_000)]
+    rows[4_000]["long"] = "x{" * 800_000
+    body = json.dumps({"head": {"a": [1]}, "elements": rows}).encode()
+    read = lambda at, size: body[at : at + size]
+    found, state, depth, peak = [], json_arrays.OUTSIDE, 0, 0
+    edges = [0, 999_999, len(body) // 2, len(body)]
+    for start, stop in zip(edges, edges[1:], strict=False):
+        found += [json.loads(o) for o in json_arrays.objects_in(read, start, stop, len(body), state, depth, 2)]
+        ends, deeper = json_arrays.summed_up(read, start, stop)
+        state, depth = ends[state], depth + deeper[state]
+    assert found == rows and (state, depth) == (json_arrays.OUTSIDE, 0)
+    many = body[:-2] + (b"," + json.dumps(rows[8]).encode()) * 200_000 + b"]}"
+    assert len(many) > 16 << 20
+    tracemalloc.start()
+    n = sum(1 for _ in json_arrays.objects_in(lambda at, size: many[at : at + size], 0, 16 << 20, len(many), json_arrays.OUTSIDE, 0, 2))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 100_000 and peak < 100 << 20
