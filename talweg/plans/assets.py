@@ -98,8 +98,13 @@ REACHED = f"{CELLS}, {SETTLEMENTS}, {TARGETS}, {OFFSETS}, {_edge_cte('targets')}
 REACH_SQL = f"WITH {REACHED} SELECT asset_id, row, col, round(w, 6) AS w, round(relief, 6) AS relief, round(dist, 6) AS dist, round(az, 6) AS az FROM edges"
 
 
+def _scores(spark, sf_dir):
+    cells = V.cells(spark, sf_dir)
+    return reach.tile_scores(_targets(spark, sf_dir), cells, V.scenario_probability(cells), DX, DY, RADIUS_M)
+
+
 def q_reach_score(spark, sf_dir):
-    out = reach.reach_scores(_edges(spark, sf_dir), V.scenario_probability(V.cells(spark, sf_dir)), DX * DY)
+    out = _scores(spark, sf_dir)
     return out.select("asset_id", "scenario", *[r6(c, c) for c in ("reaching", "reaching_max", "delivering_m2", "source_relief_m", "source_distance_m")], "n_sources")
 
 
@@ -112,7 +117,7 @@ round(delivering_m2, 6) AS delivering_m2, round(source_relief_m, 6) AS source_re
 
 
 def q_worst_sector(spark, sf_dir):
-    out = reach.worst_sector(_edges(spark, sf_dir), V.scenario_probability(V.cells(spark, sf_dir)))
+    out = reach.sectors_of(_scores(spark, sf_dir))
     return out.select("asset_id", "scenario", "sector", r6("sector_reaching", "sector_reaching"))
 
 
@@ -123,7 +128,7 @@ SELECT asset_id, scenario, ['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'][arg_max(
 
 def _scored(spark, sf_dir):
     cells = V.cells(spark, sf_dir)
-    vertices = reach.vertex_scores(_targets(spark, sf_dir), _edges(spark, sf_dir), V.scenario_probability(cells), DX * DY)
+    vertices = reach.with_site(_targets(spark, sf_dir), _scores(spark, sf_dir), V.scenario_probability(cells))
     return vertices.join(V.settlements(spark, sf_dir).select("asset_id", "place", "population"), "asset_id")
 
 

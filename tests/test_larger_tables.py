@@ -77,3 +77,25 @@ def test_a_range_of_json_is_read_in_blocks():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n > 100_000 and peak < 100 << 20
+
+
+def test_scores_by_tiles_are_those_of_the_edges(spark, monkeypatch):
+    monkeypatch.setattr(reach, "TILE", 7)
+    grid = Grid(0.0, 0.0, 3.0, 4.0, 0.1)
+    z = F.when(F.col("row") * 31 + F.col("col") != 200, (F.col("row") * 37 + F.col("col") * 53 + F.col("row") * F.col("col")) % 97 * 3.0)
+    cells = grid.cells(spark, z=z)
+    p = cells.select("row", "col", F.explode(F.array(F.lit("dry"), F.lit("wet"))).alias("scenario"), (F.pmod(F.xxhash64("row", "col"), F.lit(11)) / 11.0).alias("p"))
+    p = p.withColumn("p", F.when((F.col("scenario") == "dry") | (F.col("row") % 5 > 0), F.col("p")))
+    targets = cells.filter("(row * 7 + col) % 3 = 0").select(F.concat_ws("-", "row", "col").alias("asset_id"), (F.col("col") % 2).alias("vertex"), "row", "col")
+    targets = targets.unionByName(targets.limit(5).withColumn("asset_id", F.concat(F.lit("x"), "asset_id")))
+    edges = reach.reach_edges(targets, cells, 26.0, 30.0, 120.0)
+    got = reach.tile_scores(targets, cells, p, 26.0, 30.0, 120.0)
+    key = lambda r: (r.asset_id, r.vertex, r.scenario)
+    have, want = ({key(r): r for r in df.collect()} for df in (got, reach.reach_scores(edges, p, 780.0)))
+    assert len(want) > 300 and set(have) == set(want)
+    for k, r in want.items():
+        assert (have[k].n_sources, have[k].reaching_max, have[k].source_relief_m, have[k].source_distance_m) == (r.n_sources, r.reaching_max, r.source_relief_m, r.source_distance_m)
+        assert math.isclose(have[k].reaching, r.reaching) and math.isclose(have[k].delivering_m2, r.delivering_m2)
+    have, want = ({key(r): (r.sector, round(r.sector_reaching, 9)) for r in df.collect()} for df in (reach.sectors_of(got), reach.worst_sector(edges, p)))
+    assert have == want
+    assert "Join" not in plan(got)  # no edge is shuffled
