@@ -202,4 +202,5 @@ def near_presence(cells: DataFrame, grid: Grid, presence: DataFrame, within: flo
     spread = spread.select("p_row", "p_col", (F.floor(F.col("p_row") / side) + F.col("i")).alias("p_by"), (F.floor(F.col("p_col") / side) + F.col("j")).alias("p_bx"))
     near = (F.floor(F.col("row") / side) == F.col("p_by")) & (F.floor(F.col("col") / side) == F.col("p_bx"))
     near &= (F.abs(F.col("row") - F.col("p_row")) <= reach) & (F.abs(F.col("col") - F.col("p_col")) <= reach)
-    return cells.join(spread, near, "left_semi")
+    # nine rows for each cell of a presence: by the size of the presences' table they would be sent to every task
+    return cells.join(spread.hint("merge"), near, "left_semi")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from talweg.functions import scores as S
 from talweg.functions.gridding import Grid
-from talweg.operators import reach, runs, sampling
+from talweg.operators import graph, reach, runs, sampling
 from talweg.sources import json_arrays
 
 
@@ -99,3 +99,14 @@ def test_scores_by_tiles_are_those_of_the_edges(spark, monkeypatch):
     have, want = ({key(r): (r.sector, round(r.sector_reaching, 9)) for r in df.collect()} for df in (reach.sectors_of(got), reach.worst_sector(edges, p)))
     assert have == want
     assert "Join" not in plan(got)  # no edge is shuffled
+
+
+def test_squares_around_are_not_sent_to_every_task(spark):
+    grid = Grid(0.0, 0.0, 3.0, 3.0, 0.1)
+    cells = grid.cells(spark)
+    points = cells.select((F.col("row") * 30 + F.col("col")).alias("asset_id"), (F.col("col") * 0.001).alias("lon"), (F.col("row") * 0.001).alias("lat"))
+    near = sampling.near_presence(cells, grid, points.filter("asset_id = 0"))
+    pairs = graph.pairs_within(points, 115.0, 0.0)
+    for df, n in ((near, 2), (pairs, 2 * 29 * 30)):
+        assert df.count() == n
+        assert "SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString()
