@@ -63,7 +63,9 @@ def pairs_within(points: DataFrame, limit_m: float, lat0: float, key: str = "ass
     keyed = placed.withColumns({"bx": F.floor(F.col("x") / limit_m), "by": F.floor(F.col("y") / limit_m)})
     around = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i AS i, j AS j))))"))
     spread = keyed.withColumn("o", around).select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("bx") + F.col("o.i")).alias("bx"), (F.col("by") + F.col("o.j")).alias("by"))
-    met = spread.join(keyed.select(F.col("id").alias("b"), F.col("x").alias("x"), F.col("y").alias("y"), "bx", "by"), ["bx", "by"]).filter("a < b")
+    to = keyed.select(F.col("id").alias("b"), F.col("x").alias("x"), F.col("y").alias("y"), "bx", "by")
+    # by the size of the table that the points come from they would be sent to every task
+    met = spread.join(to.hint("merge"), ["bx", "by"]).filter("a < b")
     dist = F.hypot(F.col("ax") - F.col("x"), F.col("ay") - F.col("y"))
     return met.select("a", "b", dist.alias("dist")).filter(F.col("dist") <= limit_m)
 
