@@ -3,7 +3,8 @@
 Directions are built-in expressions on the neighbour columns. Filling and accumulation are fixpoints: each tile of
 a grid settles on its own in one task, given what lies around it, and only the tiles' border cells travel between
 rounds. A round works on the tiles whose surroundings changed, and the last round's tables are in the shared folder,
-so the number of rounds is that of tiles that a flow path crosses, not of cells.
+so the number of rounds is that of tiles that a flow path crosses, not of cells. Cells are packed into one row a tile
+once, so a round moves and sorts rows of tiles and borders.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talweg.operators import tiles as T
 from talweg.operators.stencil import NEIGHBOURS, with_neighbours
 from talweg.session import cut, stored
 
@@ -33,33 +36,35 @@ STEPS = list(NEIGHBOURS.values())
 def settle(z: np.ndarray, fixed: np.ndarray) -> np.ndarray:
     """The least f with ``f = max(z, least neighbour + STEP)``, given f where ``fixed`` is finite; infinite if unreached.
 
-    ``z`` is NaN for nodata. Cells leave a heap lowest first, so each is settled once.
+    ``z`` is NaN for nodata. Cells leave a heap lowest first, so what reaches a cell first gives its level.
     """
-    height, width = z.shape
-    done = np.isnan(z)
-    level = np.where(np.isfinite(fixed), fixed, np.inf)
-    heap = [(float(level[r, c]), int(r), int(c)) for r, c in zip(*np.nonzero(np.isfinite(level)), strict=True)]
+    wide = z.shape[1] + 2
+    given = np.isfinite(fixed)
+    framed = np.pad(~np.isnan(z) & ~given, 1)
+    level = np.pad(np.where(given, fixed, np.inf), 1).ravel()
+    # of the given cells only those beside an open one pass anything on
+    beside = np.zeros_like(framed)
+    for dr, dc in STEPS:
+        beside |= np.roll(framed, (dr, dc), (0, 1))
+    starts = np.flatnonzero(beside.ravel() & np.pad(given, 1).ravel())
+    heap = list(zip(level[starts].tolist(), starts.tolist(), strict=True))
     heapq.heapify(heap)
+    is_open, heights, reached = bytearray(framed.astype(np.uint8).tobytes()), np.pad(z, 1).ravel().tolist(), level.tolist()
+    steps = [dr * wide + dc for dr, dc in STEPS]
+    pop, push = heapq.heappop, heapq.heappush
     while heap:
-        f, r, c = heapq.heappop(heap)
-        if done[r, c] and not np.isfinite(fixed[r, c]) or f > level[r, c]:
-            continue
-        done[r, c] = True
-        for dr, dc in STEPS:
-            y, x = r + dr, c + dc
-            if 0 <= y < height and 0 <= x < width and not done[y, x]:
-                g = max(float(z[y, x]), f + STEP)
-                if g < level[y, x]:
-                    level[y, x] = g
-                    heapq.heappush(heap, (g, y, x))
-    return level
-
-
-def _tiled(cells: DataFrame, size: int) -> DataFrame:
-    extent = cells.groupBy("grid_id").agg(F.max("row").alias("last_row"), F.max("col").alias("last_col"))
-    placed = cells.join(extent, "grid_id")
-    edge = (F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == F.col("last_row")) | (F.col("col") == F.col("last_col"))
-    return placed.withColumns({"edge": edge, "tile_row": (F.col("row") / size).cast("int"), "tile_col": (F.col("col") / size).cast("int")})
+        f, at = pop(heap)
+        f += STEP
+        for step in steps:
+            to = at + step
+            if is_open[to]:
+                is_open[to] = 0
+                g = heights[to]
+                if g < f:
+                    g = f
+                reached[to] = g
+                push(heap, (g, to))
+    return np.array(reached).reshape(-1, wide)[1:-1, 1:-1]
 
 
 KEY = ["grid_id", "tile_row", "tile_col"]
@@ -75,8 +80,32 @@ def _sent(borders: DataFrame, size: int) -> DataFrame:
     return reached.filter(~own).drop("step").distinct().withColumnsRenamed({"to_row": "tile_row", "to_col": "tile_col"})
 
 
-def _window(own: pd.DataFrame, size: int) -> tuple[int, int]:
-    return int(own["tile_row"].iloc[0]) * size - 1, int(own["tile_col"].iloc[0]) * size - 1
+def _listed(borders: DataFrame, value: str) -> DataFrame:
+    """``borders`` with a tile's key as one row a tile: what_row, what_col and what, arrays."""
+    listed = borders.groupBy(*KEY).agg(F.collect_list(F.struct("row", "col", value)).alias("what"))
+    return listed.select(*KEY, *[F.col(f"what.{c}").alias(n) for c, n in (("row", "what_row"), ("col", "what_col"), (value, "what"))])
+
+
+def _with(tiles: DataFrame, borders: DataFrame, value: str) -> DataFrame:
+    return tiles.join(_listed(borders, value), KEY, "left")
+
+
+def _what(tile: dict) -> tuple[np.ndarray, ...]:
+    """What is listed for a tile: rows, columns and values."""
+    if not tile["what"].is_valid:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    return tuple(tile[n].values.to_numpy(zero_copy_only=False) for n in ("what_row", "what_col", "what"))
+
+
+def _dealt(tiles: DataFrame) -> DataFrame:
+    """``tiles`` stored in enough files for all tasks."""
+    return stored(tiles.repartition(4 * tiles.sparkSession.sparkContext.defaultParallelism, *KEY))
+
+
+def _rows(tile: dict, **columns: np.ndarray) -> pa.RecordBatch:
+    """A batch of grid_id and ``columns``."""
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.repeat(tile["grid_id"], n), *[pa.array(c) for c in columns.values()]], ["grid_id", *columns])
 
 
 def fill_depressions(cells: DataFrame, size: int = TILE, max_rounds: int = 10_000) -> DataFrame:
@@ -84,34 +113,37 @@ def fill_depressions(cells: DataFrame, size: int = TILE, max_rounds: int = 10_00
 
     Edge cells keep their height; nodata is no outlet; a region that the edge does not reach keeps its raw heights.
     """
-    tiles = stored(_tiled(cells.select("grid_id", "row", "col", F.col("z").cast("double").alias("z")), size))
-
-    def settle_tile(own: pd.DataFrame, around: pd.DataFrame, last: bool) -> pd.DataFrame:
-        if own.empty:
-            return pd.DataFrame(columns=["grid_id", "row", "col", "z", "level"])
-        top, left = _window(own, size)
-        z, fixed = np.full((size + 2, size + 2), np.nan), np.full((size + 2, size + 2), np.nan)
-        r, c = own["row"].to_numpy() - top, own["col"].to_numpy() - left
-        z[r, c] = own["z"].astype(float)
-        seeds = own["edge"].to_numpy(bool) & np.isfinite(z[r, c])
-        fixed[r[seeds], c[seeds]] = z[r[seeds], c[seeds]]
-        if len(around):
-            fixed[around["row"].to_numpy() - top, around["col"].to_numpy() - left] = around["level"]
+    packed = _dealt(T.whole(cells.filter("grid_id IS NOT NULL"), ["grid_id"], ["z"], size))
+    extent = cells.groupBy("grid_id").agg(F.max("row").alias("last_row"), F.max("col").alias("last_col"))
+    tiles = packed.join(extent, "grid_id")
+
+    def settle_tile(tile: dict, final: bool) -> pa.RecordBatch:
+        row, col = T.places([tile["at"].as_py()])
+        heights = T.numbers([tile["z"].as_py()])
+        top, left = row.min() - 1, col.min() - 1
+        shape = (row.max() - top + 2, col.max() - left + 2)
+        z, fixed = np.full(shape, np.nan), np.full(shape, np.nan)
+        r, c = row - top, col - left
+        z[r, c] = heights
+        edge = (row == 0) | (col == 0) | (row == tile["last_row"].as_py()) | (col == tile["last_col"].as_py())
+        seeds = edge & np.isfinite(heights)
+        fixed[r[seeds], c[seeds]] = heights[seeds]
+        at_row, at_col, levels = _what(tile)
+        near = (at_row >= top) & (at_row < top + shape[0]) & (at_col >= left) & (at_col < left + shape[1])
+        fixed[at_row[near] - top, at_col[near] - left] = levels[near]
         level = settle(z, fixed)[r, c]
-        out = own[["grid_id", "row", "col", "z"]].assign(level=level)
-        if not last:
-            border = (r == 1) | (c == 1) | (r == size) | (c == size)
-            out = out[border & np.isfinite(level)]
-        return out
-
-    kind = tiles.schema["grid_id"].dataType.simpleString()
-    schema = f"grid_id {kind}, row int, col int, z double, level double"
-    halo = tiles.select("grid_id", "row", "col", F.lit(0.0).alias("level"), *KEY[1:]).limit(0)
+        if final:
+            raw = np.isnan(heights)
+            return _rows(tile, row=row, col=col, z=np.ma.array(heights, mask=raw), filled=np.ma.array(np.where(np.isfinite(level), level, heights), mask=raw))
+        sent = np.isfinite(level) & ((row % size == 0) | (col % size == 0) | (row % size == size - 1) | (col % size == size - 1))
+        return _rows(tile, row=row[sent], col=col[sent], level=level[sent])
+
+    kind = cells.schema["grid_id"].dataType.simpleString()
+    halo = cells.select("grid_id", "row", "col", F.lit(0.0).alias("level"), F.lit(0).alias("tile_row"), F.lit(0).alias("tile_col")).limit(0)
     work = tiles
     known = None
     for _ in range(max_rounds):
-        found = work.groupBy(*KEY).cogroup(halo.groupBy(*KEY)).applyInPandas(lambda a, b: settle_tile(a, b, False), schema)
-        found = cut(found.select("grid_id", "row", "col", "level"))
+        found = cut(T.each(_with(work, halo, "level"), lambda t: settle_tile(t, False), f"grid_id {kind}, row int, col int, level double"))
         merged = found if known is None else known.unionByName(found).groupBy("grid_id", "row", "col").agg(F.min("level").alias("level"))
         changed = found if known is None else found.join(known.withColumnRenamed("level", "before"), ["grid_id", "row", "col"], "left").filter("before IS NULL OR level < before").drop("before")
         known = cut(merged)
@@ -122,8 +154,7 @@ def fill_depressions(cells: DataFrame, size: int = TILE, max_rounds: int = 10_00
         work = tiles.join(woken, KEY, "left_semi")
     else:
         raise RuntimeError(f"filling did not settle in {max_rounds} rounds")
-    final = tiles.groupBy(*KEY).cogroup(_sent(known, size).groupBy(*KEY)).applyInPandas(lambda a, b: settle_tile(a, b, True), schema)
-    return final.select("grid_id", "row", "col", "z", F.when(F.col("level") < float("inf"), F.col("level")).otherwise(F.col("z")).alias("filled"))
+    return T.each(_with(tiles, _sent(known, size), "level"), lambda t: settle_tile(t, True), f"grid_id {kind}, row int, col int, z double, filled double")
 
 
 # --- directions ------------------------------------------------------------------------------------------------
@@ -192,53 +223,82 @@ def _carried(n: int, source: np.ndarray, target: np.ndarray, share: np.ndarray,
     return p
 
 
+def _flows(row: np.ndarray, col: np.ndarray, z: np.ndarray, angle: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``flow_edges`` of a tile's ``own`` cells: number of source and target, share and down."""
+    top, left = row.min() - 1, col.min() - 1
+    number = np.full((row.max() - top + 2, col.max() - left + 2), -1)
+    number[row - top, col - left] = np.arange(len(row))
+    flows = np.flatnonzero(own & np.isfinite(angle))
+    part = angle[flows] / QUARTER
+    down = np.floor(part).astype(int)
+    part = part - down
+    source, target, share = [], [], []
+    for turn, portion in ((0, 1 - part), (1, part)):
+        step = np.array(STEPS)[(down + turn) % 8]
+        to = number[row[flows] - top + step[:, 0], col[flows] - left + step[:, 1]]
+        some = (to >= 0) & (portion > 0)
+        source.append(flows[some])
+        target.append(to[some])
+        share.append(portion[some])
+    source, target, share = (np.concatenate(x) for x in (source, target, share))
+    return source, target, share, z[target] < z[source]
+
+
 def accumulate(directed: DataFrame, value: str = "filled", size: int = TILE, max_rounds: int = 10_000) -> DataFrame:
     """(grid_id, row, col, cells): how many cells' flow passes each cell, itself included; NULL on nodata.
 
     Flow first goes down the edges that fall, to a fixpoint. What an edge that does not fall carries (the split in
     quarter turns can point up where cells are not square) is added at its end and goes no further.
     """
-    edges = stored(flow_edges(directed, value))
-    cells = stored(directed.filter(F.col(value).isNotNull()).select("grid_id", "row", "col"))
-    tile = lambda c: F.floor(F.col(c) / size).cast("int")
-    keyed_cells = cells.withColumns({"tile_row": tile("row"), "tile_col": tile("col")})
-    inner = edges.filter("down").withColumns({"tile_row": tile("row"), "tile_col": tile("col")})
-    crossing = (tile("to_row") != tile("row")) | (tile("to_col") != tile("col"))
-    bridges = cut(inner.filter(crossing).select("grid_id", "row", "col", "to_row", "to_col", "share"))
+    known_cells = directed.filter(F.col(value).isNotNull() & F.col("grid_id").isNotNull()).select("grid_id", "row", "col", F.col(value).alias("z"), "angle")
+    tiles = _dealt(T.whole(known_cells, ["grid_id"], ["z", "angle"], size, 1))
+
+    def summed(row: np.ndarray, col: np.ndarray, at: np.ndarray, flow: np.ndarray) -> tuple[np.ndarray, ...]:
+        hit, slot = np.unique(at, return_inverse=True)
+        return row[hit], col[hit], np.bincount(slot, weights=flow, minlength=len(hit)).astype(float)
+
+    def carry(tile: dict, last: bool) -> pa.RecordBatch | None:
+        row, col = T.places([tile["at"].as_py()])
+        z, angle = (T.numbers([tile[n].as_py()]) for n in ("z", "angle"))
+        own = (row // size == tile["tile_row"].as_py()) & (col // size == tile["tile_col"].as_py())
+        if not own.any():
+            return None  # only what is around it
+        source, target, share, down = _flows(row, col, z, angle, own)
+        start = own.astype(float)
+        at_row, at_col, flow = _what(tile)
+        if len(flow):
+            top, left = row.min(), col.min()
+            number = np.full((row.max() - top + 1, col.max() - left + 1), -1)
+            number[row - top, col - left] = np.arange(len(row))
+            np.add.at(start, number[at_row - top, at_col - left], flow)
+        inside = down & own[target]
+        p = _carried(len(row), source[inside], target[inside], share[inside], start)
+        if not last:
+            over = down & ~own[target]
+            to_row, to_col, flow = summed(row, col, target[over], share[over] * p[source[over]])
+            return _rows(tile, row=to_row, col=to_col, flow=flow, from_row=np.full(len(flow), tile["tile_row"].as_py(), np.int32), from_col=np.full(len(flow), tile["tile_col"].as_py(), np.int32))
+        up = ~down
+        to_row, to_col, more = summed(row, col, target[up], share[up] * p[source[up]])
+        here = np.flatnonzero(own)
+        columns = [pa.array([tile[k].as_py()], t) for k, t in (("grid_id", tile["grid_id"].type), ("tile_row", pa.int32()), ("tile_col", pa.int32()))]
+        columns += [pa.array([row[here].tobytes() + col[here].tobytes()], pa.binary()), pa.array([p[here].tobytes()], pa.binary())]
+        ups = pa.StructArray.from_arrays([pa.array(to_row), pa.array(to_col), pa.array(more)], ["row", "col", "more"])
+        columns.append(pa.ListArray.from_arrays(pa.array([0, len(ups)], pa.int32()), ups))
+        return pa.RecordBatch.from_arrays(columns, [*KEY, "at", "p", "ups"])
+
     kind = directed.schema["grid_id"].dataType.simpleString()
-    packed = inner.filter(~crossing).select(*KEY, "row", "col", "to_row", "to_col", "share")
-    rows = keyed_cells.select(*KEY, "row", "col", F.lit(None).cast("int").alias("to_row"), F.lit(None).cast("int").alias("to_col"), F.lit(1.0).alias("share"))
-    tiles = stored(rows.unionByName(packed))
-
-    def carry(own: pd.DataFrame, inflow: pd.DataFrame, last: bool) -> pd.DataFrame:
-        if own.empty:
-            return pd.DataFrame(columns=["grid_id", "row", "col", "p"])
-        top, left = int(own["tile_row"].iloc[0]) * size, int(own["tile_col"].iloc[0]) * size
-        number = lambda r, c: (r.to_numpy(int) - top) * size + c.to_numpy(int) - left
-        is_cell = own["to_row"].isna().to_numpy()
-        start = np.zeros(size * size)
-        here, flow = own[is_cell], own[~is_cell]
-        start[number(here["row"], here["col"])] = 1.0
-        if len(inflow):
-            np.add.at(start, number(inflow["row"], inflow["col"]), inflow["flow"].to_numpy(float))
-        p = _carried(size * size, number(flow["row"], flow["col"]), number(flow["to_row"], flow["to_col"]), flow["share"].to_numpy(float), start)
-        out = here[["grid_id", "row", "col"]].assign(p=p[number(here["row"], here["col"])])
-        if last:
-            return out
-        r, c = out["row"] - top, out["col"] - left
-        return out[(r == 0) | (c == 0) | (r == size - 1) | (c == size - 1)]
-
-    schema = f"grid_id {kind}, row int, col int, p double"
+    tile = lambda c: F.floor(F.col(c) / size).cast("int")
     at = {"tile_row": tile("row"), "tile_col": tile("col")}
-    inflow = bridges.select("grid_id", F.col("to_row").alias("row"), F.col("to_col").alias("col"), F.lit(0.0).alias("flow")).limit(0).withColumns(at)
+    inflow = known_cells.select("grid_id", "row", "col", F.lit(0.0).alias("flow")).limit(0).withColumns(at)
     work, near, known = tiles, inflow, None
+    sent = f"grid_id {kind}, row int, col int, flow double, from_row int, from_col int"
     for _ in range(max_rounds):
-        found = work.groupBy(*KEY).cogroup(near.groupBy(*KEY)).applyInPandas(lambda a, b: carry(a, b, False), schema)
+        found = T.each(_with(work, near, "flow"), lambda t: carry(t, False), sent)
         if known is not None:
-            known = known.withColumns(at).join(woken, KEY, "left_anti").select("grid_id", "row", "col", "p").unionByName(found)
-        known = cut(found if known is None else known)
-        over = bridges.join(known, ["grid_id", "row", "col"]).groupBy("grid_id", "to_row", "to_col").agg(F.sum(F.col("share") * F.col("p")).alias("flow"))
-        arrived = cut(over.select("grid_id", F.col("to_row").alias("row"), F.col("to_col").alias("col"), "flow").withColumns(at))
+            again = woken.withColumnsRenamed({"tile_row": "from_row", "tile_col": "from_col"})
+            found = known.join(again, ["grid_id", "from_row", "from_col"], "left_anti").select(*known.columns).unionByName(found)
+        known = cut(found)
+        arrived = cut(known.groupBy("grid_id", "row", "col").agg(F.sum("flow").alias("flow")).withColumns(at))
         before = inflow.select("grid_id", "row", "col", F.col("flow").alias("before"))
         moved = F.abs(F.col("flow") - F.coalesce("before", F.lit(0.0))) > 1e-12 * F.col("flow")
         woken = cut(arrived.join(before, ["grid_id", "row", "col"], "left").filter(moved).select(*KEY).distinct())
@@ -248,10 +308,18 @@ def accumulate(directed: DataFrame, value: str = "filled", size: int = TILE, max
         work, near = tiles.join(woken, KEY, "left_semi"), inflow.join(woken, KEY, "left_semi")
     else:
         raise RuntimeError(f"accumulation did not settle in {max_rounds} rounds")
-    passed = stored(tiles.groupBy(*KEY).cogroup(inflow.groupBy(*KEY)).applyInPandas(lambda a, b: carry(a, b, True), schema))
-    up = edges.filter("NOT down").join(passed, ["grid_id", "row", "col"]).groupBy("grid_id", "to_row", "to_col").agg(F.sum(F.col("share") * F.col("p")).alias("more"))
-    up = up.withColumnsRenamed({"to_row": "row", "to_col": "col"})
-    return passed.join(up, ["grid_id", "row", "col"], "left").select("grid_id", "row", "col", (F.col("p") + F.coalesce("more", F.lit(0.0))).alias("cells"))
+    passed = stored(T.each(_with(tiles, inflow, "flow"), lambda t: carry(t, True), f"grid_id {kind}, tile_row int, tile_col int, at binary, p binary, ups array<struct<row: int, col: int, more: double>>"))
+    ups = passed.select("grid_id", F.explode("ups").alias("u")).select("grid_id", "u.*").withColumns(at)
+
+    def added(tile: dict) -> pa.RecordBatch:
+        row, col = T.places([tile["at"].as_py()])
+        p, top, left = T.numbers([tile["p"].as_py()]), row.min(), col.min()
+        more = np.zeros((row.max() - top + 1, col.max() - left + 1))
+        at_row, at_col, flow = _what(tile)
+        np.add.at(more, (at_row - top, at_col - left), flow)
+        return _rows(tile, row=row, col=col, cells=p + more[row - top, col - left])
+
+    return T.each(_with(passed.drop("ups"), ups, "more"), added, f"grid_id {kind}, row int, col int, cells double")
 
 
 def specific_catchment_area(cells: DataFrame, dx: float, dy: float, size: int = TILE) -> DataFrame:

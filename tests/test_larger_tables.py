@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from talweg.functions import scores as S
 from talweg.functions.gridding import Grid
-from talweg.operators import graph, reach, runs, sampling
+from talweg.operators import graph, hydrology, reach, runs, sampling
 from talweg.sources import json_arrays
 
 
@@ -110,3 +110,21 @@ def test_squares_around_are_not_sent_to_every_task(spark):
     for df, n in ((near, 2), (pairs, 2 * 29 * 30)):
         assert df.count() == n
         assert "SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rounds_of_routing_move_rows_of_tiles(spark, monkeypatch):
+    grid = Grid(0.0, 0.0, 3.0, 4.0, 0.1)
+    z = F.col("row") * 9.0 + (F.col("row") * 37 + F.col("col") * 53) % 29
+    cells = grid.cells(spark, z=z).withColumn("grid_id", F.lit("a"))
+    kept, before = [], hydrology.stored
+
+    def seen(df):
+        kept.append(before(df))
+        return kept[-1]
+
+    monkeypatch.setattr(hydrology, "stored", seen)
+    whole = {(r.row, r.col): r.sca for r in hydrology.specific_catchment_area(cells, 26.0, 30.0).collect()}
+    assert [t.count() for t in kept] == [1, 1_200, 4, 1]  # tiles, directions, tiles and what is around, flows
+    kept.clear()
+    found = {(r.row, r.col): r.sca for r in hydrology.specific_catchment_area(cells.repartition(5), 26.0, 30.0, 20).collect()}
+    assert kept[0].count() == 4 and all(math.isclose(found[k], whole[k], rel_tol=1e-9) for k in whole) and len(found) == 1_200
