@@ -128,8 +128,8 @@ SELECT asset_id, scenario, ['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'][arg_max(
 
 def _scored(spark, sf_dir):
     cells = V.cells(spark, sf_dir)
-    vertices = reach.with_site(_targets(spark, sf_dir), _scores(spark, sf_dir), V.scenario_probability(cells))
-    return vertices.join(V.settlements(spark, sf_dir).select("asset_id", "place", "population"), "asset_id")
+    targets = V.settlements(spark, sf_dir).select("asset_id", F.lit(0).alias("vertex"), "row", "col", "place", "population")
+    return reach.tile_scores(targets, cells, V.scenario_probability(cells), DX, DY, RADIUS_M, site=True)
 
 
 SCORED = f"""{SCORES}, scored AS (SELECT t.asset_id, t.vertex, s.place, s.population, sp.scenario, sp.p AS on_site, coalesce(reaching, 0) AS reaching, coalesce(reaching_max, 0) AS reaching_max,

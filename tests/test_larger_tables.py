@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from talweg.functions import scores as S
 from talweg.functions.gridding import Grid
-from talweg.operators import graph, hydrology, reach, runs, sampling
+from talweg.operators import graph, hydrology, reach, runs, sampling, tiles
 from talweg.sources import json_arrays
 
 
@@ -128,3 +128,22 @@ def test_rounds_of_routing_move_rows_of_tiles(spark, monkeypatch):
     kept.clear()
     found = {(r.row, r.col): r.sca for r in hydrology.specific_catchment_area(cells.repartition(5), 26.0, 30.0, 20).collect()}
     assert kept[0].count() == 4 and all(math.isclose(found[k], whole[k], rel_tol=1e-9) for k in whole) and len(found) == 1_200
+
+
+def test_scores_with_sites_come_from_packed_cells(spark, monkeypatch):
+    monkeypatch.setattr(reach, "TILE", 7)
+    grid = Grid(0.0, 0.0, 3.0, 4.0, 0.1)
+    z = F.when(F.col("row") * 31 + F.col("col") != 200, (F.col("row") * 37 + F.col("col") * 53 + F.col("row") * F.col("col")) % 97 * 3.0)
+    cells = grid.cells(spark, z=z)
+    p = cells.select("row", "col", F.explode(F.array(F.lit("dry"), F.lit("wet"))).alias("scenario"), (F.pmod(F.xxhash64("row", "col"), F.lit(11)) / 11.0).alias("p"))
+    p = p.withColumn("p", F.when((F.col("scenario") == "dry") | (F.col("row") % 5 > 0), F.col("p"))).filter("scenario = 'wet' OR col % 4 > 0")
+    targets = cells.filter("(row * 7 + col) % 3 = 0").select(F.concat_ws("-", "row", "col").alias("asset_id"), (F.col("col") % 2).alias("vertex"), "row", "col", F.when(F.col("col") > 3, F.col("row")).alias("people"))
+    got = reach.tile_scores(targets, cells, p, 26.0, 30.0, 120.0, site=True)
+    edges = reach.reach_edges(targets, cells, 26.0, 30.0, 120.0)
+    columns = ["asset_id", "vertex", "scenario", "on_site", "reaching", "reaching_max", "n_sources", "delivering_m2", "source_relief_m", "source_distance_m", "score", "people"]
+    rows = lambda df: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(columns).collect()), key=str)
+    want = rows(reach.vertex_scores(targets, edges, p, 780.0))
+    assert len(want) > 600 and any(r[3] == 0 for r in want) and rows(got) == want
+    assert "Join" not in plan(got)
+    packed = tiles.pieces(p, ["scenario"], ["p"], 7, 7, 2, 2)
+    assert 0 < packed.count() < p.count() / 4  # rows shuffled
