@@ -1,8 +1,10 @@
 """Near copies by the Jaccard similarity of word shingles: five words and 0.8 or more.
 
-The stage of the pipeline after the SimHash operator's manner, for its own rule. SimHash alone cannot apply that rule:
-at a similarity of 0.8 two fingerprints differ in some ten of 64 bits, and a ball of half that radius has eight million
-variants. So each text has several fingerprints over subsets of its shingles instead of one over all.
+The stage of the pipeline by the SimHash operator's method, for its own rule: each text has a 64-bit fingerprint of its
+shingles, fingerprints that differ in at most ``RADIUS`` bits meet by the variants within half of that, what meets is
+verified on the sets, and components are found by star steps. SimHash alone cannot apply the rule: at a similarity of
+0.8 two fingerprints differ in some ten of 64 bits, and a ball of half that radius has eight million variants. So what
+the balls leave apart is met by several more fingerprints over subsets of its shingles.
 
 A text is the set of its five-word shingles' XXH64 hashes (ASCII letters in lower case; a shorter text is one
 shingle). Texts of equal sets are one class, known by a 128-bit hash. Each class has 50 fingerprints over subsets of
@@ -34,11 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talweg.llm.simhash import _shingle_hashes
+from talweg.llm.simhash import _shingle_hashes, fingerprint_of, near_edges
 from talweg.operators.graph import connected_components
 from talweg.session import cut, stored
 
 SIZE, NUMERATOR, DENOMINATOR = 5, 4, 5  # words in a shingle; the least similarity
+RADIUS = 2  # bits that fingerprints of all shingles may differ in
 BANDS, ROWS = 50, 8
 SKETCH, ALIKE = BANDS * ROWS, 299
 PLANES, LONGS = 3, -(-SKETCH // 64)  # bits of each order's least shingle, one plane of numbers for each bit
@@ -75,7 +78,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """doc_id, h1 and h2 (the set's digest), n (its size), bands and sketch of every row with an id."""
+    """doc_id, h1 and h2 (the set's digest), n (its size), fp (its SimHash fingerprint), bands and sketch of every row with an id."""
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,11 +87,12 @@ def marked(docs: DataFrame) -> DataFrame:
             pair = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
             marks = [marks_of(s) for s in sets]
             bands, sketches = pa.array([m[0] for m in marks], pa.list_(pa.int64())), pa.array([m[1] for m in marks], pa.list_(pa.int64()))
-            columns = [batch.column(0), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array([len(s) for s in sets], pa.int64()), bands, sketches]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h1", "h2", "n", "bands", "sketch"])
+            columns = [batch.column(0), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array([len(s) for s in sets], pa.int64())]
+            columns += [pa.array(np.array([fingerprint_of(s) for s in sets], np.uint64).view(np.int64)), bands, sketches]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h1", "h2", "n", "fp", "bands", "sketch"])
 
     given = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
-    return given.mapInArrow(hashed, "doc_id long, h1 long, h2 long, n long, bands array<long>, sketch array<long>")
+    return given.mapInArrow(hashed, "doc_id long, h1 long, h2 long, n long, fp long, bands array<long>, sketch array<long>")
 
 
 def alike(a: str, b: str) -> str:
@@ -123,20 +127,31 @@ def _fitting(a: str, b: str) -> str:
     return f"{DENOMINATOR} * least({a}, {b}) >= {NUMERATOR} * greatest({a}, {b})"
 
 
+def _within_balls(rows: DataFrame) -> DataFrame:
+    """(a, b): documents of near fingerprints, enough to connect all of them; each with the first of its fingerprint, and these along the balls."""
+    fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    ends = [fps.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_first")) for side in "ab"]
+    balls = near_edges(fps.select("fp"), RADIUS).join(ends[0], "a").join(ends[1], "b").select(F.col("a_first").alias("x"), F.col("b_first").alias("y"))
+    equal = rows.select("doc_id", "fp").join(fps, "fp").select(F.col("doc_id").alias("x"), F.col("first").alias("y"))
+    return balls.unionAll(equal).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_roots(docs: DataFrame) -> DataFrame:
     """(doc_id, root): the smallest doc_id that each doc_id reaches by links, where that is another."""
     rows = stored(marked(docs).dropDuplicates(["doc_id", "h1", "h2"]))
     classes = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
     same = stored(rows.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct())
     # narrow rows find the groups, by the same plan whatever their number; sketches follow to those that have others
-    alone = rows.join(same, rows["doc_id"] == same["a"], "left_anti").select(F.col("doc_id").alias("node"), F.posexplode("bands").alias("k", "band"))
+    single = rows.join(same, rows["doc_id"] == same["a"], "left_anti")
+    alone = single.select(F.col("doc_id").alias("node"), F.posexplode("bands").alias("k", "band"))
     groups = alone.groupBy("band").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y").select(F.col("band").alias("g_band"))
     narrow = alone.join(groups.hint("merge"), F.col("band") == F.col("g_band"), "left_semi")
     own = rows.select(F.col("doc_id").alias("o_node"), "n", "sketch", "bands")
     met = stored(narrow.join(own.hint("merge"), (F.col("node") == F.col("o_node")) & (F.get("bands", F.col("k")) == F.col("band"))).select("node", "n", "sketch", "k", "band"))
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("node"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
     limit = PAIRS_A_ROW * max(met.count(), 1)
-    edges, placed = same, met.withColumn("root", F.col("node"))
+    edges = cut(same.unionAll(verified(_within_balls(single.select("doc_id", "fp")), texts)))
+    placed = _placed(met, edges)
     for turn in range(ROUNDS):
         per_root = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("m"))
         open_pairs = per_root.groupBy("band").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("p"))

@@ -50,7 +50,10 @@ def _shingle_hashes(text: bytes, size: int) -> np.ndarray:
 
 def fingerprint(text: bytes, size: int = 3, chunk: int = 1 << 15) -> int:
     """The unsigned fingerprint of a UTF-8 text."""
-    hashes = _shingle_hashes(text, size)
+    return fingerprint_of(_shingle_hashes(text, size), chunk)
+
+
+def fingerprint_of(hashes: np.ndarray, chunk: int = 1 << 15) -> int:
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), chunk):
         part = hashes[at : at + chunk].astype(">u8").view(np.uint8).reshape(-1, 8)

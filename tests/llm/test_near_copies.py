@@ -88,6 +88,19 @@ def test_pairs_are_made_once(spark, monkeypatch, block):
     assert len(want) > 50 and sorted(met) == sorted(want)
 
 
+def test_near_fingerprints_of_all_shingles_link(spark, monkeypatch):
+    met_once = N._met_once
+    monkeypatch.setattr(N, "_met_once", lambda placed, rows: met_once(placed, rows).filter("false"))  # the balls alone
+    monkeypatch.setattr(N, "ROUNDS", 0)
+    rng = random.Random(4)
+    base = [[f"w{rng.randrange(9000)}" for _ in range(3_000)] for _ in range(3)]
+    texts = [edited(rng, words, n) for words in base for n in (0, 1, 1, 2, 900)]
+    fps = [N.fingerprint_of(N.shingle_set(t.encode())) for t in texts]
+    near = [(a, b) for a, b in brute_pairs(dict(enumerate(texts))) if (fps[a] ^ fps[b]).bit_count() <= N.RADIUS]
+    want = {d: r for d, r in roots_of(dict(enumerate(texts)), near).items() if r != d}
+    assert len(want) > 3 and {r.doc_id: r.root for r in N.near_roots(docs_frame(spark, texts)).collect()} == want
+
+
 def test_recall_on_driver_table(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     pairs = brute_pairs(docs)
