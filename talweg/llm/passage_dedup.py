@@ -25,6 +25,8 @@ as one document and are all cut alike, different texts under one doc_id are told
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,7 @@ GRAM = 4
 HOT = 2_000
 LONG = 32
 CHUNK_BYTES = 256 << 10
-SHARD_WORDS = 1 << 17
+SHARD_WORDS, SHARD_ROWS = 1 << 17, 1 << 16
 ORDER_BITS = np.uint64(28)
 
 ODD1, ODD2, ODD3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -191,12 +193,9 @@ def segments(docs: DataFrame, window: int) -> DataFrame:
     return keyed(docs).mapInArrow(find, "anchor long, doc long, place long")
 
 
-def _slice(body: bytes, begins: np.ndarray, ends: np.ndarray, long: np.ndarray, a: int, b: int) -> bytes:
-    """Words a to b of the text; hashes, of one byte more than ``LONG``, stand for longer words."""
-    if long[b] == long[a]:
-        return body[begins[a] : ends[b - 1]]
-    words = (body[x:y] for x, y in zip(begins[a:b].tolist(), ends[a:b].tolist(), strict=True))
-    return b" ".join(w if len(w) <= LONG else b"#" + xxhash.xxh3_128_hexdigest(w).encode() for w in words)
+def _shortened(words: bytes) -> bytes:
+    """The words; hashes, of one byte more than ``LONG``, stand for longer ones."""
+    return b" ".join(w if len(w) <= LONG else b"#" + xxhash.xxh3_128_hexdigest(w).encode() for w in words.split())
 
 
 BODIES = "anchor long, salt int, hot boolean, doc long, place long, body binary"
@@ -211,15 +210,19 @@ def bodies(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 
     def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                body, own = batch.column(1)[i].as_py(), batch.column(2)[i].values
-                begins, ends = word_bounds(np.frombuffer(body, np.uint8))
-                long = np.concatenate([[0], np.cumsum(ends - begins > LONG)])
+            for first, texts in _chunks(batch.column(1)):
+                flat, begins, ends, ahead = _words_of(texts)
+                lists = batch.column(2).slice(first, len(texts))
+                own, owner = lists.flatten(), np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())
                 place = own.field("place").to_numpy()
-                start = (place >> START_SHIFT) & START_MASK
+                start = ahead[owner] + ((place >> START_SHIFT) & START_MASK)
                 stop = start + (place & RUN_MASK) + window
-                cuts = [_slice(body, begins, ends, long, a, b) for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
-                doc = pa.array(np.full(len(place), batch.column(0)[i].as_py(), np.int64))
+                held = flat.tobytes()
+                cuts = [held[a:b] for a, b in zip(begins[start].tolist(), ends[stop - 1].tolist(), strict=True)]
+                long = np.concatenate([[0], np.cumsum(ends - begins > LONG)])
+                for i in np.flatnonzero(long[start] < long[stop]).tolist():
+                    cuts[i] = _shortened(cuts[i])
+                doc = batch.column(0).slice(first, len(texts)).take(pa.array(owner))
                 yield pa.RecordBatch.from_arrays([own.field("anchor"), own.field("salt"), own.field("hot"), doc, own.field("place"), pa.array(cuts, pa.binary())], [c.split()[0] for c in BODIES.split(", ")])
 
     return sources.select("doc", "body", "s").mapInArrow(slices, BODIES)
@@ -233,15 +236,15 @@ def _places(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
 
 
-def repeated_in(groups: np.ndarray, texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+def repeated_in(groups: np.ndarray, texts: pa.Array, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """For segments in order, whose equal ``groups`` stand together: which windows also start earlier.
 
     Gives, for each word, whether a window that starts there does, and the number of words before each text (and all).
     Equal texts of a group have the same matching statistics and are streamed once.
     """
-    known: dict[tuple[int, bytes], int] = {}
-    kind = np.array([known.setdefault(key, len(known)) for key in zip(groups.tolist(), texts, strict=True)])
-    flat, begins, ends, kind_ahead = _words_of([t for _, t in known])
+    equal = texts.dictionary_encode().indices.to_numpy().astype(np.int64)
+    _, first, kind = np.unique(groups * len(texts) + equal, return_index=True, return_inverse=True)
+    flat, begins, ends, kind_ahead = _words_of(texts.take(pa.array(first)).to_pylist())
     codes, sigma = word_numbers(flat, begins, ends)
     kind_sizes = np.diff(kind_ahead)
     sizes = kind_sizes[kind]
@@ -273,6 +276,37 @@ def repeated_in(groups: np.ndarray, texts: list[bytes], window: int = WINDOW) ->
     return again, ahead
 
 
+def shards(batches: Iterable[pa.RecordBatch], window: int, most_words: int, most_rows: int) -> Iterator[pa.Table]:
+    """Rows sorted by anchor and salt as tables of whole groups, closed after so many words of different texts, or rows."""
+    held: list[pa.RecordBatch] = []
+    size, count, last = 0, 0, None
+    for batch in batches:
+        anchor, salt, place = (batch.column(c).to_numpy() for c in ("anchor", "salt", "place"))
+        if not len(anchor):
+            continue
+        new = np.concatenate([[last != (anchor[0], salt[0])], (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])])
+        # blocks of one anchor must not meet: their segments are not in order
+        apart = np.concatenate([[last is not None and last[0] == anchor[0]], anchor[1:] == anchor[:-1]])
+        # equal texts of a group are streamed once
+        equal = batch.column("body").dictionary_encode().indices.to_numpy().astype(np.int64)
+        firsts = np.unique(np.cumsum(new) * len(new) + equal, return_index=True)[1]
+        words = np.zeros(len(new) + 1, np.int64)
+        words[firsts + 1] = (place[firsts] & RUN_MASK) + window
+        words, begin = np.cumsum(words), 0
+        opens = np.flatnonzero(new)
+        for at, ahead, split in zip(opens.tolist(), words[opens].tolist(), apart[opens].tolist(), strict=True):
+            if split or size + ahead >= most_words or count + at >= most_rows:
+                if at > begin:
+                    held.append(batch.slice(begin, at - begin))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, size, count, begin = [], -ahead, -at, at
+        held.append(batch.slice(begin))
+        size, count, last = size + int(words[-1]), count + len(new), (anchor[-1], salt[-1])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 FOUND = "doc long, place long, window binary"
 
 
@@ -280,47 +314,34 @@ def matched(given: DataFrame, window: int) -> DataFrame:
     """Repeats among segments with one anchor and salt, as places whose run is that of the windows, and of hot anchors
     also the windows that are the first of their block, one by one, with their words."""
 
-    def search(rows: list[tuple]) -> pa.RecordBatch:
-        texts = [r[5] for r in rows]
-        groups = np.cumsum([False, *(a[:2] != b[:2] for a, b in zip(rows, rows[1:], strict=False))])
-        again, ahead = repeated_in(groups, texts, window)
-        doc, place = np.array([r[3] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64)
-        owner = np.repeat(np.arange(len(rows)), np.diff(ahead))
+    def search(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        anchor, salt, doc, place = (rows.column(c).to_numpy() for c in ("anchor", "salt", "doc", "place"))
+        new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])])
+        again = np.concatenate([[False], ~new[1:] & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])])
+        if again.any():  # rows that repeat a document
+            rows, new, doc, place = rows.filter(pa.array(~again)).combine_chunks(), new[~again], doc[~again], place[~again]
+        hot, texts = rows.column("hot").to_numpy(), rows.column("body").chunk(0)
+        again, ahead = repeated_in(np.cumsum(new), texts, window)
+        owner = np.repeat(np.arange(len(doc)), np.diff(ahead))
         offset = np.arange(len(again)) - ahead[owner]
         hits = np.flatnonzero(again)
         opens = np.ones(len(hits), bool)
         opens[1:] = (hits[1:] != hits[:-1] + 1) | (owner[hits[1:]] != owner[hits[:-1]])
         first = hits[opens]
         runs = np.diff(np.append(np.flatnonzero(opens), len(hits)))
-        hot = np.array([r[2] for r in rows], bool)
-        left = np.flatnonzero(~again & hot[owner] & (offset + window <= np.diff(ahead)[owner]))
-        words = [None] * len(first)
-        for i in left.tolist():
-            words.append(b" ".join(texts[owner[i]].split()[offset[i] : offset[i] + window]))
+        left = np.flatnonzero(hot[owner] & ~again & (offset + window <= np.diff(ahead)[owner]))
+        windows = [None] * len(first)
+        for own, starts in groupby(zip(owner[left].tolist(), offset[left].tolist(), strict=True), itemgetter(0)):
+            words = texts[own].as_py().split()
+            windows += [b" ".join(words[a : a + window]) for _, a in starts]
         at = np.concatenate([first, left])
         begin = (place[owner[at]] & ~np.int64(RUN_MASK)) + (offset[at] << START_SHIFT)
-        columns = [pa.array(doc[owner[at]]), pa.array(begin | np.concatenate([runs - 1, left * 0])), pa.array(words, pa.binary())]
+        columns = [pa.array(doc[owner[at]]), pa.array(begin | np.concatenate([runs - 1, left * 0])), pa.array(windows, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["doc", "place", "window"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, texts = 0, set()
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[:2] != held[-1][:2]:
-                    texts = set()
-                    # blocks of one anchor must not meet: their segments are not in order
-                    if size >= SHARD_WORDS or row[2] or held[-1][2]:
-                        yield search(held)
-                        held, size = [], 0
-                elif held and row[:5] == held[-1][:5]:
-                    continue  # a row that repeats a document
-                if row[5] not in texts:  # equal texts are streamed once
-                    texts.add(row[5])
-                    size += (row[4] & RUN_MASK) + window
-                held.append(row)
-        if held:
-            yield search(held)
+        return map(search, shards(batches, window, SHARD_WORDS, SHARD_ROWS))
 
     start = F.col("place").bitwiseAND(F.lit(START_MASK << START_SHIFT).cast("long"))
     order = ["anchor", "salt", "doc", F.shiftright("place", TEXT_SHIFT), start]

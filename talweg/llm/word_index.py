@@ -1,7 +1,8 @@
 """A compressed full-text index of words, in memory, and the matching statistics of texts streamed through it.
 
 The index is the Burrows-Wheeler transform of a text of word numbers in a wavelet tree, with the counts of smaller
-words. Backward search narrows an interval of the suffix order by one word to the left, by two ranks in the tree.
+words. Backward search narrows an interval of the suffix order by one word to the left, by two ranks in the tree; an
+interval of one place goes on by its last-to-first mapping, which is kept.
 Order and common prefixes are known up to ``depth`` words, which is all that a search for windows of that size asks
 for. Many texts are streamed at once, each from its end on: where a word cannot be put in front of what is matched,
 the match loses words at its end, as few as lead to a larger interval, until the word fits or nothing is left.
@@ -34,8 +35,8 @@ class WaveletTree:
             rest = np.concatenate([rest[~bit], rest[bit]])
         #: Where a number's run begins in the order below the lowest level.
         self.runs = np.zeros(1 << self.levels, np.int64)
-        numbers, begins = np.unique(rest, return_index=True)
-        self.runs[numbers] = begins
+        begins = np.flatnonzero(np.concatenate([[True], rest[1:] != rest[:-1]])[: len(rest)])
+        self.runs[rest[begins]] = begins
 
     def rank(self, values: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How many of the first ``at`` numbers are the value."""
@@ -45,17 +46,6 @@ class WaveletTree:
             at = np.where(values >> (self.levels - 1 - level) & 1, self.zeros[level] + ones, at - ones)
         return at - self.runs[values]
 
-    def rank_there(self, values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``rank``, and whether the number at ``at`` is the value."""
-        same = np.ones(len(at), bool)
-        for level in range(self.levels):
-            row, offset = self.rows[level][at >> 5], at & 31
-            ones = (row >> 32) + np.bitwise_count(row & BELOW[offset])
-            bit = values >> (self.levels - 1 - level) & 1
-            same &= (row >> offset & 1) == bit
-            at = np.where(bit, self.zeros[level] + ones, at - ones)
-        return at - self.runs[values], same
-
 
 def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
     """The suffixes of ``codes`` ordered by their first ``depth`` codes, by prefix doubling over those still tied."""
@@ -118,8 +108,13 @@ class WordIndex:
         self.depth, self.size = depth, len(codes)
         self.order = suffix_order(codes, depth).astype(np.int32)
         self.common = common_prefixes(codes, self.order, depth)
-        self.tree = WaveletTree(codes[self.order - 1], sigma)
+        self.ahead = codes[self.order - 1]
+        self.tree = WaveletTree(self.ahead, sigma)
         self.less = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=sigma))])
+        #: For each slot the one of the suffix that begins a word earlier.
+        slot = np.empty(len(codes), np.int64)
+        slot[self.order] = np.arange(len(codes))
+        self.last_to_first = slot[self.order - 1]
         # the nearest slots before and behind with a shorter common prefix: where an interval's parent ends
         n = self.size
         self.before, self.behind = np.zeros(n + 1, np.int64), np.full(n + 1, n)
@@ -159,15 +154,22 @@ class WordIndex:
             word = flat[at]
             known = word > 0
             word = word * known
-            # the only place of a match goes on by one rank, a range of places by one for either end
-            new_low, fits = self.tree.rank_there(word, np.minimum(low, self.size - 1))
-            wide = np.flatnonzero(high - low != 1)
-            new_high = new_low + 1
-            new_high[wide] = self.tree.rank(word[wide], high[wide])
-            fits[wide] = new_low[wide] < new_high[wide]
+            # the first word needs no rank, a range of places one for either end, the only place of a match none
+            new_low, new_high = self.less[word], self.less[word + 1]
+            fits = new_low < new_high
+            matched = size > 0
+            one = np.flatnonzero(matched & (high - low == 1))
+            own = low[one]
+            new_low[one] = self.last_to_first[own]
+            new_high[one] = new_low[one] + 1
+            fits[one] = self.ahead[own] == word[one]
+            wide = np.flatnonzero(matched & (high - low != 1))
+            if len(wide):
+                base = new_low[wide]
+                ranks = self.tree.rank(np.tile(word[wide], 2), np.concatenate([low[wide], high[wide]]))
+                new_low[wide], new_high[wide] = base + ranks[: len(wide)], base + ranks[len(wide) :]
+                fits[wide] = new_low[wide] < new_high[wide]
             fits &= known
-            base = self.less[word]
-            new_low, new_high = base + new_low, base + new_high
             # a word that fits nowhere, or not even alone, ends the match
             none = ~fits & (size == 0) | ~known
             size = np.where(fits, size + 1, np.where(none, 0, size))

@@ -2,13 +2,14 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from corpus_cases import DOCS, ODD_TEXTS, docs_frame
 from pyspark.sql import functions as F
 
 from talweg.llm import passage_dedup as P
 from talweg.llm.queries import op13_passage_dedup
-from talweg.llm.word_index import WordIndex
+from talweg.llm.word_index import WaveletTree, WordIndex
 
 WHITE = b" \t\n\x0b\x0c\r"
 
@@ -63,6 +64,30 @@ def test_index_against_brute_force():
         assert index.own_repeats().tolist() == again
 
 
+def test_single_places_take_no_ranks(monkeypatch):
+    taken = []
+    for name in ("rank", "rank_there"):
+        if old := getattr(WaveletTree, name, None):
+            monkeypatch.setattr(WaveletTree, name, lambda tree, values, at, old=old: taken.append(len(at)) or old(tree, values, at))
+    text = np.append(np.arange(1, 61), 0)
+    stream = np.concatenate([np.arange(11, 51), [-1], np.arange(5, 30)])
+    assert WordIndex(text, 61, 20).matches(stream, np.array([len(stream)])).tolist() == [*[20] * 21, *range(19, 0, -1), 0, *[20] * 6, *range(19, 0, -1)]
+    assert sum(taken) == 0
+
+
+def test_shards_hold_hot_blocks_of_different_anchors():
+    kinds = {"anchor": pa.int64(), "salt": pa.int32(), "hot": pa.bool_(), "doc": pa.int64(), "place": pa.int64(), "body": pa.binary()}
+    groups = [(1, 0, 3), (2, 1, 2), (2, 3, 2), (3, 0, 4), (4, 2, 3), (5, 0, 30), (6, 0, 2), (7, 0, 2)]
+    rows = [(a, s, s > 0, i, 0, b"one text" if a == 5 else b"%d" % i) for a, s, n in groups for i in range(n)]
+    for size in (1, 4, 100):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(kinds, r, strict=True)) for r in rows[i : i + size]], pa.schema(list(kinds.items()))) for i in range(0, len(rows), size)]
+        got = list(P.shards(batches, 20, 10_000, 20))
+        assert [tuple(r.values()) for t in got for r in t.to_pylist()] == rows
+        # only the second block of anchor 2 and what follows more than 20 rows open another
+        assert [list(dict.fromkeys(t.column("anchor").to_pylist())) for t in got] == [[1, 2], [2, 3, 4, 5], [6, 7]]
+    assert [t.num_rows for t in P.shards(batches, 20, 1, 10**6)] == [n for *_, n in groups]
+
+
 def test_words_and_numbers():
     text = "one  two\x0bone é two " + "z" * 33 + " " + "z" * 31 + " " + "abcdefgh" * 4 + " abcdefgh abcdefg"
     flat = np.frombuffer(text.encode(), np.uint8)
