@@ -185,13 +185,8 @@ FROM totals a CROSS JOIN totals b WHERE b.scenario = 'current'"""
 
 def q_footprint_p90(spark, sf_dir):
     """The record at the ninetieth percentile of the cells under each settlement, by probability."""
-    cells = V.cells(spark, sf_dir)
-    height = cells.agg(F.max("row")).first()[0] + 1
-    disc = reach.footprint(V.settlements(spark, sf_dir).withColumn("place", F.lit("hamlet")), DX, DY, height, WIDTH)
-    met = disc.join(cells.select("row", "col", F.col("p").alias("score")), ["row", "col"])
-    # equal scores are told apart by their cells
-    keyed = met.withColumns({"vertex": F.col("row") * WIDTH + F.col("col"), "scenario": F.lit("current")})
-    return reach.footprint_scores(keyed).select("asset_id", "row", "col", r6("score", "score"))
+    towns = V.settlements(spark, sf_dir).withColumn("place", F.lit("hamlet"))
+    return reach.footprint_cells(towns, V.cells(spark, sf_dir), DX, DY, "p").select("asset_id", "row", "col", r6("p", "score"))
 
 
 HAMLET = S.FOOTPRINT_M["hamlet"]

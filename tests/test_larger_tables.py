@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from talweg.functions import scores as S
 from talweg.functions.gridding import Grid
 from talweg.operators import graph, hydrology, reach, runs, sampling, tiles
+from talweg.plans import registry
 from talweg.sources import json_arrays
 
 
@@ -147,3 +148,32 @@ def test_scores_with_sites_come_from_packed_cells(spark, monkeypatch):
     assert "Join" not in plan(got)
     packed = tiles.pieces(p, ["scenario"], ["p"], 7, 7, 2, 2)
     assert 0 < packed.count() < p.count() / 4  # rows shuffled
+
+
+def test_discs_are_neither_sent_to_the_driver_nor_made_rows(spark):
+    query = registry.queries()["q_footprint_p90"](spark, "/root/testdata/sf0.001")
+    assert "Join" not in plan(query) and "Generate" not in plan(query)
+    towns = spark.createDataFrame([(1, 5, 5, "hamlet")], "asset_id long, row int, col int, place string")
+    met = reach.footprint(towns, 60.0, 90.0, 10, 10).join(Grid(0.0, 0.0, 1.0, 1.0, 0.1).cells(spark), ["row", "col"])
+    assert met._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == 1  # the table of discs
+
+
+def test_cells_of_footprints_by_rank_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(reach, "TILE", 1)
+    monkeypatch.setattr(reach, "AT_ONCE", 500)
+    dx, dy, height, width = 60.0, 90.0, 50, 45
+    p = {(r, c): ((r * 31 + c * 17) % 7) / 7 for r in range(height) for c in range(width) if (r * 5 + c) % 11}
+    rows = [(*k, v) for k, v in p.items()] + [(20, c, p[20, c]) for c in range(width) if (20, c) in p] + [(r, r * 2, None) for r in range(9)] + [(None, 3, 0.5)]
+    rows = [t for t in rows if t[:2] not in {(r, r * 2) for r in range(9)} or t[2] is None]  # no value there
+    places = [*S.FOOTPRINT_M, "other", None]
+    towns = [(f"a{k}", (k * 13) % (height + 6) - 3, (k * 7) % (width + 6) - 3, places[k % 6]) for k in range(70)] + [("none", 5, None, "city"), ("far", 900, 900, "city")]
+    towns += [("a1", *towns[1][1:3], "town"), ("a2", *towns[2][1:3], places[2])]  # rows of one asset count together
+    given = spark.createDataFrame(rows, "row int, col int, p double").repartition(3)
+    got = reach.footprint_cells(spark.createDataFrame(towns, "asset_id string, row int, col int, place string").repartition(3), given, dx, dy, "p")
+    found = {}
+    for key, row, col, place in towns:
+        radius = S.FOOTPRINT_M.get(place, S.DEFAULT_FOOTPRINT_M)
+        if col is not None:
+            found.setdefault(key, []).extend((v, r, c) for r, c, v in rows if r is not None and v is not None and math.hypot((r - row) * dy, (c - col) * dx) <= radius)
+    want = {(key, *sorted(met)[round(0.9 * (len(met) - 1))]) for key, met in found.items() if met}
+    assert {(r.asset_id, r.p, r.row, r.col) for r in got.collect()} == want and got.count() == len(want) > 60
