@@ -184,15 +184,15 @@ FROM totals a CROSS JOIN totals b WHERE b.scenario = 'current'"""
 
 
 def q_footprint_p90(spark, sf_dir):
-    """The record at the ninetieth percentile of the cells under each settlement, by probability."""
-    towns = V.settlements(spark, sf_dir).withColumn("place", F.lit("hamlet"))
-    return reach.footprint_cells(towns, V.cells(spark, sf_dir), DX, DY, "p").select("asset_id", "row", "col", r6("p", "score"))
+    """The record at the ninetieth percentile of the cells under each settlement, by probability; the disc is that of its place."""
+    return reach.footprint_cells(V.settlements(spark, sf_dir), V.cells(spark, sf_dir), DX, DY, "p").select("asset_id", "row", "col", r6("p", "score"))
 
 
-HAMLET = S.FOOTPRINT_M["hamlet"]
-FOOTPRINT_SQL = f"""WITH {CELLS}, {SETTLEMENTS}, offs AS (SELECT dr, dc FROM (SELECT unnest(range({-int(HAMLET // DY)}, {int(HAMLET // DY) + 1})) AS dr) CROSS JOIN (SELECT unnest(range({-int(HAMLET // DX)}, {int(HAMLET // DX) + 1})) AS dc)
-  WHERE sqrt(dr * dr * {DY * DY!r} + dc * dc * {DX * DX!r}) <= {HAMLET!r}),
-met AS (SELECT asset_id, c.row, c.col, p FROM settlements s CROSS JOIN offs JOIN cells c ON c.row = s.row + dr AND c.col = s.col + dc),
+LARGEST = max(S.FOOTPRINT_M.values())
+FOOTPRINT_SQL = f"""WITH {CELLS}, {SETTLEMENTS}, radii AS (SELECT * FROM (VALUES {", ".join(f"('{p}', {m:e})" for p, m in S.FOOTPRINT_M.items())}) AS r(place, radius)),
+offs AS (SELECT place, dr, dc FROM radii CROSS JOIN (SELECT unnest(range({-int(LARGEST // DY)}, {int(LARGEST // DY) + 1})) AS dr) CROSS JOIN (SELECT unnest(range({-int(LARGEST // DX)}, {int(LARGEST // DX) + 1})) AS dc)
+  WHERE sqrt(dr * dr * {DY * DY!r} + dc * dc * {DX * DX!r}) <= radius),
+met AS (SELECT asset_id, c.row, c.col, p FROM settlements s JOIN offs USING (place) JOIN cells c ON c.row = s.row + dr AND c.col = s.col + dc),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY p, row, col) AS k, count(*) OVER (PARTITION BY asset_id) AS n FROM met)
 SELECT asset_id, row, col, round(p, 6) AS score FROM ranked WHERE k = CAST(round_even(9e-1 * (n - 1), 0) AS INT) + 1"""
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from talweg.functions import scores as S
 from talweg.functions.gridding import Grid
 from talweg.operators import graph, hydrology, reach, runs, sampling, tiles
-from talweg.plans import registry
+from talweg.plans import registry, views
 from talweg.sources import json_arrays
 
 
@@ -177,3 +177,15 @@ def test_cells_of_footprints_by_rank_in_tiles(spark, monkeypatch):
             found.setdefault(key, []).extend((v, r, c) for r, c, v in rows if r is not None and v is not None and math.hypot((r - row) * dy, (c - col) * dx) <= radius)
     want = {(key, *sorted(met)[round(0.9 * (len(met) - 1))]) for key, met in found.items() if met}
     assert {(r.asset_id, r.p, r.row, r.col) for r in got.collect()} == want and got.count() == len(want) > 60
+
+
+def test_footprints_are_those_of_the_place(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    cells = [(r.p, r.row, r.col) for r in views.cells(spark, sf_dir).collect()]
+    got = {r.asset_id: (r.score, r.row, r.col) for r in registry.queries()["q_footprint_p90"](spark, sf_dir).collect()}
+    towns = views.settlements(spark, sf_dir).collect()
+    assert {t.place for t in towns} == set(S.FOOTPRINT_M)
+    for t in towns:
+        met = sorted(c for c in cells if math.hypot((c[1] - t.row) * views.DY, (c[2] - t.col) * views.DX) <= S.FOOTPRINT_M[t.place])
+        p, *cell = met[round(0.9 * (len(met) - 1))]
+        assert got[t.asset_id] == (round(p, 6), *cell)
